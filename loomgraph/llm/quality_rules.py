@@ -20,19 +20,25 @@ from .common import WORD, let, text_of, words
 
 FEATURES = 4096
 THRESHOLD = -0.055
+#: At most so many trusted rows are used, those with the least hashed ids; everything else covers all rows.
+TRUSTED_ROWS = 16_384
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def features(word_list: Column, size: int = FEATURES) -> Column:
-    """Feature numbers of the words and the pairs of neighbouring words."""
-    single = F.transform(word_list, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    pair = F.zip_with(word_list, F.slice(word_list, 2, F.greatest(F.size(word_list) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(size)).cast("int")))
-    return F.concat(single, F.slice(pair, 1, F.greatest(F.size(word_list) - 1, F.lit(0))))
+def hashed(word_list: Column) -> Column:
+    return F.transform(word_list, lambda w: F.xxhash64(w))
 
 
-def n_repeat_words(word_list: Column) -> Column:
-    """Words inside three-word windows that the text holds at least twice."""
-    n = F.size(word_list)
+def features(hashes: Column, size: int = FEATURES) -> Column:
+    """Feature numbers of the words and of the pairs of neighbouring words, the last word paired with the end."""
+    after = F.slice(hashes, 2, F.size(hashes))
+    single = F.transform(hashes, lambda a: F.pmod(a, F.lit(size)))
+    return F.concat(single, F.zip_with(hashes, after, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(size))))
+
+
+def n_repeat_words(hashes: Column) -> Column:
+    """Words inside three-word windows that the text holds at least twice, from 64-bit hashes of the words."""
+    n = F.size(hashes)
 
     def covered(grams: Column) -> Column:
         marked = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
@@ -44,24 +50,30 @@ def n_repeat_words(word_list: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(let(marked, places))
 
-    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(word_list, i), F.get(word_list, i + 1), F.get(word_list, i + 2)))
+    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(grams, covered))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """docs with _words and the base columns."""
+    """docs with _hashes (of the words) and the base columns."""
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    rows = docs.withColumn("_words", words(text))
+    rows = docs.withColumn("_hashes", hashed(words(text)))
     return rows.withColumns({
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size("_hashes").cast("long"),
         "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "n_repeat_words": n_repeat_words(F.col("_words")),
+        "n_repeat_words": n_repeat_words(F.col("_hashes")),
     })
 
 
+def trusted_rows(docs: DataFrame, ids: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
+    """The rows of docs with a doc_id of ids, by a broadcast that the limit bounds; texts aren't shuffled."""
+    some = ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.join(F.broadcast(some), "doc_id", "left_semi")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, size: int = FEATURES) -> list[float]:
     """log(trusted / corpus) by feature; size numbers, whatever the corpus.
 
@@ -69,14 +81,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, size: int = FEATURES) -> lis
     corpus is, so that few trusted rows give ratios near 1 and not zeros.
     """
     def counted(rows: DataFrame) -> DataFrame:
-        return rows.select(F.explode(features(words(text_of()), size)).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+        return rows.select(F.explode(features(hashed(words(text_of())), size)).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
 
     both = counted(docs).withColumnRenamed("n", "raw").join(counted(trusted).withColumnRenamed("n", "good"), "f", "full")
     found = both.collect()  # at most `size` rows
     raw, good = [1.0] * size, [0.0] * size
     for row in found:
-        raw[row.f] += row.raw or 0
-        good[row.f] += row.good or 0
+        raw[int(row.f)] += row.raw or 0
+        good[int(row.f)] += row.good or 0
     all_raw, all_good = sum(raw), sum(good) + size
     return [round(math.log((g + size * r / all_raw) / all_good * all_raw / r), 6) for g, r in zip(good, raw)]
 
@@ -85,8 +97,8 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, siz
     """docs with the base columns, llr, base_failed and kept. trusted: rows with text to resemble."""
     table = F.split(F.lit(",".join(map(str, log_ratios(docs, trusted, size)))), ",").cast("array<double>")
     rows = base_counts(docs)
-    found = features(F.col("_words"), size)
-    score = let(found, lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.greatest(F.size(f), F.lit(1)))
+    found = features(F.col("_hashes"), size)
+    score = let(found, lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(table, x.cast("int"))) / F.greatest(F.size(f), F.lit(1)))
     rows = rows.withColumn("llr", score)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold)).drop("_words")
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold)).drop("_hashes")
