@@ -4,26 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import mixing, pii, quality_rules
+from loomgraph.llm import minhash, mixing, packing, pii, quality_rules
+from loomgraph.llm.queries import tokenizer_path
 from loomgraph.session import keep, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; documents labelled good are what to resemble."""
-    labels = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    judged = quality_rules.judge(docs, docs.join(labels, "doc_id", "left_semi"))
+    trusted = quality_rules.trusted_rows(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    judged = quality_rules.judge(docs, trusted)
     return judged.where("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return minhash.without_copies(docs)
+
+
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced."""
     return pii.sanitise(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them, by training position."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality_rules", rules), ("pii", personal), ("mixing", mixed)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of tokenised documents with their sequences and offsets."""
+    return packing.packed(docs, tokenizer_path())
+
+
+STAGES = [("quality_rules", rules), ("minhash", near_duplicates), ("pii", personal), ("mixing", mixed), ("packing", packed)]
 #: The near-duplicate stage and the tokenizer can't be said in SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
