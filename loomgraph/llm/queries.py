@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import lm_scoring, minhash, mixing, packing, pii, quality_rules, sharding, suffix_dedup
+from . import lm_scoring, minhash, mixing, neighbours, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = quality_classifier.held_out()
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality_classifier.PREDICT).cast("int").alias("predicted"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trusted = quality_rules.trusted_rows(docs, table(spark, sf_dir, "labels").where("quality = 1"))
@@ -55,8 +67,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_neighbours": op2_neighbours,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
