@@ -50,6 +50,16 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, key: str) -> DataFrame:
+    """As keep(), in buckets of key, so that later joins on key shuffle the other side only."""
+    spark = df.sparkSession
+    name = f"loomgraph_{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_folder(spark)}/loomgraph/{name}"
+    df.write.bucketBy(count, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Arrow batches of so many rows for what runs inside, so that whole texts don't pile up in a worker."""
