@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Stop words left out of content tokens.
 STOPWORDS = (
@@ -28,6 +28,10 @@ INJECTION_PATTERNS = (
 WINDOW, OVERLAP = 500, 50
 
 
+def _structs(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case runs of ASCII word characters that no other letter or digit touches."""
     runs = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
@@ -62,13 +66,13 @@ def normalize_plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility form, which has no built-in."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_slug(text: pd.Series) -> pd.Series:
     """Letters and digits of the decomposed text in lower case, joined by hyphens."""
 
@@ -160,7 +164,7 @@ def trust_tier(verification: Column) -> Column:
     return F.when(verification.isin("formal_proof", "peer_verified"), "high").when(verification == "self_verified", "medium").otherwise("low")
 
 
-@F.pandas_udf("array<struct<chunk_index:int,text:string,word_count:int,header:string>>")
+@F.pandas_udf(_structs(chunk_index=T.IntegerType(), text=T.StringType(), word_count=T.IntegerType(), header=T.StringType()))
 def markdown_chunks(text: pd.Series) -> pd.Series:
     """Passages by heading; sections of more than 512 words are packed by paragraph."""
     heading = re.compile(r"^#{1,6}\s+.*$", re.MULTILINE)
@@ -201,7 +205,7 @@ def markdown_chunks(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<struct<title:string,start_line:int,end_line:int,words:int,tokens:int>>")
+@F.pandas_udf(_structs(title=T.StringType(), start_line=T.IntegerType(), end_line=T.IntegerType(), words=T.IntegerType(), tokens=T.IntegerType()))
 def section_map(text: pd.Series) -> pd.Series:
     """Second-level sections outside code fences, lines counted from 1, tokens about 1.3 a word."""
 

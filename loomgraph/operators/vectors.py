@@ -111,4 +111,5 @@ def similar_pairs(vectors: DataFrame, least: float, group: str, key: str = "vec_
             out = pd.DataFrame({"g": a["g"].iloc[0], "a": np.minimum(ka[i], kb[j]), "b": np.maximum(ka[i], kb[j]), "similarity": score[i, j]})
         return out.astype({"g": "int64", "a": "int64", "b": "int64", "similarity": "float64"})
 
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     return left.groupBy("g", "b", "c").cogroup(right.groupBy("g", "b", "c")).applyInPandas(tile, "g long, a long, b long, similarity double")
