@@ -1,0 +1,191 @@
+"""Readers: Markdown with frontmatter, article XML, question sets, Python trees, edge shards and file tails."""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from ..schemas import CODE_EDGE, CODE_NODE, OBJECT
+
+#: Folders and files that hold no objects.
+EXCLUDED_TOP = (".git", ".venv", ".pytest_cache", ".ruff_cache", "schemas", "specs", "plans", "research", "prompts", "external-specs", "review-outputs", "input-artifacts", ".agents", "tools", "tests", "scripts", "examples")
+EXCLUDED_ANY = ("raw", "staging", "artifacts", "derived", "discovery", ".cache", "docs")
+SKIPPED_ROOT_FILES = ("README.md", "CONTRIBUTING.md", "LICENSE.md", "CHANGELOG.md", "SECURITY.md", "AGENTS.md")
+
+
+def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path (relative to root), content, size of all files below root whose name matches."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    where = F.regexp_replace(F.col("path"), r"^\w+:/*", "/")
+    return found.select(F.regexp_replace(where, F.lit("^/*" + root.split(":")[-1].strip("/").replace(".", r"\.") + "/"), F.lit("")).alias("path"), "content", F.col("length").alias("size"))
+
+
+def markdown(spark: SparkSession, root: str) -> DataFrame:
+    """Objects of a Markdown tree; a file that can't be read becomes a row with load_error."""
+    rows = files(spark, root, "*.md")
+    parts = F.split("path", "/")
+    top = F.get(parts, 0)
+    nested = F.size(parts) > 1
+    keep = ~(nested & top.isin(*EXCLUDED_TOP)) & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, EXCLUDED_ANY))) & ~(~nested & top.isin(*SKIPPED_ROOT_FILES))
+    return parse_objects(rows.where(keep).select("path", F.col("content").cast("string").alias("text")))
+
+
+def parse_objects(texts: DataFrame) -> DataFrame:
+    """OBJECT rows of texts(path, text): YAML between fences, then the body. YAML has no built-in reader."""
+    schema = T._parse_datatype_string(OBJECT)
+    lists = {f.name for f in schema if isinstance(f.dataType, T.ArrayType) and f.name not in ("relations", "unknown_fields")}
+
+    def text(value):
+        return None if value is None else str(value)
+
+    def one(path: str, content: str) -> dict:
+        import yaml
+
+        row = dict.fromkeys(schema.names) | {"path": path, "raw_body": content or ""}
+        pieces = (content or "").split("---", 2)
+        if not (content or "").startswith("---") or len(pieces) < 3:
+            return row | {"load_error": "no frontmatter"}
+        row["raw_body"] = pieces[2].strip()
+        try:
+            found = yaml.safe_load(pieces[1])
+        except yaml.YAMLError as error:
+            return row | {"load_error": f"bad YAML: {type(error).__name__}"}
+        if not isinstance(found, dict):
+            return row | {"load_error": "frontmatter is no mapping"}
+        own = set(schema.names) - {"path", "raw_body", "load_error", "unknown_fields"}
+        for name in own & found.keys():
+            value = found[name]
+            if name in lists:
+                row[name] = None if value is None else [text(x) for x in (value if isinstance(value, list) else [value])]
+            elif name == "relations":
+                row[name] = [{"type": text(r.get("type")), "target": text(r.get("target")), "soft_link": bool(r.get("soft_link")), "created_date": text(r.get("created_date"))} for r in value or [] if isinstance(r, dict)]
+            elif name == "validity":
+                row[name] = {k: text(value.get(k)) for k in ("valid_from", "valid_until")} if isinstance(value, dict) else None
+            else:
+                row[name] = text(value)
+        row["unknown_fields"] = sorted(str(k) for k in found.keys() - own)
+        return row
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([one(p, t) for p, t in zip(batch["path"], batch["text"])], columns=schema.names)
+
+    return texts.select("path", "text").mapInPandas(run, schema)
+
+
+def articles(spark: SparkSession, path: str) -> DataFrame:
+    """pmid, title, abstract, year, journal, mesh, citations of article XML; rows without a whole-number id go."""
+    ids = "ArticleIdList struct<ArticleId: array<struct<_VALUE: string, _IdType: string>>>"
+    schema = (
+        "MedlineCitation struct<PMID: struct<_VALUE: string>, Article: struct<ArticleTitle: string, Journal: struct<Title: string, JournalIssue: struct<PubDate: struct<Year: string>>>, "
+        "Abstract: struct<AbstractText: array<struct<_VALUE: string, _Label: string>>>>, MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: struct<_VALUE: string, _UI: string, _MajorTopicYN: string>>>>>, "
+        f"PubmedData struct<ReferenceList: array<struct<Reference: array<struct<{ids}>>>>>"
+    )
+    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path)
+    c = "MedlineCitation"
+    sections = F.coalesce(F.col(f"{c}.Article.Abstract.AbstractText"), F.array())
+    mesh = F.transform(F.coalesce(F.col(f"{c}.MeshHeadingList.MeshHeading"), F.array()), lambda m: F.struct(m["DescriptorName"]["_UI"].alias("ui"), m["DescriptorName"]["_VALUE"].alias("name"), (m["DescriptorName"]["_MajorTopicYN"] == "Y").alias("major")))
+    cited = F.flatten(F.transform(F.coalesce("PubmedData.ReferenceList", F.array()), lambda r: F.flatten(F.transform(F.coalesce(r["Reference"], F.array()), lambda x: F.filter(F.coalesce(x["ArticleIdList"]["ArticleId"], F.array()), lambda i: i["_IdType"] == "pubmed")))))
+    return rows.select(
+        F.col(f"{c}.PMID._VALUE").try_cast("long").alias("pmid"), F.col(f"{c}.Article.ArticleTitle").alias("title"),
+        F.array_join(F.transform(sections, lambda s: s["_VALUE"]), "\n").alias("abstract"),
+        F.col(f"{c}.Article.Journal.JournalIssue.PubDate.Year").try_cast("int").alias("year"), F.col(f"{c}.Article.Journal.Title").alias("journal"),
+        mesh.alias("mesh"), F.filter(F.transform(cited, lambda i: i["_VALUE"].try_cast("long")), lambda x: x.isNotNull()).alias("citations"),
+    ).where("pmid is not null")
+
+
+def article_edges(rows: DataFrame) -> DataFrame:
+    """u, v: citations one way, subject headings both ways."""
+    u = F.format_string("PERS-ART-MED_%08d-0001", "pmid")
+    cites = F.transform("citations", lambda x: F.struct(u.alias("u"), F.format_string("PERS-ART-MED_%08d-0001", x).alias("v")))
+    there = F.transform("mesh", lambda m: F.struct(u.alias("u"), F.concat(F.lit("MESH_"), m["ui"]).alias("v")))
+    back = F.transform("mesh", lambda m: F.struct(F.concat(F.lit("MESH_"), m["ui"]).alias("u"), u.alias("v")))
+    return rows.select(F.explode(F.concat(cites, there, back)).alias("e")).select("e.u", "e.v")
+
+
+def questions(spark: SparkSession, path: str) -> DataFrame:
+    """pubid, question, labels, contexts of a Parquet or JSON question set."""
+    if path.endswith(".parquet"):
+        rows = spark.read.parquet(path)
+        return rows.select("pubid", "question", F.col("context.labels").alias("labels"), F.col("context.contexts").alias("contexts"))
+    kind = "map<string, struct<QUESTION: string, LABELS: array<string>, CONTEXTS: array<string>>>"
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("id", "q"))
+    return whole.select(F.col("id").try_cast("long").alias("pubid"), F.col("q.QUESTION").alias("question"), F.col("q.LABELS").alias("labels"), F.col("q.CONTEXTS").alias("contexts")).where("pubid is not null and question is not null")
+
+
+def code_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of Python sources(path, text): definitions, bases, calls by name, imports and tests."""
+
+    def extract(path: str, text: str) -> tuple[list, list]:
+        nodes, edges = [(path, "FILE", path.rsplit("/", 1)[-1], path, 0)], []
+        try:
+            tree = ast.parse(text or "")
+        except (SyntaxError, ValueError):
+            return nodes, edges
+        module = path.removesuffix(".py").replace("/", ".")
+        nodes.append((module, "MODULE", module, path, 1))
+        edges.append((path, module, "DEFINES", path))
+
+        def visit(body, owner, inside):
+            for item in body:
+                if isinstance(item, ast.ClassDef):
+                    name = f"{owner}.{item.name}"
+                    nodes.append((name, "CLASS", item.name, path, item.lineno))
+                    edges.append((owner, name, "DEFINES", path))
+                    edges.extend((name, b.id, "INHERITS", path) for b in item.bases if isinstance(b, ast.Name))
+                    visit(item.body, name, True)
+                elif isinstance(item, ast.FunctionDef | ast.AsyncFunctionDef):
+                    name = f"{owner}.{item.name}"
+                    test = "test" in path.lower() or item.name.startswith("test")
+                    nodes.append((name, "TEST" if test else "METHOD" if inside else "FUNCTION", item.name, path, item.lineno))
+                    edges.append((owner, name, "DEFINES", path))
+                    called = sorted({n.func.id for n in ast.walk(item) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)})
+                    edges.extend((name, c, "CALLS", path) for c in called)
+                    if test:
+                        edges.extend((name, c, "TESTS_SYMBOL", path) for c in called)
+                elif isinstance(item, ast.Assign):
+                    for target in item.targets:
+                        if isinstance(target, ast.Name):
+                            nodes.append((f"{owner}.{target.id}", "SYMBOL", target.id, path, item.lineno))
+                            edges.append((owner, f"{owner}.{target.id}", "DEFINES", path))
+
+        visit(tree.body, module, False)
+        for item in ast.walk(tree):
+            if isinstance(item, ast.Import):
+                edges.extend((module, a.name, "IMPORTS", path) for a in item.names)
+            elif isinstance(item, ast.ImportFrom) and item.module:
+                edges.append((module, item.module, "IMPORTS", path))
+        return nodes, edges
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [extract(p, t) for p, t in zip(batch["path"], batch["text"])]
+            fields = ("node_id", "kind", "name", "path", "line")
+            yield pd.DataFrame({"nodes": [[dict(zip(fields, n)) for n in a] for a, _ in found], "edges": [[dict(zip(("src", "dst", "type", "path"), e)) for e in b] for _, b in found]})
+
+    kind = f"nodes array<struct<{CODE_NODE.replace(' ', ':').replace(',:', ',')}>>, edges array<struct<{CODE_EDGE.replace(' ', ':').replace(',:', ',')}>>"
+    both = sources.select("path", "text").mapInPandas(run, kind)
+    nodes = both.select(F.inline("nodes")).dropDuplicates(["node_id", "kind"])
+    edges = both.select(F.inline("edges")).distinct()
+    # A name that one node alone has stands for that node.
+    only = nodes.groupBy("name").agg(F.min("node_id").alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("name").alias("dst"), "only")
+    edges = edges.join(only, "dst", "left").select("src", F.coalesce("only", "dst").alias("dst"), "type", "path")
+    return nodes, edges
+
+
+def changed(before: DataFrame, now: DataFrame) -> DataFrame:
+    """path, change (added, changed, deleted) between two lists of (path, hash)."""
+    both = before.select("path", F.col("hash").alias("old")).join(now.select("path", F.col("hash").alias("new")), "path", "full_outer")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "changed")
+    return both.select("path", change.alias("change")).where("change is not null")
+
+
+def edge_shards(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("u string, v string").parquet(path)
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)

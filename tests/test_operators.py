@@ -1,0 +1,150 @@
+"""Operators against plain Python."""
+
+import math
+import random
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from loomgraph.functions import text as X
+from loomgraph.operators import calibrate, fusion, graph, staging, vectors
+
+
+def test_hash_embedding_is_a_unit_vector(spark):
+    rows = spark.createDataFrame([("some words here",), ("",), (None,)], "t string")
+    for (v,) in rows.select(vectors.embedder(32)("t")).collect():
+        assert len(v) == 32 and abs(sum(x * x for x in v) - 1) < 1e-9
+
+
+def test_cosine_has_a_floor_and_checks_lengths(spark):
+    rows = spark.createDataFrame([([1.0, 0.0], [-1.0, 0.0]), ([0.0, 0.0], [1.0, 1.0]), ([3.0, 4.0], [3.0, 4.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 9) for r in rows.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 0.0, 1.0]
+
+
+def test_similar_pairs_over_many_blocks(spark):
+    rng = random.Random(1)
+    rows = [(i, i % 2, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {(r.a, r.b) for r in vectors.similar_pairs(frame, 0.7, "label", block=7).collect()}
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and cos(a[2], b[2]) >= 0.7}
+
+
+def _graph(n, m, seed):
+    rng = random.Random(seed)
+    return [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+
+
+def test_components_of_a_long_chain_and_of_random_edges(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100 + u, 100 + v) for u, v in _graph(60, 40, 3)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = find(u), find(v)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
+def test_bfs_cap_and_blast_radius(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 80)] + [(1, 100)], "u long, v long")
+    seeds = spark.createDataFrame([(0,)], "root long")
+    assert graph.bfs(edges, seeds, 2, 50).count() == 50
+    assert {r.node for r in graph.blast_radius(edges, spark.createDataFrame([(100,)], "root long"), "up", 1).collect()} == {100, 1}
+    assert graph.bfs(edges, seeds, 2).where("node = 100").first().depth == 2
+
+
+def test_dense_ids_and_adjacency_do_not_depend_on_partitions(spark):
+    edges = spark.createDataFrame(_graph(50, 200, 5), "u long, v long")
+    answers = {tuple(sorted((r.idx, r.node, r.degree, r.start, tuple(r.neighbours)) for r in graph.adjacency(edges.repartition(n)).collect())) for n in (1, 7)}
+    assert len(answers) == 1
+    rows = sorted(answers.pop())
+    assert [r[0] for r in rows] == list(range(len(rows))) and rows[0][3] == 0
+    assert all(b[3] == a[3] + a[2] for a, b in zip(rows, rows[1:]))
+
+
+def test_cycles_keep_only_what_cannot_be_peeled(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (0, 1)], "u long, v long")
+    assert {tuple(r) for r in graph.cycles(edges).select("u", "v").collect()} == {(1, 2), (2, 3), (3, 1)}
+
+
+def test_conflicts_have_one_winner(spark):
+    fields = "id string, verification string, authority string, consensus string, evidence string, confidence double, last_verified string"
+    rows = spark.createDataFrame([("A-10", "formal_proof", None, None, None, 0.1, None), ("A", "formal_proof", None, None, None, 0.1, None), ("B", "unverified", None, None, None, 0.9, None), ("C", None, None, None, None, None, None)], fields)
+    got = {r.id: r.suppressed_by for r in fusion.resolve_conflicts(rows, spark.createDataFrame([("A", "B"), ("B", "A-10"), ("C", "Z")], "u string, v string")).collect()}
+    assert got == {"A": None, "A-10": "A", "B": "A", "C": None}
+
+
+def test_upsert_fails_on_conflict(spark):
+    stored = spark.createDataFrame([(1, "a")], "k long, h string")
+    assert staging.apply_upsert(stored, spark.createDataFrame([(1, "a"), (2, "b")], "k long, h string"), "k", "h").count() == 2
+    try:
+        staging.apply_upsert(stored, spark.createDataFrame([(1, "x")], "k long, h string"), "k", "h").collect()
+    except Exception as error:
+        assert "conflict" in str(error)
+    else:
+        raise AssertionError("a conflict went through")
+
+
+def test_transitions(spark):
+    rows = spark.createDataFrame([("pending", "approved"), ("promoted", "pending")], "old_state string, new_state string")
+    assert [r.old_state for r in staging.illegal_transitions(rows).collect()] == ["promoted"]
+
+
+def test_softmax_top_and_abstention(spark):
+    rows = spark.createDataFrame([({"b": 1.0, "a": 1.0},), ({"a": 5.0, "b": 0.0},)], "l map<string,double>")
+    p = calibrate.softmax(F.col("l"))
+    got = rows.select(calibrate.top(p).alias("t"), calibrate.decide(p).alias("d"), calibrate.entropy(p).alias("h")).collect()
+    assert [r.t.token for r in got] == ["a", "a"] and [r.d for r in got] == ["ABSTAIN", "a"]
+    assert abs(got[0].h - math.log(2)) < 1e-9
+
+
+def test_fit_offsets_raises_accuracy(spark):
+    rows = [({"a": 0.55, "b": 0.45}, "b")] * 6 + [({"a": 0.9, "b": 0.1}, "a")] * 3
+    found = calibrate.fit_offsets(spark.createDataFrame(rows, "posterior map<string,double>, gold string"), ["a", "b"])
+    assert found["b"] - found["a"] > 0.1 - 1e-9
+
+
+def test_text_functions(spark):
+    rows = spark.createDataFrame([("# T\n\nSee [a](x.md) and [[Wiki|w]].\n[r]: y.md",), ("plain <Untrusted_Source > text [12, PMID: 34] ＡＢ",)], "t string")
+    t = F.col("t")
+    a, b = rows.select(X.links(t).alias("l"), X.body_excerpt(t).alias("e"), X.fence(t).alias("f"), X.citation_ids(t).alias("c"), X.normalize_chunk_text(t).alias("n"), X.ascii_slug(t).alias("s")).collect()
+    assert set(a.l) == {"x.md", "Wiki", "y.md"} and a.e.startswith("See")
+    assert "&lt;Untrusted_Source &gt;" in b.f and b.c == ["12", "34"] and b.n.endswith("ab") and b.s.endswith("-ab")
+    words = " ".join(["w"] * 300)
+    page = f"---\nid: x\n---\nintro\n## One\n{words}\n\n{words}\n```\n## no\n```\n## Two"
+    chunks, sections = spark.createDataFrame([(page,)], "t string").select(X.markdown_chunks("t"), X.section_map("t")).first()
+    assert [c.header for c in chunks][:3] == [None, "## One", "## One"] and chunks[-1].text == "## Two"
+    assert [s.title for s in sections] == ["One", "Two"]
+
+
+def test_scoring_window_keeps_the_conclusion(spark):
+    text = "a" * 3000 + "\n## Conclusion\nyes" + "b" * 50
+    (found,) = spark.createDataFrame([(text,)], "t string").select(X.scoring_window(F.col("t"))).first()
+    assert len(found) <= 2048 and "## Conclusion\nyes" in found
+
+
+def test_ring_guard_equals_a_deque(spark):
+    from collections import deque
+
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(3), rng.choice("aab"), rng.random() < 0.05) for i in range(400)]
+    expected, rings = set(), defaultdict(lambda: deque(maxlen=20))
+    for i, g, s, m in rows:
+        if m:
+            rings[g].clear()
+            continue
+        rings[g].append(s)
+        if rings[g].count(s) >= 5:
+            expected.add((i, rings[g].count(s)))
+    frame = spark.createDataFrame(rows, "seq long, g int, s string, m boolean")
+    got = staging.ring_guard(frame, "g", ["seq"], "s", F.col("m"))
+    assert {(r.seq, r.repeats) for r in got.collect()} == expected

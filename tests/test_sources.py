@@ -1,0 +1,99 @@
+"""Readers, rules and streams over small files."""
+
+import json
+
+from loomgraph.operators import validate
+from loomgraph.sources import readers
+from loomgraph.streaming import guards
+
+PAGE = """---
+id: {id}
+title: T
+scope: engineering
+object_type: Component
+domain: build
+taxonomy_id: t1
+taxonomy_path: Leaf
+status: {status}
+consensus: accepted
+author: human:kim
+source_refs: [a]
+language: [en, en]
+relations:
+{relations}
+---
+Body
+"""
+
+
+def write(root, name, **fields):
+    path = root / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    relations = "".join(f"  - {{type: {t}, target: {x}}}\n" for t, x in fields.get("relations", [])) or "  []\n"
+    path.write_text(PAGE.format(id=fields["id"], status=fields.get("status", "established"), relations=relations))
+
+
+def test_markdown_corpus_and_rules(spark, tmp_path):
+    write(tmp_path, "a/one.md", id="ENG-CMP-BUILD-0001", relations=[("PART_OF", "ENG-CMP-BUILD-0002"), ("PART_OF", "ENG-CMP-BUILD-0009")])
+    write(tmp_path, "a/two.md", id="ENG-CMP-BUILD-0002", relations=[("PART_OF", "ENG-CMP-BUILD-0001")], status="deprecated")
+    write(tmp_path, "a/twice.md", id="ENG-CMP-BUILD-0001")
+    write(tmp_path, "docs/skipped.md", id="X")
+    (tmp_path / "README.md").write_text("no")
+    (tmp_path / "bad.md").write_text("---\n: [\n---\n")
+    (tmp_path / "odd.md").write_text("---\nid: bad\nextra: 1\n---\n")
+    objects = readers.markdown(spark, str(tmp_path)).cache()
+    assert {r.path for r in objects.collect()} == {"a/one.md", "a/two.md", "a/twice.md", "bad.md", "odd.md"}
+    assert objects.where("load_error is not null").count() == 1
+    types = spark.createDataFrame([("Component", "CMP", "domain", ["language", "audience"], True)], "name string, code string, tag_strategy string, required_facets array<string>, engineering_only boolean")
+    taxonomy = spark.createDataFrame([("t1", "Leaf", "engineering")], "id string, name string, scope string")
+    domains = spark.createDataFrame([("build",)], "name string")
+    facets = spark.createDataFrame([("language", ["en", "unknown"], False)], "name string, values array<string>, allows_none boolean")
+    governance = spark.createDataFrame([("established", ["accepted"])], "status string, allowed_consensus array<string>")
+    relations = spark.createDataFrame([("PART_OF", ["Component"], ["Component"], True, "HAS_PART")], "name string, source_types array<string>, target_types array<string>, dag boolean, inverse_view string")
+
+    def codes(findings):
+        return sorted((r.code, r.file) for r in findings.collect())
+
+    assert codes(validate.schema_rules(objects)) == [("E000", "bad.md"), ("E000", "odd.md")]
+    structural = codes(validate.structural_rules(objects, types, taxonomy))
+    assert ("E005", "odd.md") in structural and ("W001", "odd.md") in structural and not any(f == "a/one.md" for _, f in structural)
+    semantic = codes(validate.semantic_rules(objects, types, domains, facets, governance, "2026-01-01"))
+    assert ("E014", "a/one.md") in semantic and ("E020", "a/one.md") in semantic and ("E027", "odd.md") in semantic
+    assert codes(validate.cross_object_rules(objects)) == [("E001", "a/twice.md"), ("E009", "a/one.md"), ("W006", "a/one.md")]
+    assert ("E010", "a/two.md") in codes(validate.cycle_rules(objects, relations))
+    assert codes(validate.graph_rules(objects, relations)) == []
+
+
+def test_articles(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("""<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">7</PMID><Article><Journal><JournalIssue><PubDate><Year>2001</Year></PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>T</ArticleTitle><Abstract><AbstractText Label="A">x</AbstractText><AbstractText Label="B">y</AbstractText></Abstract></Article><MeshHeadingList><MeshHeading><DescriptorName UI="D1" MajorTopicYN="Y">M</DescriptorName></MeshHeading></MeshHeadingList></MedlineCitation><PubmedData><ReferenceList><Reference><ArticleIdList><ArticleId IdType="pubmed">9</ArticleId></ArticleIdList></Reference></ReferenceList></PubmedData></PubmedArticle></PubmedArticleSet>""")
+    rows = readers.articles(spark, str(tmp_path / "a.xml"))
+    row = rows.first()
+    assert (row.pmid, row.title, row.abstract, row.year, row.journal, row.citations) == (7, "T", "x\ny", 2001, "J", [9])
+    assert row.mesh[0].ui == "D1" and row.mesh[0].major
+    assert readers.article_edges(rows).count() == 3
+
+
+def test_questions(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps({"5": {"QUESTION": "q", "LABELS": ["L"], "CONTEXTS": ["c"]}, "x": {"QUESTION": "n"}}))
+    assert [tuple(r) for r in readers.questions(spark, str(tmp_path / "q.json")).collect()] == [(5, "q", ["L"], ["c"])]
+
+
+def test_code_graph_and_changes(spark):
+    sources = spark.createDataFrame([("p/a.py", "import os\nX = 1\nclass A:\n    def m(self):\n        return f()\ndef f():\n    return 1\n"), ("p/b.py", "from p.a import A\nclass B(A):\n    pass\n"), ("tests/t.py", "def test_f():\n    f()\n"), ("bad.py", "def (")], "path string, text string")
+    nodes, edges = readers.code_graph(sources)
+    kinds = {r.node_id: r.kind for r in nodes.collect()}
+    assert kinds["p.a.A.m"] == "METHOD" and kinds["p.a.f"] == "FUNCTION" and kinds["tests.t.test_f"] == "TEST" and kinds["bad.py"] == "FILE"
+    found = {(r.src, r.dst, r.type) for r in edges.collect()}
+    assert {("p.b.B", "p.a.A", "INHERITS"), ("p.a.A.m", "p.a.f", "CALLS"), ("tests.t.test_f", "p.a.f", "TESTS_SYMBOL"), ("p.a", "os", "IMPORTS")} <= found
+    old = spark.createDataFrame([("a", "1"), ("b", "1")], "path string, hash string")
+    new = spark.createDataFrame([("b", "2"), ("c", "1")], "path string, hash string")
+    assert {tuple(r) for r in readers.changed(old, new).collect()} == {("a", "deleted"), ("b", "changed"), ("c", "added")}
+
+
+def test_ring_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text("".join(json.dumps({"g": 1, "seq": i, "s": "x", "m": i == 3}) + "\n" for i in range(10)))
+    events = guards.tail(spark, str(tmp_path / "in"), "g long, seq long, s string, m boolean")
+    stream = guards.ring_stream(events, "g", "s", "m").writeStream.format("memory").queryName("rings").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    stream.awaitTermination(60)
+    assert sorted(r.repeats for r in spark.table("rings").collect()) == [5, 6]
