@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,14 +51,10 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_by(df: DataFrame, key: str) -> DataFrame:
-    """As keep(), in buckets of key, so that later joins on key shuffle the other side only."""
-    spark = df.sparkSession
-    name = f"loomgraph_{uuid.uuid4().hex}"
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{shared_folder(spark)}/loomgraph/{name}"
-    df.write.bucketBy(count, key).sortBy(key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished intermediates: Spark drops them once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @contextmanager
