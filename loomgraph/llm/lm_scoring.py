@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import keep
+from ..session import keep, small_batches
 from .common import text_of
 
 DEPTH = 24
@@ -101,7 +101,7 @@ def tail_keys(word: bytes, i: int) -> tuple[int, int, int]:
 
 def _texts(docs: DataFrame, trained) -> DataFrame:
     """Different texts with their numbers of training rows; kept."""
-    rows = docs.select(text_of().alias("t"), trained.cast("long").alias("train")).withColumn("th", F.md5(F.col("t").cast("binary")))
+    rows = docs.select(text_of().alias("t"), trained.cast("long").alias("train")).withColumn("th", F.unhex(F.md5(F.col("t").cast("binary"))))
     return keep(rows.groupBy("th").agg(F.first("t").alias("t"), F.sum("train").alias("train")))
 
 
@@ -125,9 +125,10 @@ def _counted(texts: DataFrame) -> DataFrame:
                 else:
                     for word, n in Counter(some).items():
                         found[word] += n * train
-                if len(found) > 300_000:
+                if len(found) > 200_000:
                     yield out()
-        yield out()
+        if found:
+            yield out()
 
     return texts.select("t", "train").mapInPandas(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
@@ -135,8 +136,11 @@ def _counted(texts: DataFrame) -> DataFrame:
 def _ranges(words: DataFrame, bounds: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["part"] = [bisect.bisect_right(bounds, w) for w in batch["word"]]
-            yield batch.astype({"part": "int32"})
+            some = batch["word"].tolist()
+            if not some:
+                continue
+            frame = pd.DataFrame({"word": some, "count": batch["count"].to_numpy(), "part": [bisect.bisect_right(bounds, w) for w in some]})
+            yield frame.astype({"part": "int32"})
 
     return words.mapInPandas(run, "word string, count long, part int")
 
@@ -199,8 +203,8 @@ def word_scores(words: DataFrame) -> DataFrame:
             path = bytes(path)
             trie.paths.setdefault(path, {})[symbol] = n
             trie.sums[path] = trie.sums.get(path, 0) + n
-        part["ppm"] = [trie.log10(w.encode()) for w in part["word"]]
-        return part[["word", "count", "ppm"]]
+        some = part["word"].tolist()  # a fresh column: Arrow's may be in several chunks
+        return pd.DataFrame({"word": some, "count": part["count"].to_numpy(), "ppm": [trie.log10(w.encode()) for w in some]})
 
     scored = ranged.groupBy("part").cogroup(spines.groupBy("part")).applyInPandas(score, "word string, count long, ppm double")
     return keep(scored)
@@ -211,7 +215,8 @@ def score(docs: DataFrame, trained=None) -> DataFrame:
     spark = docs.sparkSession
     trained = F.lit(True) if trained is None else trained
     texts = _texts(docs, trained)
-    words = keep(_counted(texts))
+    with small_batches(spark):
+        words = keep(_counted(texts))
     scored = word_scores(words)
     total, kinds = words.agg(F.sum("count"), F.count(F.when(F.col("count") > 0, 1))).first()
     total, kinds = total or 0, kinds or 0
@@ -221,7 +226,7 @@ def score(docs: DataFrame, trained=None) -> DataFrame:
     shared = spark.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row with the sums of hot words for each text, and a row for each other word of it."""
+        """A row for each word of a text that isn't hot; the first one has the sums of the hot ones."""
         table = shared.value
         for batch in batches:
             rows = []
@@ -229,32 +234,32 @@ def score(docs: DataFrame, trained=None) -> DataFrame:
                 some = tokens(text)
                 some.append(b"")
                 known = base = ppm = 0
+                rare = []
                 for word, n in Counter(some).items():
                     found = table.get(word)
                     if found is None:
-                        rows.append((th, word.decode(), n, None, None, None, None))
+                        rare.append((word.decode(), n))
                     else:
                         known += n * found[0]
                         base += n * found[1]
                         ppm += n * found[2]
-                rows.append((th, None, None, len(some), known, float(base), float(ppm)))
-                if len(rows) > 100_000:
-                    yield frame(rows)
+                # Every text has a first row: the end, counted 0 times, if all of its words are hot.
+                (word, n), *others = rare or [("", 0)]
+                rows.append((th, word, n, len(some), known, float(base), float(ppm)))
+                rows += [(th, word, n, 0, 0, 0.0, 0.0) for word, n in others]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            yield frame(rows)
-
-    def frame(rows: list) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["th", "word", "n", "n_tokens", "known", "base", "ppm"])
-        return out.astype({"n": "Int64", "n_tokens": "Int64", "known": "Int64", "base": "float64", "ppm": "float64"})
-
-    parts = texts.select("th", "t").mapInPandas(run, "th string, word string, n long, n_tokens long, known long, base double, ppm double")
-    parts = keep(parts)
-    rare = parts.where("word is not null").select("th", "word", "n").join(scored, "word")
-    n = F.col("n")
-    rare = rare.select("th", F.lit(0).cast("long").alias("n_tokens"), (n * F.col("known")).alias("known"), (n * F.col("base")).alias("base"), (n * F.col("ppm")).alias("ppm"))
-    both = parts.where("word is null").select("th", "n_tokens", "known", "base", "ppm").union(rare)
-    by_text = both.groupBy("th").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "ppm")])
-    ids = docs.select("doc_id", F.md5(text_of().cast("binary")).alias("th"), trained.alias("trained"))
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    names = ["th", "word", "n", "n_tokens", "known", "base", "ppm"]
+    parts = texts.select("th", "t").mapInPandas(run, "th binary, word string, n long, n_tokens long, known long, base double, ppm double")
+    scored = scored.select("word", F.col("known").alias("k"), F.col("base").alias("b"), F.col("ppm").alias("p"))
+    sums = [F.sum(F.col(c) + F.col("n") * F.col(x)).alias(c) for c, x in (("known", "k"), ("base", "b"), ("ppm", "p"))]
+    with small_batches(spark):
+        by_text = keep(parts.join(scored, "word").groupBy("th").agg(F.sum("n_tokens").alias("n_tokens"), *sums))
+    ids = docs.select("doc_id", F.unhex(F.md5(text_of().cast("binary"))).alias("th"), trained.alias("trained"))
     return ids.join(by_text, "th").select(
         "doc_id", "trained", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("ppm").alias("score"))
 
