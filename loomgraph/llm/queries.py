@@ -47,7 +47,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("position"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,35 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: crc32 of the texts by its table of 256, which eight halvings of each byte give.
+CRC_SQL = """crct AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    raw AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    bytes AS (SELECT doc_id, n, list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM raw),
+    crc AS (SELECT doc_id, n + 1 AS size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crct)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_sharding": f"""WITH RECURSIVE {CRC_SQL},
+        jump(id, k, j, shard, grown) AS (SELECT DISTINCT doc_id, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM documents
+            UNION ALL SELECT id, k2, floor((j + 1) * (2147483648.0::DOUBLE / ((k2 // 8589934592) + 1)::DOUBLE))::BIGINT, CASE WHEN j < 16 THEN j ELSE shard END, j
+            FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM jump WHERE j <= 16))
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+            row_number() OVER (PARTITION BY shard ORDER BY ((coalesce(doc_id, 0) % 1024 + 1024) % 1024 + text_crc32) % 1024, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown::INTEGER AS grown_shard
+        FROM crc JOIN jump ON doc_id IS NOT DISTINCT FROM id WHERE j > 16""",
+    "op7_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ((coalesce(doc_id, 0) % 2147483648 + 2147483648) % 2147483648 * 2654435761 + 1) % 4294967296 AS f FROM documents),
+        o AS (SELECT doc_id, source, size, (f // 65536 + f * 40503) % 2147483648 * 2246822519 % 4294967296 AS ord FROM d),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM o GROUP BY 1),
+        p AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place, 3.0::DOUBLE * source_size AS cap FROM s),
+        l AS (SELECT *, (place + 1)::DOUBLE AS weight FROM p),
+        r AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS n
+            FROM l WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT source, source_size, place, least(cap, coalesce((SELECT arg_min(level, n) FROM r WHERE cap >= level * weight) * weight, cap)) AS target FROM r),
+        b AS (SELECT o.*, source_size, place, target, coalesce(sum(size) OVER (PARTITION BY o.source ORDER BY ord % 1024, ord, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+            CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 1 END AS rounds FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
+        e AS (SELECT *, target - rounds * source_size AS rest, (before + size / 2 < target - rounds * source_size) AND rounds < 3 AS extra FROM b),
+        g AS (SELECT *, rest - sum(CASE WHEN extra THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM e),
+        c AS (SELECT *, size > 0 AND rounds < 3 AND extra = (gap < 0) AND abs(abs(gap) - size) < abs(gap) AS fits FROM g),
+        n AS (SELECT *, CASE WHEN fits THEN row_number() OVER (PARTITION BY source, fits ORDER BY abs(abs(gap) - size), ord, doc_id NULLS FIRST, size, before) = 1 ELSE false END AS swapped FROM c),
+        k AS (SELECT *, rounds + (extra <> swapped)::BIGINT AS copies, CASE WHEN target > 0 THEN least((before + size / 2) / target, 1.0) ELSE 0.0 END AS x, [-1.0, 0.0, 1.0][place + 1] AS slope, [1.5, 1.0, 0.5][place + 1] AS w FROM n),
+        z AS (SELECT *, w * 0.5 + slope * 0.125 AS half FROM k)
+        SELECT doc_id, size, source_size, target, copies * size AS taken, copies, round(CASE WHEN x <= half THEN 2 * x / (w + sqrt(greatest(w * w + 2 * slope * x, 0))) ELSE 0.5 + 2 * (x - half) / (1 + sqrt(greatest(1 + 2 * slope * (x - half), 0))) END, 6) AS position FROM z""",
+}
