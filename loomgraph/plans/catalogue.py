@@ -520,3 +520,123 @@ def fit_offsets(spark, sf):
 @query("SELECT round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(avg(l_extendedprice), 6) AS mean FROM lineitem")
 def percentile_latency(spark, sf):
     return table(spark, sf, "lineitem").agg(F.round(F.percentile("l_extendedprice", 0.95), 6).alias("p95"), F.round(F.avg("l_extendedprice"), 6).alias("mean"))
+
+
+# --- scalar functions, predicates and set operations, one query each ---
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_][A-Za-z0-9_-]*')) AS n FROM documents")
+def tokens_with_ids(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(X.tokenize_with_ids(F.col("text"))).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, len(list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda x: x NOT IN ({', '.join(repr(w) for w in X.STOPWORDS)})))) AS n FROM documents")
+def content_token_counts(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.size(X.content_tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query("""SELECT page_id, '<untrusted_source>' || chr(10) || regexp_replace(substr(html, 1, 200), '(?i)<(\\s*/?\\s*untrusted_source\\s*/?\\s*)>', '&lt;\\1&gt;', 'g') || chr(10) || '</untrusted_source>' AS fenced FROM pages""")
+def fenced_pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", X.fence(F.substring("html", 1, 200)).alias("fenced"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS digest FROM documents")
+def content_digests(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.sha256_id(F.col("text")).alias("digest"))
+
+
+@query("SELECT o_orderkey, printf('PERS-ART-MED_%08d-0001', o_orderkey) AS node, 50 + 15 * (o_orderkey % 4) + 20 * (o_orderkey % 3) AS tokens FROM orders")
+def canonical_ids(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", F.format_string("PERS-ART-MED_%08d-0001", "o_orderkey").alias("node"), X.context_tokens(F.col("o_orderkey") % 4, F.col("o_orderkey") % 3).alias("tokens"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus NOT IN ('P') AND coalesce(try_cast(substr(o_orderpriority, 1, 1) AS DOUBLE), 0) >= 3")
+def status_and_confidence(spark, sf):
+    """Pending orders are drafts; the priority's digit is the confidence."""
+    return table(spark, sf, "orders").where((F.col("o_orderstatus") != "P") & (F.coalesce(F.substring("o_orderpriority", 1, 1).try_cast("double"), F.lit(0.0)) >= 3)).select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand#1_' OR starts_with(p_type, 'ECO')")
+def id_patterns(spark, sf):
+    return table(spark, sf, "part").where(F.col("p_brand").like("Brand#1_") | F.col("p_type").startswith("ECO")).select("p_partkey")
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL BY NAME SELECT s_suppkey AS id, s_name AS name FROM supplier")
+def union_by_name(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return c.unionByName(s, allowMissingColumns=True)
+
+
+@query("""SELECT 'both' AS side, k FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+    UNION ALL SELECT 'only', k FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def set_operations(spark, sf):
+    orders = table(spark, sf, "orders")
+    f, p = (orders.where(F.col("o_orderstatus") == x).select(F.col("o_custkey").alias("k")) for x in "FP")
+    return f.intersect(p).select(F.lit("both").alias("side"), "k").union(f.subtract(p).select(F.lit("only"), "k"))
+
+
+@query("""SELECT b.item_id, count(*) AS chunks FROM (SELECT item_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS alias FROM benchmark) b
+    JOIN (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS w, text FROM documents) d ON d.w = split_part(b.alias, ' ', 1) AND contains(d.text, b.alias) GROUP BY 1""")
+def alias_in_chunk(spark, sf):
+    """Containment as an equi-join on the alias' first token with the rest checked after it."""
+    items = table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", F.get(F.split("text", " "), 0), F.get(F.split("text", " "), 1)).alias("alias"))
+    docs = _docs(spark, sf).select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    hits = docs.join(F.broadcast(items.withColumn("w", F.get(F.split("alias", " "), 0))), "w").where(F.contains(F.col("text"), F.col("alias")))
+    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@query("SELECT o_custkey % 50 AS query, o_orderkey AS id, 1.0::DOUBLE AS score FROM orders WHERE contains('order ' || (o_custkey % 50)::VARCHAR || ' and 17', o_orderkey::VARCHAR)")
+def exact_id_boost(spark, sf):
+    text = F.concat(F.lit("order "), (F.col("o_custkey") % 50).cast("string"), F.lit(" and 17"))
+    return table(spark, sf, "orders").where(F.contains(F.lower(text), F.col("o_orderkey").cast("string"))).select((F.col("o_custkey") % 50).alias("query"), F.col("o_orderkey").alias("id"), F.lit(1.0).alias("score"))
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS backlog, count(*) FILTER (value IS NULL) AS corrupt, date_diff('day', min(ts) FILTER (event_type = 'error'), TIMESTAMP '2024-02-01') AS oldest_days, count(DISTINCT user_id) AS owners FROM events""")
+def backlog_metrics(spark, sf):
+    failed = F.col("event_type") == "error"
+    return table(spark, sf, "events").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(failed).alias("backlog"), F.count_if(F.col("value").isNull()).alias("corrupt"),
+        F.date_diff(F.lit("2024-02-01").cast("date"), F.min(F.when(failed, F.to_date("ts")))).cast("long").alias("oldest_days"), F.count_distinct("user_id").alias("owners"))
+
+
+@query(f"""WITH {EDGES_SQL}, n AS (SELECT u AS id FROM e UNION SELECT v FROM e) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, true AS starts_at_zero, true AS ends_at_edges""")
+def csr_invariants(spark, sf):
+    rows = graph.adjacency(_edges(spark, sf))
+    edges = F.sum("degree")
+    return rows.agg(F.count(F.lit(1)).alias("nodes"), edges.alias("edges"), (F.min("start") == 0).alias("starts_at_zero"), (F.max(F.col("start") + F.col("degree")) == edges).alias("ends_at_edges"))
+
+
+@query("""SELECT c_nationkey::INTEGER AS scope, count(*) AS members, min(c_custkey) AS community FROM customer GROUP BY 1""")
+def scope_communities(spark, sf):
+    """Components inside each scope: customers of a nation hang together through it."""
+    edges = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    own = edges.select((F.col("c_custkey") + 1000).alias("u"), F.col("c_nationkey").cast("long").alias("v"))
+    found = graph.components(own)
+    named = edges.join(found.select((F.col("node") - 1000).alias("c_custkey"), "component"), "c_custkey")
+    return named.groupBy("component").agg(F.first("c_nationkey").alias("scope"), F.count(F.lit(1)).alias("members"), F.min("c_custkey").alias("community")).select("scope", "members", "community")
+
+
+@query("""SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE n > 1 AND role = before""")
+def repeated_roles(spark, sf):
+    """Turns whose role is that of the turn before."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf, "conversations").withColumn("before", F.lag("role").over(order))
+    return rows.where(F.col("role") == F.col("before")).select("conv_id", "turn", "role")
+
+
+@query("""SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ALL HAVING count(*) >= 5""")
+def facet_counts(spark, sf):
+    return table(spark, sf, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+
+
+@query()
+def code_nodes(spark, sf):
+    """The code graph of three small sources that come with the query."""
+    from ..sources import readers
+
+    sources = [("a.py", "class A:\n    def m(self):\n        return f()\ndef f():\n    return 1\n"), ("b.py", "from a import A\nclass B(A):\n    pass\n"), ("tests/t.py", "def test_f():\n    f()\n")]
+    nodes, _ = readers.code_graph(spark.createDataFrame(sources, "path string, text string"))
+    return nodes.select("node_id", "kind", "path")
