@@ -1,15 +1,19 @@
 """Removing repeated byte windows with a depth-limited radix sort of suffixes.
 
 Two suffixes share a window of `length` bytes exactly if they fall into one group after a radix sort that is
-cut off at that depth. The passes go from the most significant digit down and drop groups of one:
+cut off at that depth. The passes go from the most significant digit down; a group of one is never looked at
+again, and a group whose members are equal to the full depth is done:
 
-1. Only suffixes at anchors are sorted first: an anchor is the least of the hashed DIGIT-byte strings in some
-   window, so equal windows share their anchor. Digit one is that string: anchors alone with theirs end here.
-2. Digit two is the whole stretch that all windows of an anchor cover. Equal stretches are repeated windows.
-3. Where stretches differ but the first digit is shared, the windows themselves are the last digit.
+1. Only suffixes at anchors are sorted first. An anchor is the least of the hashed DIGIT-byte strings in some
+   window, so equal windows have equal anchors. The digit is that string; if all members of a group share the
+   whole stretch of bytes that the anchor's windows cover, the group is settled.
+2. In the other groups members are sorted by their stretches. Equal stretches are settled.
+3. What is left are stretches of one member whose group has others: one member of each stretch gives its windows
+   to be sorted by themselves.
 
-Digits are compared by 64-bit (first pass) and 128-bit (others) polynomial hashes. Every pass is an aggregation
-with partial sums, so a large group of copies never meets in one task, and equal texts are sorted once.
+A pass is an aggregation of 64-bit polynomial hashes with partial sums, so large groups of copies never meet in
+one task. Which digits go on comes back to the scans as a bitmap of fixed size (its false hits only cost work);
+what is removed is joined exactly. Texts move once, to meet their ranges.
 
 Defined results: a null text is empty; texts shorter than the window keep all bytes; repeated rows are copies
 of one another; an empty table gives an empty result; further columns are ignored. Matches never cross texts.
@@ -24,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import keep
+from ..session import keep, release, small_batches
 from .common import text_of
-from .minhash import mix
+from .minhash import GOLD, mix
 
 LENGTH = 400
 DIGIT = 300
+#: Bits of the bitmaps of digits, a power of two.
+BITS = 1 << 27
 #: Bases of the polynomial hashes, odd; the byte tables follow from the seeds.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -76,13 +82,13 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - reach)], x[width - reach :]) if reach < width else x
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, digit: int = DIGIT) -> tuple[np.ndarray, ...]:
-    """(first digit's hash, 2 stretch hashes, low, high) of each anchor: it stands for the windows low..high.
+def anchors(data: np.ndarray, length: int = LENGTH, digit: int = DIGIT, roll: Rolling | None = None) -> tuple[np.ndarray, ...]:
+    """(digit, hash of the stretch, low, high) of each anchor: it stands for the windows low..high.
 
     A window's anchor is the leftmost of its least digits. Windows with one minimum value form runs; a run has
     several anchors only if the minimum repeats inside the run.
     """
-    roll = Rolling(data)
+    roll = roll or Rolling(data)
     n = len(data)
     at = np.arange(n - digit + 1)
     value = mix(roll.of(0, at, at + digit))
@@ -108,64 +114,87 @@ def anchors(data: np.ndarray, length: int = LENGTH, digit: int = DIGIT) -> tuple
         lows.append(np.concatenate([[a], ties[:-1] + 1]))
         highs.append(np.minimum(ties, b))
     place, low, high = map(np.concatenate, (places, lows, highs))
-    shape = mix(((place - low).astype(np.uint64) << np.uint64(20)) ^ (high - low).astype(np.uint64) ^ np.uint64(1 << 40))
-    first, second = (roll.of(i, low, high + length) ^ shape for i in (0, 1))
-    return value[place], first, second, low, high
+    return value[place], _stretch(roll, place, low, high, length), low, high
 
 
-def _bytes_of(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
-    for text in batch.column(column):
-        yield np.frombuffer((text.as_py() or "").encode(), np.uint8)
+def _stretch(roll: Rolling, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """Hash of all bytes of the windows low..high, and of where they lie around the anchor."""
+    shape = (place - low).astype(np.uint64) * GOLD + (high - low).astype(np.uint64)
+    return mix(roll.of(0, low, high + length) ^ mix(shape))
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+def _bytes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for text in batch.column("t"):
+        yield np.frombuffer((text.as_py() or "").encode(), np.uint8)
 
 
-def _flat(parts: list, columns: int) -> list[np.ndarray]:
-    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(columns)]
+class _Rows:
+    """Gathers rows of many texts into record batches: th first, then numbers."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.parts, self.count = names, [], 0
+
+    def add(self, th: bytes, *columns: np.ndarray) -> None:
+        self.parts.append((th, columns))
+        self.count += len(columns[0])
+
+    def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.parts and (last or self.count > 50_000):
+            arrays = [self._column(x) for x in zip(*(c for _, c in self.parts))]
+            if "th" in self.names:
+                sizes = [len(c[0]) for _, c in self.parts]
+                arrays.insert(0, pa.array([p[0] for p in self.parts], pa.binary()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))))
+            yield pa.RecordBatch.from_arrays(arrays, self.names)
+            self.parts, self.count = [], 0
+
+
+    @staticmethod
+    def _column(parts: tuple) -> pa.Array:
+        """Numbers, or lists of them given as (values, ends)."""
+        if isinstance(parts[0], tuple):
+            starts = np.cumsum([0] + [len(v) for v, _ in parts[:-1]])
+            ends = np.concatenate([[0], *(e + s for (_, e), s in zip(parts, starts))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), _Rows._column(tuple(v for v, _ in parts)))
+        flat = np.concatenate(parts)
+        return pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(np.int64))
+
+
+def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A bitmap of keys modulo bits: `bits` / 8 bytes whatever the number of keys."""
+    place = F.pmod("key", F.lit(bits)) + 1
+    rows = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in rows.collect():
+        out[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(row["m"], np.uint8)
+    return out
 
 
-def _first_digits(texts: DataFrame, length: int, digit: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, count = [], 0
-            for i, (key, data) in enumerate(zip(batch.column("did").to_pylist(), _bytes_of(batch, "t"))):
-                if len(data) >= length:
-                    found = anchors(data, length, digit)
-                    parts.append((np.full(len(found[0]), key), *found))
-                    count += len(found[0])
-                if count > 200_000 or i == batch.num_rows - 1:
-                    did, h, first, second, low, high = _flat(parts, 6)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(did.astype(np.int64)), _long(h), _long(first), _long(second), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
-                        ["did", "h", "f", "g", "low", "high"])
-                    parts, count = [], 0
+def _marked(key: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = (key & np.uint64(len(marks) * 8 - 1)).astype(np.int64)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+
 
-    return texts.select("did", "t").mapInArrow(run, "did long, h long, f long, g long, low int, high int")
+def _windows_of(roll: Rolling, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (of both bases in one) of all windows of the stretches, one after another, and the stretches' ends."""
+    ends = np.cumsum(high - low + 1)
+    at = np.arange(ends[-1]) + np.repeat(low - np.concatenate([[0], ends[:-1]]), high - low + 1)
+    return mix(roll.of(0, at, at + length)) ^ roll.of(1, at, at + length), ends
 
 
-def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """did, at, w, v, n: both hashes of every window of the stretches in texts(did, t, stretches)."""
+def _scan(texts: DataFrame, names: list[str], kind: str, emit, length: int, digit: int) -> DataFrame:
+    """Rows that emit(rows, th, roll, anchors) adds for each text of texts(th, t) that holds a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(names)
         for batch in batches:
-            parts, count = [], 0
-            rows = zip(batch.column("did").to_pylist(), _bytes_of(batch, "t"), batch.column("stretches").to_pylist())
-            for i, (key, data, stretches) in enumerate(rows):
-                roll = Rolling(data)
-                for x in stretches:
-                    at = np.arange(x["low"], x["high"] + 1)
-                    parts.append((np.full(len(at), key), at, roll.of(0, at, at + length), roll.of(1, at, at + length), np.full(len(at), x["n"])))
-                    count += len(at)
-                if count > 200_000 or i == batch.num_rows - 1:
-                    did, at, w, v, n = _flat(parts, 5)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(did.astype(np.int64)), pa.array(at.astype(np.int32)), _long(w), _long(v), pa.array(n.astype(np.int64))],
-                        ["did", "at", "w", "v", "n"])
-                    parts, count = [], 0
-
-    return texts.mapInArrow(run, "did long, at int, w long, v long, n long")
+            for th, data in zip(batch.column("th").to_pylist(), _bytes_of(batch)):
+                if len(data) >= length:
+                    roll = Rolling(data)
+                    emit(rows, th, roll, anchors(data, length, digit, roll))
+                    yield from rows.batches()
+        yield from rows.batches(True)
+
+    return texts.select("th", "t").mapInArrow(run, kind)
 
 
 def spans_of(ranges: list, length: int) -> list[tuple[int, int]]:
@@ -181,64 +210,92 @@ def spans_of(ranges: list, length: int) -> list[tuple[int, int]]:
 
 
 def _kept(texts: DataFrame, length: int) -> DataFrame:
-    """th, n_bytes, spans, kept_sha256 of texts(th, t, copies, ranges)."""
+    """doc_id, th, n_bytes, spans, kept_sha256 of texts(doc_id, th, t, ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+        schema = pa.schema([("n_bytes", pa.int64()), ("spans", kind), ("kept_sha256", pa.string())])
         for batch in batches:
             out = []
-            rows = zip(batch.column("th").to_pylist(), batch.column("t"), batch.column("copies").to_pylist(), batch.column("ranges"))
-            for th, text, copies, ranges in rows:
+            for ranges, text in zip(batch.column("ranges").to_pylist(), batch.column("t")):
                 data = (text.as_py() or "").encode()
-                if copies > 1:
-                    spans = [(0, len(data))] if len(data) >= length else []
-                else:
-                    spans = spans_of([(x["low"], x["high"]) for x in ranges.as_py() or []], length)
+                spans = spans_of([(x["low"], x["high"]) for x in ranges or []], length)
                 digest, at = hashlib.sha256(), 0
                 for low, high in spans:
                     digest.update(data[at:low])
                     at = high
                 digest.update(data[at:])
-                out.append({"th": th, "n_bytes": len(data), "spans": [{"low": a, "high": b} for a, b in spans], "kept_sha256": digest.hexdigest()})
-            kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("th", pa.string()), ("n_bytes", pa.int64()), ("spans", kind), ("kept_sha256", pa.string())]))
-
-    return texts.mapInArrow(run, "th string, n_bytes long, spans array<struct<low:long,high:long>>, kept_sha256 string")
-
-
-def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th) of all rows, and by th: n_bytes, spans (byte ranges to remove), kept_sha256."""
-    rows = docs.select("doc_id", text_of().alias("t")).withColumn("th", F.md5(F.col("t").cast("binary")))
-    texts = rows.groupBy("th").agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("copies"))
-    texts = keep(texts.withColumn("did", F.monotonically_increasing_id()))
-    many = texts.select("did", "copies")
-    found = keep(_first_digits(texts.where(F.octet_length("t") >= length), length, digit))
-    found = found.join(many, "did")
-    one = F.struct("did", "low", "high").alias("one")
-    stretches = keep(found.groupBy("h", "f", "g").agg(F.sum(F.least("copies", F.lit(2))).alias("n"), F.min(one).alias("one")))
-    by_digit = stretches.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-    mixed = by_digit.where("kinds > 1 and least = 1").select("h")
-    # Stretches seen twice settle their windows; those seen once go on if others share their first digit.
-    settled = stretches.where("n > 1").select("h", "f", "g")
-    ranges = found.where("copies = 1").join(settled, ["h", "f", "g"], "left_semi").select("did", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
-    onward = stretches.join(mixed, "h", "left_semi").select("one.did", F.struct("one.low", "one.high", F.least("n", F.lit(2)).alias("n")).alias("x"))
-    onward = onward.groupBy("did").agg(F.collect_list("x").alias("stretches"))
-    windows = keep(_windows(texts.select("did", "t").join(onward, "did"), length))
-    again = windows.groupBy("w", "v").agg(F.sum("n").alias("total")).where("total > 1")
-    single = windows.where("n = 1").join(again, ["w", "v"], "left_semi").select("did", F.col("at").cast("long").alias("low"), F.col("at").cast("long").alias("high"))
-    gathered = ranges.union(single).groupBy("did").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    whole = texts.join(gathered, "did", "left").select("th", "t", F.least("copies", F.lit(2)).alias("copies"), "ranges")
-    return rows.select("doc_id", "th"), keep(_kept(whole, length))
+                out.append({"n_bytes": len(data), "spans": [{"low": a, "high": b} for a, b in spans], "kept_sha256": digest.hexdigest()})
+            made = pa.RecordBatch.from_pylist(out, schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *made.columns], ["doc_id", "th", *schema.names])
+
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "th", "t", "ranges")
+    return rows.mapInArrow(run, "doc_id long, th binary, n_bytes long, spans array<struct<low:long,high:long>>, kept_sha256 string")
+
+
+def _hash(text):
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataFrame:
+    """doc_id, th (hash of the text), n_bytes, spans (byte ranges to remove), kept_sha256 of every row; kept."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", text_of().alias("t")).withColumn("th", _hash(F.col("t")))
+    texts = rows.where(F.octet_length("t") >= length)
+
+    def digits(out: _Rows, th: bytes, roll: Rolling, found: tuple) -> None:
+        out.add(th, found[0], found[1])
+
+    def stretches(out: _Rows, th: bytes, roll: Rolling, found: tuple) -> None:
+        key, f, low, high = found
+        on = _marked(key, going.value)
+        if on.any():
+            w, ends = _windows_of(roll, low[on], high[on], length)
+            out.add(th, key[on], f[on], (w, ends))
+
+    def answers(out: _Rows, th: bytes, roll: Rolling, found: tuple) -> None:
+        key, f, low, high = found
+        for level, marks in enumerate((done.value, going.value)):
+            on = _marked(key, marks)
+            if on.any():
+                out.add(th, key[on], f[on] if level else np.zeros(on.sum(), np.uint64), (low[on] << 16) + (high - low)[on])
+
+    with small_batches(spark):
+        first = _scan(texts, ["key", "f"], "key long, f long", digits, length, digit)
+        groups = first.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("a"), F.max("f").alias("b")).where("n > 1")
+        groups = keep(groups.select("key", (F.col("a") == F.col("b")).alias("done")))
+        release(spark)
+        going, done = (spark.sparkContext.broadcast(bitmap(groups.where(c))) for c in ("not done", "done"))
+        second = _scan(texts, ["key", "f", "w"], "key long, f long, w array<long>", stretches, length, digit)
+        # Marked by mistake are keys that aren't going on; they are few and end here.
+        members = keep(second.groupBy("key", "f").agg(F.count(F.lit(1)).alias("n"), F.first("w").alias("w")).withColumn("id", F.monotonically_increasing_id()))
+        release(spark)
+        double = keep(members.select(F.explode("w").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x"))
+        single = members.where("n = 1").select("id", F.posexplode("w").alias("at", "x"))
+        places = keep(single.join(double, "x", "left_semi").groupBy("id").agg(F.collect_list("at").alias("at")))
+        release(spark)
+        settled = groups.where("done").select("key", F.lit(0).cast("long").alias("f"), F.lit(None).cast("array<int>").alias("at"))
+        twice = members.where("n > 1").select("key", "f", F.lit(None).cast("array<int>").alias("at"))
+        alone = members.where("n = 1").select("id", "key", "f").join(places, "id").select("key", "f", "at")
+        third = _scan(texts, ["th", "key", "f", "range"], "th binary, key long, f long, range long", answers, length, digit)
+        found = third.join(settled.union(twice).union(alone), ["key", "f"])
+        low = F.shiftright("range", 16)
+        whole = F.struct(low.alias("low"), (low + F.col("range").bitwiseAND(F.lit(0xFFFF))).alias("high"))
+        some = F.transform("at", lambda x: F.struct((low + x).alias("low"), (low + x).alias("high")))
+        found = found.select("th", F.coalesce(some, F.array(whole)).alias("r"))
+        ranges = keep(found.groupBy("th").agg(F.array_distinct(F.flatten(F.collect_set("r"))).alias("ranges")))
+        release(spark)
+        return keep(_kept(rows.join(ranges, "th", "left"), length))
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    ids, found = repeated(docs, length)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["high"] - x["low"])
-    return ids.join(found, "th").select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return repeated(docs, length).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes cut out of text; characters that lose a byte are lost."""
-    _, found = repeated(docs, length)
+    found = repeated(docs, length).groupBy("th").agg(F.first("spans").alias("_spans"))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -251,7 +308,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         return texts.combine(spans, one)
 
-    rows = docs.withColumn("_h", F.md5(text_of().cast("binary")))
-    rows = rows.join(found.select(F.col("th").alias("_h"), F.col("spans").alias("_spans")), "_h", "left")
+    rows = docs.withColumn("_h", _hash(text_of())).join(found.withColumnRenamed("th", "_h"), "_h", "left")
     text = F.when(F.size("_spans") > 0, cut(text_of(), F.col("_spans"))).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(*docs.columns)
