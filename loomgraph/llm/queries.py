@@ -125,6 +125,14 @@ def _pii_sql() -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op1_pii": _pii_sql(),
+    "op3_suffix_dedup": """WITH raw AS (SELECT row_number() OVER () AS rid, doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT rid, h, unnest(range(n - 399)) AS i FROM raw WHERE n >= 400)),
+        again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+        starts AS (SELECT rid, i, CASE WHEN i > lag(i) OVER (PARTITION BY rid ORDER BY i) + 400 THEN 1 ELSE 0 END AS gap FROM w WHERE k IN (SELECT k FROM again)),
+        spans AS (SELECT rid, min(i) AS low, max(i) + 400 AS high FROM (SELECT *, sum(gap) OVER (PARTITION BY rid ORDER BY i) AS island FROM starts) GROUP BY rid, island),
+        cuts AS (SELECT s.rid, low, high, substr(h, 2 * coalesce(lag(high) OVER (PARTITION BY s.rid ORDER BY low), 0) + 1, 2 * (low - coalesce(lag(high) OVER (PARTITION BY s.rid ORDER BY low), 0))) AS kept FROM spans s JOIN raw USING (rid)),
+        done AS (SELECT rid, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY low) AS kept, max(high) AS last FROM cuts GROUP BY rid)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM raw LEFT JOIN done USING (rid)""",
     "op8_sharding": f"""WITH RECURSIVE {CRC_SQL},
         jump(id, k, j, shard, grown) AS (SELECT DISTINCT doc_id, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM documents
             UNION ALL SELECT id, k2, floor((j + 1) * (2147483648.0::DOUBLE / ((k2 // 8589934592) + 1)::DOUBLE))::BIGINT, CASE WHEN j < 16 THEN j ELSE shard END, j
