@@ -157,4 +157,12 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT *, rounds + (extra <> swapped)::BIGINT AS copies, CASE WHEN target > 0 THEN least((before + size / 2) / target, 1.0) ELSE 0.0 END AS x, [-1.0, 0.0, 1.0][place + 1] AS slope, [1.5, 1.0, 0.5][place + 1] AS w FROM n),
         z AS (SELECT *, w * 0.5 + slope * 0.125 AS half FROM k)
         SELECT doc_id, size, source_size, target, copies * size AS taken, copies, round(CASE WHEN x <= half THEN 2 * x / (w + sqrt(greatest(w * w + 2 * slope * x, 0))) ELSE 0.5 + 2 * (x - half) / (1 + sqrt(greatest(1 + 2 * slope * (x - half), 0))) END, 6) AS position FROM z""",
+    "op10_near_duplicates": r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT DISTINCT rid, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+        n AS (SELECT rid, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+        e AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE k * 1000 >= 800 * (x.n + y.n - k) UNION SELECT a.rid, b.rid FROM d a JOIN d b ON a.t = b.t AND a.rid < b.rid),
+        u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, u.b FROM r JOIN u ON u.a = r.other)
+        SELECT doc_id, class_id FROM d JOIN (SELECT r.rid, min(x.doc_id) AS class_id FROM r JOIN d x ON x.rid = r.other GROUP BY 1) USING (rid)""",
 }
