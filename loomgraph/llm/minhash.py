@@ -6,10 +6,11 @@ explored cell by cell until about K ln K + 2K darts have landed, each dart falls
 the earliest of each coordinate is the signature. Two signatures agree in a coordinate with the weighted
 Jaccard similarity as probability.
 
-Signatures are cut into bands that are joined. A band's bucket never expands into all its pairs: its members
-are compared with a hub, and only those that are not yet in the hub's component go on to further hubs (four
-times as many each round) until they have met every member of the bucket. So in each bucket every pair either
-lies in one component or has been compared. Comparison is exact, on the shingle sets.
+Signatures are cut into bands that are joined. A band's bucket never expands into its pairs: its members are
+compared with its hub, the member that lies in the most and largest buckets, the middle of a group of copies.
+Only members that don't end in the hub's component are compared with the hub's other members, in tiles of
+bounded size that count shared shingles by matrix products and give back one link for each join of components.
+So in each bucket every pair either lies in one component or has been compared. Comparison is exact, on sets.
 
 Defined results: a null text is empty; texts without words are near only to equal texts, which always share a
 class; texts of fewer than five words have one shingle; the class is the smallest doc_id in it (null if all
@@ -22,17 +23,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import keep
+from ..session import keep, release, small_batches
 from .common import text_of, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 40, 6
-#: Cells of rank below 1 halve down to this power of two; above 1 they have width 1.
-FINEST = -12
+BANDS, ROWS = 32, 6
+#: Sets on each side of a tile.
+TILE = 1024
+#: Cells of rank below 1 halve down to this power of two.
+FINEST = -5
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,73 +58,70 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _cells() -> Iterator[tuple[float, float]]:
+    """Cells of rank: doubling up to 1, growing by halves beyond, where most limits lie."""
     yield 0.0, 2.0**FINEST
     for j in range(FINEST, 0):
         yield 2.0**j, 2.0 ** (j + 1)
     low = 1.0
     while True:
-        yield low, low + 1.0
-        low += 1.0
+        yield low, 1.5 * low
+        yield 1.5 * low, 2 * low
+        low *= 2
 
 
-def _poisson(area: float) -> list[float]:
+def _poisson(area: float) -> np.ndarray:
     """Probabilities of at most 0, 1, 2 ... darts in a cell."""
-    out, p, total, k = [], math.exp(-area), 0.0, 0
-    while total < 1 - 1e-15 and k < 40:
-        total += p
-        out.append(total)
-        k += 1
-        p *= area / k
-    return out
+    k = np.arange(int(area + 12 * math.sqrt(area) + 30))
+    logs = k * math.log(area) - area - np.array([math.lgamma(x + 1) for x in k])
+    return np.minimum(np.cumsum(np.exp(logs)), 1.0)
 
 
 def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, owners: int, k: int) -> np.ndarray:
-    """Signatures, owners x k. elements: 64-bit hashes; owner: which set each element is in. Sets must not be empty."""
+    """Signatures, owners x k. elements: 64-bit hashes; owner: which set each element is in. Sets must not be empty.
+
+    Ranks rise from cell to cell, so a coordinate that has a dart is done, and only darts on open coordinates are
+    compared. A set with open coordinates goes on beyond its limit.
+    """
     # A weight is cut into cells of width 1, the last one cut off at the weight.
     cells = np.ceil(weights).astype(np.int64)
     where = np.repeat(np.arange(len(elements)), cells)
     nth = np.arange(len(where)) - np.repeat(np.cumsum(cells) - cells, cells)
     base = mix(elements[where] + (nth.astype(np.uint64) + np.uint64(1)) * GOLD)
     top = np.minimum(weights[where] - nth, 1.0)
+    cut = bool((top < 1.0).any())
     own = owner[where].astype(np.int64)
     total = np.bincount(owner, weights, minlength=owners)
-    need = (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300)
-    limit = 2.0 ** np.ceil(np.log2(np.maximum(need, 2.0**FINEST)))
-    answer = np.zeros((owners, k), np.uint64)
-    todo = np.arange(owners)
-    while len(todo):
-        chosen = np.zeros(owners, bool)
-        chosen[todo] = True
-        active = np.flatnonzero(chosen[own])
-        keys, ranks, ids = [], [], []
-        for number, (low, high) in enumerate(_cells()):
-            active = active[limit[own[active]] >= high] if number else active
-            if not len(active):
+    limit = (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300)
+    answer, filled = np.zeros(owners * k, np.uint64), np.zeros(owners * k, bool)
+    active = np.arange(len(base))
+    for number, (low, high) in enumerate(_cells()):
+        if number:
+            active = active[low < limit[own[active]]]
+        if not len(active):
+            unfilled = ~filled.reshape(owners, k).all(axis=1)
+            if not unfilled.any():
                 break
-            seed = mix(base[active] ^ _odd(number + 1, 0xD6E8FEB86659FD93))
-            u, cdf = _unit(seed), _poisson(high - low)
-            hit = np.flatnonzero(u > cdf[0])
-            at, seed, u = active[hit], seed[hit], u[hit]
-            for n in range(1, len(cdf)):
-                dart = mix(seed + _odd(n, 0x9E3779B97F4A7C15))
-                inside = _unit(mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5))) < top[at]
-                place = mix(dart ^ np.uint64(0x5851F42D4C957F2D))
-                keys.append((own[at] * k + (dart % np.uint64(k)).astype(np.int64))[inside])
-                ranks.append((low + (high - low) * _unit(place))[inside])
-                ids.append(dart[inside])
-                more = u > cdf[n]
-                at, seed, u = at[more], seed[more], u[more]
-                if not len(at):
-                    break
-        key, rank, dart = np.concatenate(keys), np.concatenate(ranks), np.concatenate(ids)
-        order = np.argsort(-rank, kind="stable")
-        flat, filled = answer.reshape(-1), np.zeros(owners * k, bool)
-        flat[key[order]] = dart[order]  # the last one written has the least rank
+            limit[unfilled] = max(limit[unfilled].max(), high)
+            active = np.flatnonzero(unfilled[own])
+        seed = mix(base[active] ^ _odd(number + 1, 0xD6E8FEB86659FD93))
+        cdf = _poisson(high - low)
+        u = _unit(seed)
+        hit = np.flatnonzero(u > cdf[0])
+        count = np.searchsorted(cdf, u[hit])
+        at = np.repeat(hit, count)
+        each = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        dart = mix(seed[at] + (each.astype(np.uint64) + np.uint64(1)) * GOLD)
+        at = active[at]
+        if cut:
+            inside = _unit(mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5))) < top[at]
+            at, dart = at[inside], dart[inside]
+        key = own[at] * k + (dart % np.uint64(k)).astype(np.int64)
+        open_ = ~filled[key]
+        key, dart = key[open_], dart[open_]
+        order = np.argsort(mix(dart ^ np.uint64(0x5851F42D4C957F2D)))[::-1]
+        answer[key[order]] = dart[order]  # the last one written has the least rank in the cell
         filled[key] = True
-        missing = ~filled.reshape(owners, k).all(axis=1)
-        todo = np.flatnonzero(missing & chosen)
-        limit[todo] *= 2
-    return answer
+    return answer.reshape(owners, k)
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -148,7 +149,7 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _parts(batch: pa.RecordBatch, words_most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, words_most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many words, so that memory doesn't follow the batch's text."""
     offsets = batch.column("w").offsets.to_numpy()
     low = 0
@@ -226,6 +227,62 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", "sa", "sb", shared.alias("shared")).where(F.col("shared") * 1000 >= whole * least).select("a", "b")
 
 
+def _joined(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of sets with the similarity, as many as join components of the two lists' graph."""
+    ends = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(*flat)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    at = [np.searchsorted(common, f) for f in flat]
+    fits = [common[np.minimum(a, len(common) - 1)] == f if len(common) else np.zeros(len(f), bool) for a, f in zip(at, flat)]
+    order = [np.flatnonzero(fit)[np.argsort(a[fit], kind="stable")] for a, fit in zip(at, fits)]
+    for low in range(0, len(common), 2048):
+        blocks = []
+        for a, o, end, side in zip(at, order, ends, (left, right)):
+            some = o[np.searchsorted(a[o], low) : np.searchsorted(a[o], low + 2048)]
+            block = np.zeros((len(side), 2048), np.float32)
+            block[end[some], a[some] - low] = 1
+            blocks.append(block)
+        shared += blocks[0] @ blocks[1].T
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    whole = sizes[0][:, None] + sizes[1][None, :] - shared
+    parent = list(range(len(left) + len(right)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(shared * 1000 >= whole * int(round(similarity * 1000))))):
+        a, b = find(i), find(len(left) + j)
+        if a != b:
+            parent[a] = b
+            yield i, j
+
+
+def _tiled(waiting: DataFrame, of_hub: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between waiting(hub, th) and all members of the same hub in of_hub(hub, th)."""
+    members = of_hub.join(waiting.select("hub").distinct(), "hub", "left_semi")
+    counts = waiting.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("ni"))
+    counts = keep(counts.join(members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("nj")), "hub"))
+
+    def dealt(rows: DataFrame, mine: str, theirs: str) -> DataFrame:
+        rows = rows.join(counts, "hub").withColumn(mine, F.pmod(F.xxhash64("th"), F.col(f"n{mine}")).cast("int"))
+        rows = rows.join(sets, "th").withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(f"n{theirs}") - 1)))
+        return rows.select(*[F.col(c).alias(c) for c in ("hub", "i", "j", "th", "s")])
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            a, b = left["th"].tolist(), right["th"].tolist()
+            rows = [(min(a[i], b[j]), max(a[i], b[j])) for i, j in _joined(left["s"].tolist(), right["s"].tolist(), similarity) if a[i] != b[j]]
+        return pd.DataFrame({"a": [r[0] for r in rows], "b": [r[1] for r in rows]}, dtype=object)
+
+    left = dealt(waiting, "i", "j").groupBy("hub", "i", "j")
+    return left.cogroup(dealt(members, "j", "i").groupBy("hub", "i", "j")).applyInPandas(compare, "a string, b string")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, root, class_id) of every row of docs, and the links found between different texts."""
     spark = docs.sparkSession
@@ -233,41 +290,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     hashed = base.select(F.md5(F.col("t").cast("binary")).alias("th"), "t")
     texts = keep(hashed.dropDuplicates(["th"])).select("th", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("w"))
     signed = signatures(texts, bands, rows)
-    members = keep(signed.select("th", F.posexplode("bands").alias("band", "key")))
-    full = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("hub")).where("n > 1")
+    with small_batches(spark):
+        members = keep(signed.select("th", F.posexplode("bands").alias("band", "key")))
+    # Texts in many large buckets are the middle of their group of near copies; they are the first hubs.
+    full = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = keep(members.join(full, ["band", "key"]))
-    sets = keep(shingle_sets(texts.join(buckets.select("th").distinct(), "th", "left_semi")))
+    middle = keep(buckets.groupBy("th").agg(F.sum("n").alias("weight")))
+    buckets = buckets.join(middle, "th")
+    hub = buckets.groupBy("band", "key").agg(F.max(F.struct("weight", "th")).alias("top")).select("band", "key", F.col("top.th").alias("hub"))
+    buckets = keep(buckets.join(hub, ["band", "key"]).select("th", "band", "key", "n", "weight", "hub"))
+    with small_batches(spark):
+        sets = keep(shingle_sets(texts.join(buckets.select("th").distinct(), "th", "left_semi")))
     schema = "a string, b string"
-    links = tried = spark.createDataFrame([], schema)
-    labels = spark.createDataFrame([], "node string, root string")
-    waiting, hubs_each = buckets, 1
-    while True:
-        if hubs_each == 1:
-            pairs = waiting.where("th <> hub").select(F.col("hub").alias("a"), F.col("th").alias("b"))
-        else:
-            # The next hubs of each bucket come from all its members, in a repeatable random order.
-            open_buckets = waiting.select("band", "key").distinct()
-            order = Window.partitionBy("band", "key").orderBy(F.xxhash64("th"), "th")
-            hubs = buckets.join(open_buckets, ["band", "key"], "left_semi").withColumn("_n", F.row_number().over(order))
-            hubs = hubs.where(F.col("_n") <= hubs_each).select("band", "key", F.col("th").alias("a"))
-            pairs = waiting.join(hubs, ["band", "key"]).where("th <> a").select("a", F.col("th").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = keep(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(pairs)
-        links = keep(links.union(_similar(pairs, sets, similarity)))
+    release(spark)
+    of_hub = buckets.where("th <> hub").select("hub", "th").distinct()
+    pairs = keep(of_hub.select(F.least("hub", "th").alias("a"), F.greatest("hub", "th").alias("b")).distinct())
+    links = keep(_similar(pairs, sets, similarity))
+    labels = components(links)
+    release(spark)
+    own = labels.select(F.col("node").alias("th"), "root")
+    hubs = labels.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    marked = of_hub.join(own, "th", "left").join(hubs, "hub", "left")
+    waiting = keep(marked.where(F.coalesce("root", "th") != F.coalesce("hub_root", "hub")).select("hub", "th"))
+    if waiting.limit(1).count():
+        links = keep(links.union(_tiled(waiting, of_hub, sets, similarity)))
         labels = components(links)
-        most = waiting.agg(F.max("n").alias("n")).first()["n"] or 0
-        if hubs_each >= most:
-            break
-        side = labels.select(F.col("node").alias("th"), "root")
-        of_hub = labels.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-        marked = waiting.where("th <> hub").join(side, "th", "left").join(of_hub, "hub", "left")
-        apart = F.coalesce(F.col("root"), F.col("th")) != F.coalesce(F.col("hub_root"), F.col("hub"))
-        # A bucket of n has met all its hubs once n of them were compared.
-        waiting = keep(marked.where(apart & (F.col("n") > hubs_each)).select("th", "band", "key", "n", "hub"))
-        if not waiting.limit(1).count():
-            break
-        hubs_each *= 4
+    release(spark)
     ids = keep(base.select("doc_id", F.md5(F.col("t").cast("binary")).alias("th")))
     least = ids.groupBy("th").agg(F.min("doc_id").alias("least"))
     rooted = least.join(labels.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
