@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,7 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or a new one where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        own = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
