@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import calibrate, fusion, graph, lexical, staging, vectors
+from ..operators import calibrate, fusion, graph, hybrid, lexical, staging, vectors
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -640,3 +640,20 @@ def code_nodes(spark, sf):
     sources = [("a.py", "class A:\n    def m(self):\n        return f()\ndef f():\n    return 1\n"), ("b.py", "from a import A\nclass B(A):\n    pass\n"), ("tests/t.py", "def test_f():\n    f()\n")]
     nodes, _ = readers.code_graph(spark.createDataFrame(sources, "path string, text string"))
     return nodes.select("node_id", "kind", "path")
+
+
+@query()
+def hybrid_search(spark, sf):
+    """Lexical and length seeds, expansion to a source's next documents, fusion of all three and the best five."""
+    from pyspark.sql import Window
+
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("id"), "source", "lang", "n_chars")
+    lexical_scores = _scores(spark, sf).select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    batch = spark.createDataFrame([(i,) for i, _ in BATCH], "query_id int")
+    long_docs = docs.where("n_chars > 8000").select("id", F.col("n_chars").cast("double").alias("score")).join(F.broadcast(batch)).select("query_id", "id", "score")
+    following = Window.partitionBy("source").orderBy("id")
+    edges = docs.withColumn("dst", F.lead("id").over(following)).where("dst is not null").select(F.col("id").alias("src"), "dst", F.lit("structural").alias("category"), F.lit("NEXT").alias("type"))
+    starts = hybrid.seeds(lexical_scores, long_docs, 10)
+    reached = hybrid.graph_scores(hybrid.expand(starts, edges, docs, 2, 25, 200))
+    fused = fusion.rrf({"bm25": lexical_scores, "vector": long_docs, "graph": reached}, dict(zip(("bm25", "vector", "graph"), fusion.WEIGHTS)))
+    return lexical.top_k(fused, 5, "id").select("query_id", "id", "score", "matched_by", "rank")
