@@ -52,7 +52,17 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loomgraph/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of kept frames that nothing reads any more."""
+    for frame in frames:
+        jvm = frame.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(frame.kept_path)
+        path.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
