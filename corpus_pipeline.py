@@ -12,8 +12,7 @@ from loomgraph.session import keep, table
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; documents labelled good are what to resemble."""
     trusted = quality_rules.trusted_rows(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    judged = quality_rules.judge(docs, trusted)
-    return judged.where("kept").select(*docs.columns)
+    return quality_rules.passing(docs, trusted)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,18 +54,34 @@ def n_repeat_words(hashes: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(grams, covered))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """docs with _hashes (of the words) and the base columns."""
-    text = text_of()
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    rows = docs.withColumn("_hashes", hashed(words(text)))
-    return rows.withColumns({
-        "n_words": F.size("_hashes").cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        "n_repeat_words": n_repeat_words(F.col("_hashes")),
-    })
+def measured(text: Column, table: Column | None = None, threshold: float = THRESHOLD, size: int = FEATURES) -> Column:
+    """struct of the base columns, llr, base_failed and kept.
+
+    One expression over the text: the word hashes are a lambda's variable, so no rewrite of the plan (a filter on
+    kept, say) computes them again for each word.
+    """
+    def lines(x: Column) -> Column:
+        return (F.size(x) - F.size(F.array_distinct(x))).cast("long")
+
+    def ratio(h: Column) -> Column:
+        if table is None:
+            return F.lit(0.0)
+        return let(features(h, size), lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(table, x.cast("int"))) / F.greatest(F.size(f), F.lit(1)))
+
+    def counts(h: Column) -> Column:
+        return F.struct(
+            F.size(h).cast("long").alias("n_words"),
+            F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lines).alias("n_dup_lines"),
+            n_repeat_words(h).alias("n_repeat_words"), ratio(h).alias("llr"))
+
+    def verdict(m: Column) -> Column:
+        failed = (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
+        return F.struct(*[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr")],
+                        failed.alias("base_failed"), (~failed & (m["llr"] >= threshold)).alias("kept"))
+
+    return let(let(hashed(words(text)), counts), verdict)
 
 
 def trusted_rows(docs: DataFrame, ids: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
@@ -96,9 +112,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, size: int = FEATURES) -> lis
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, size: int = FEATURES) -> DataFrame:
     """docs with the base columns, llr, base_failed and kept. trusted: rows with text to resemble."""
     table = F.split(F.lit(",".join(map(str, log_ratios(docs, trusted, size)))), ",").cast("array<double>")
-    rows = base_counts(docs)
-    found = features(F.col("_hashes"), size)
-    score = let(found, lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(table, x.cast("int"))) / F.greatest(F.size(f), F.lit(1)))
-    rows = rows.withColumn("llr", score)
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold)).drop("_hashes")
+    rows = docs.withColumn("_m", measured(text_of(), table, threshold, size))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col(f"_m.{c}").alias(c) for c in names])
+
+
+def passing(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, size: int = FEATURES) -> DataFrame:
+    """The rows of docs that are kept, unchanged."""
+    table = F.split(F.lit(",".join(map(str, log_ratios(docs, trusted, size)))), ",").cast("array<double>")
+    return docs.where(measured(text_of(), table, threshold, size)["kept"])
