@@ -79,12 +79,21 @@ def ring_guard(events: DataFrame, group: str, order: list, signature: str, mutat
 
 
 def manifest(rows: DataFrame, path: str, digest: str) -> DataFrame:
-    """One hash over all (path, hash) lines in order of path; the lines are hashes, not contents."""
+    """One hash over all (path, hash) lines in order of path. It is sequential by definition, so all lines meet in one
+    task: for lists of files. Tables of any size take manifest_tree."""
     line = F.concat(F.col(path).cast("string"), F.lit("\x00"), F.col(digest), F.lit("\n"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), line.alias("l")))), lambda x: x["l"])
     return rows.agg(F.sha2(F.array_join(lines, ""), 256).alias("corpus_hash"), F.count(F.lit(1)).alias("files"))
 
 
+def manifest_tree(rows: DataFrame, path: str, digest: str, bucket: Column) -> DataFrame:
+    """As manifest, by bucket, and one hash over the buckets' hashes in order; no task holds more than a bucket."""
+    line = F.concat(F.col(path).cast("string"), F.lit("\x00"), F.col(digest), F.lit("\n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), line.alias("l")))), lambda x: x["l"])
+    parts = rows.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(lines, ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("corpus_hash"), F.sum("n").alias("files"))
+
+
 def debt(rows: DataFrame, pending: Column, canonical: Column) -> DataFrame:
     """Share of pending work, three decimals, with its label."""
     totals = rows.agg(F.sum(pending.cast("int")).alias("pending"), F.sum(canonical.cast("int")).alias("canonical"))

@@ -657,3 +657,8 @@ def hybrid_search(spark, sf):
     reached = hybrid.graph_scores(hybrid.expand(starts, edges, docs, 2, 25, 200))
     fused = fusion.rrf({"bm25": lexical_scores, "vector": long_docs, "graph": reached}, dict(zip(("bm25", "vector", "graph"), fusion.WEIGHTS)))
     return lexical.top_k(fused, 5, "id").select("query_id", "id", "score", "matched_by", "rank")
+
+
+@query("""SELECT sha256(string_agg(h, '' ORDER BY b)) AS corpus_hash, sum(n)::BIGINT AS files FROM (SELECT doc_id % 64 AS b, sha256(string_agg(doc_id::VARCHAR || chr(0) || sha256(text) || chr(10), '' ORDER BY doc_id)) AS h, count(*) AS n FROM documents GROUP BY 1)""")
+def manifest_tree_hash(spark, sf):
+    return staging.manifest_tree(_docs(spark, sf).select("doc_id", F.sha2("text", 256).alias("h")), "doc_id", "h", F.col("doc_id") % 64)
