@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import keep, release, small_batches
+from ..session import forget, keep, release, small_batches
 from .common import text_of, words
 
 SHINGLE = 5
@@ -211,8 +211,11 @@ def components(edges: DataFrame) -> DataFrame:
         jumps = labels.select(F.col("node").alias("r"), F.col("root").alias("far"))
         moved = keep(stepped.join(jumps, F.col("root") == F.col("r"), "left").select("node", "old", F.least("root", "far").alias("root")))
         changed = moved.where("old <> root").limit(1).count()
+        forget(labels)
         labels = moved.select("node", "root")
+        labels.kept_path = moved.kept_path
         if not changed:
+            forget(both)
             return labels
 
 
@@ -288,7 +291,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     spark = docs.sparkSession
     base = docs.select("doc_id", text_of().alias("t"))
     hashed = base.select(F.md5(F.col("t").cast("binary")).alias("th"), "t")
-    texts = keep(hashed.dropDuplicates(["th"])).select("th", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("w"))
+    whole = keep(hashed.dropDuplicates(["th"]))
+    texts = whole.select("th", F.transform(words(F.col("t")), lambda w: F.xxhash64(w)).alias("w"))
     signed = signatures(texts, bands, rows)
     with small_batches(spark):
         members = keep(signed.select("th", F.posexplode("bands").alias("band", "key")))
@@ -296,14 +300,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     full = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = keep(members.join(full, ["band", "key"]))
     middle = keep(buckets.groupBy("th").agg(F.sum("n").alias("weight")))
-    buckets = buckets.join(middle, "th")
-    hub = buckets.groupBy("band", "key").agg(F.max(F.struct("weight", "th")).alias("top")).select("band", "key", F.col("top.th").alias("hub"))
-    buckets = keep(buckets.join(hub, ["band", "key"]).select("th", "band", "key", "n", "weight", "hub"))
+    with_weight = buckets.join(middle, "th")
+    hub = with_weight.groupBy("band", "key").agg(F.max(F.struct("weight", "th")).alias("top")).select("band", "key", F.col("top.th").alias("hub"))
+    hubbed = keep(with_weight.join(hub, ["band", "key"]).select("th", "band", "key", "n", "weight", "hub"))
     with small_batches(spark):
         sets = keep(shingle_sets(texts.join(buckets.select("th").distinct(), "th", "left_semi")))
     schema = "a string, b string"
     release(spark)
-    of_hub = buckets.where("th <> hub").select("hub", "th").distinct()
+    of_hub = hubbed.where("th <> hub").select("hub", "th").distinct()
     pairs = keep(of_hub.select(F.least("hub", "th").alias("a"), F.greatest("hub", "th").alias("b")).distinct())
     links = keep(_similar(pairs, sets, similarity))
     labels = components(links)
@@ -315,6 +319,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     if waiting.limit(1).count():
         links = keep(links.union(_tiled(waiting, of_hub, sets, similarity)))
         labels = components(links)
+    forget(whole, members, middle, buckets, hubbed, sets, pairs, waiting)
     release(spark)
     ids = keep(base.select("doc_id", F.md5(F.col("t").cast("binary")).alias("th")))
     least = ids.groupBy("th").agg(F.min("doc_id").alias("least"))
