@@ -31,11 +31,14 @@ HIDDEN = 128
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
-    """The k rows with the largest inner product with each row, itself left out."""
-    near = x @ x.T
-    np.fill_diagonal(near, -np.inf)
+    """The k rows with the largest inner product with each row, itself left out; some rows at a time."""
     k = min(k, len(x) - 1)
-    return np.argpartition(-near, k - 1, axis=1)[:, :k]
+    out = np.empty((len(x), k), np.int64)
+    for at in range(0, len(x), 256):
+        near = x[at : at + 256] @ x.T
+        near[np.arange(len(near)), at + np.arange(len(near))] = -np.inf
+        out[at : at + 256] = np.argpartition(near, len(x) - k, axis=1)[:, len(x) - k :]
+    return out
 
 
 def balanced_parts(graph: np.ndarray, parts: int, passes: int = 4) -> np.ndarray:
@@ -53,7 +56,8 @@ def balanced_parts(graph: np.ndarray, parts: int, passes: int = 4) -> np.ndarray
             nodes = np.flatnonzero(label == p)
             w = weight[np.ix_(nodes, nodes)]
             degree = np.sqrt(w.sum(1) + 1e-6)
-            w = w / degree[:, None] / degree[None, :]
+            w /= degree[:, None]
+            w /= degree[None, :]
             top = degree / np.linalg.norm(degree)
             v = rng.standard_normal(len(nodes)).astype(np.float32)
             for _ in range(30):
