@@ -11,7 +11,7 @@ again, and a group whose members are equal to the full depth is done:
 3. What is left are stretches of one member whose group has others: one member of each stretch gives its windows
    to be sorted by themselves.
 
-A pass is an aggregation of 64-bit polynomial hashes with partial sums, so large groups of copies never meet in
+A pass is an aggregation of polynomial hashes (64 bits for digits, 128 for what is removed) with partial sums, so large groups of copies never meet in
 one task. Which digits go on comes back to the scans as a bitmap of fixed size (its false hits only cost work);
 what is removed is joined exactly. Texts move once, to meet their ranges.
 
@@ -270,9 +270,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, digit: int = DIGIT) -> DataF
         # Marked by mistake are keys that aren't going on; they are few and end here.
         members = keep(second.groupBy("key", "f").agg(F.count(F.lit(1)).alias("n"), F.first("w").alias("w")).withColumn("id", F.monotonically_increasing_id()))
         release(spark)
-        double = keep(members.select(F.explode("w").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x"))
-        single = members.where("n = 1").select("id", F.posexplode("w").alias("at", "x"))
-        places = keep(single.join(double, "x", "left_semi").groupBy("id").agg(F.collect_list("at").alias("at")))
+        # Equal windows have equal digits, so that the digit is the other half of a window's 128 bits.
+        double = keep(members.select("key", F.explode("w").alias("x")).groupBy("key", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "x"))
+        single = members.where("n = 1").select("id", "key", F.posexplode("w").alias("at", "x"))
+        places = keep(single.join(double, ["key", "x"], "left_semi").groupBy("id").agg(F.collect_list("at").alias("at")))
         release(spark)
         settled = groups.where("done").select("key", F.lit(0).cast("long").alias("f"), F.lit(None).cast("array<int>").alias("at"))
         twice = members.where("n > 1").select("key", "f", F.lit(None).cast("array<int>").alias("at"))
