@@ -20,8 +20,8 @@ from .common import WORD, let, text_of, words
 
 FEATURES = 4096
 THRESHOLD = -0.055
-#: At most so many trusted rows are used, those with the least hashed ids; everything else covers all rows.
-TRUSTED_ROWS = 16_384
+#: Bits that say which hashed ids may be trusted, in rows of 32,768: 4 MB to broadcast, however many ids there are.
+ID_BITS = 1 << 25
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -84,10 +84,24 @@ def measured(text: Column, table: Column | None = None, threshold: float = THRES
     return let(let(hashed(words(text)), counts), verdict)
 
 
-def trusted_rows(docs: DataFrame, ids: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
-    """The rows of docs with a doc_id of ids, by a broadcast that the limit bounds; texts aren't shuffled."""
-    some = ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(some), "doc_id", "left_semi")
+def trusted_rows(docs: DataFrame, ids: DataFrame, bits: int = ID_BITS) -> DataFrame:
+    """All rows of docs with a doc_id of ids.
+
+    Bits of hashed ids, a broadcast of fixed size, drop most other rows before the exact join, so that few texts
+    besides the trusted ones are shuffled. More ids than bits only let more rows through to the exact join.
+    """
+    some = ids.select("doc_id").where("doc_id is not null")
+
+    def slot(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits))
+
+    marks = some.select(slot("doc_id").alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_slot) div 8 + 1 as int), 1)")), 16, 10).cast("long")
+    maybe = docs.withColumn("_slot", slot("doc_id")).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(marks), "_bucket")
+    maybe = maybe.where(F.getbit(byte, (F.bitmap_bit_position("_slot") % 8).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # An inner join with distinct ids: Spark would move a semi join below the filter by bits.
+    return maybe.join(some.distinct().hint("shuffle_hash"), "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, size: int = FEATURES) -> list[float]:

@@ -129,6 +129,15 @@ def test_quality_ratio_equals_plain_counts(spark, sf):
         assert abs(r.llr - sum(table[x] for x in f) / max(len(f), 1)) < 1e-5
 
 
+def test_quality_trusts_every_labelled_row(spark):
+    """More ids than the 16,384 once used, with many bits and with few: the rows are exactly those asked for."""
+    docs = spark.range(60_000).selectExpr("id as doc_id", "'a b' as text").union(spark.createDataFrame([(None, "a"), (3, "again")], "doc_id long, text string"))
+    ids = spark.range(20_000).selectExpr("id * 3 as doc_id").union(spark.createDataFrame([(None,), (3,), (10**12,)], "doc_id long"))
+    for bits in ((), (1 << 15,)):
+        got = Counter(r.doc_id for r in quality_rules.trusted_rows(docs, ids, *bits).collect())
+        assert got == Counter([*range(0, 60_000, 3), 3])
+
+
 def test_quality_keeps_labelled_clean_and_drops_most_junk(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
