@@ -2,8 +2,9 @@
 
 Texts are tokenised on the executors and cut into pieces of at most `capacity` tokens. Packing then needs the
 number of pieces of each length only, so the driver works on a histogram of at most `capacity` counts and on
-groups of equal bins: best fit by falling length, then a local search over the underfull bins that moves a
-piece, exchanges one for one or two for one wherever that raises the squared fill, until bins fall empty.
+groups of equal bins: best fit by falling length, then a local search over all underfull groups that moves a
+piece, exchanges one for one or two for one wherever that raises the squared fill, as many bins at a time as
+both groups have, until no step gains or no fewer bins are possible.
 Pieces get their places back by a running number within their length.
 
 Defined results: a null or empty text is the end token alone; equal texts and repeated rows are packed
@@ -14,9 +15,12 @@ tokenised whole and cut by tokens, never by characters.
 from __future__ import annotations
 
 import bisect
+import heapq
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -29,8 +33,6 @@ from .common import running_sum
 CAPACITY = 2048
 END_ID = 0
 BUCKETS = 256
-#: Underfull bins that the local search works on, those with most room.
-SEARCH_BINS = 128
 #: Words whose tokens a worker remembers, and the longest of them.
 CACHE_WORDS, CACHE_CHARS = 800_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -157,71 +159,124 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
     return [(items, many) for left in groups for items, many in groups[left]]
 
 
-def _improve(bins: list[list[int]], capacity: int, rounds: int) -> list[list[int]]:
-    """Local search on single bins: pieces go from emptier to fuller bins by the step that fills the fuller one most.
+def _improve(bins: list[list[int]], capacity: int, rounds: int | None = None) -> list[list[int]]:
+    """The local search on single bins, at most so many steps."""
+    counts = Counter(tuple(sorted(b, reverse=True)) for b in bins if b)
+    return [list(items) for items, many in _search(counts, capacity, 0, rounds) for _ in range(many)]
 
-    Every step raises the sum of squared fills, so the search ends; emptied bins go.
+
+def _search(counts: dict[tuple, int], capacity: int, least: int, rounds: int | None = None) -> list[tuple[tuple, int]]:
+    """Local search on groups of equal bins: pieces go from emptier to fuller bins by the step that fills the fuller one most.
+
+    A step is done min(sources, targets) times at once and splits the groups; inside one group, half of its bins are
+    sources. Every step raises the sum of squared fills, so the search ends: when no pair of underfull bins has a
+    step, or with `least` bins. Every pair of groups is looked at once after the younger one came about.
     """
-    bins = [sorted(b, reverse=True) for b in bins if b]
-    for _ in range(rounds):
-        bins.sort(key=sum)
-        if not _improve_once(bins, capacity):
-            break
-        bins = [b for b in bins if b]
-    return bins
-
-
-def _improve_once(bins: list[list[int]], capacity: int) -> bool:
-    for i, source in enumerate(bins):
-        for target in reversed(bins[i + 1 :]):
-            room = capacity - sum(target)
-            step = _step(source, target, room) if room > 0 else None
-            if step:
-                for x in step[0]:
-                    source.remove(x)
-                    target.append(x)
-                for x in step[1]:
-                    target.remove(x)
-                    source.append(x)
-                return True
-    return False
+    counts = {items: many for items, many in counts.items() if items and many}
+    total, steps, clock = sum(counts.values()), 0, 0
+    slack = {items: sum(items) for items in counts if sum(items) < capacity}
+    born, seen = dict.fromkeys(slack, 0), {}
+    queue = [(fill, items) for items, fill in slack.items()]
+    heapq.heapify(queue)
+
+    def add(items: tuple, many: int) -> None:
+        fill, before = sum(items), counts.get(items, 0)
+        counts[items] = before + many
+        # A group that was one bin has a pair in itself now.
+        if fill < capacity and (before == 0 or (before == 1 and items in seen)):
+            slack[items], born[items] = fill, clock
+            seen.pop(items, None)
+            heapq.heappush(queue, (fill, items))
+
+    def take(items: tuple, many: int) -> None:
+        counts[items] -= many
+        if not counts[items]:
+            del counts[items], slack[items], born[items]
+            seen.pop(items, None)
+
+    while queue and total > least:
+        _, x = heapq.heappop(queue)
+        if x not in slack or x in seen:
+            continue
+        clock += 1
+        seen[x] = clock
+        for y in sorted(slack, key=slack.__getitem__, reverse=True):
+            if y not in slack or seen.get(y, clock) < clock and born[x] < seen[y] or (x == y and counts[x] < 2):
+                continue
+            source, target = (x, y) if slack[x] <= slack[y] else (y, x)
+            step = _step(source, target, capacity - slack[target])
+            if not step and slack[x] == slack[y]:
+                source, target = target, source
+                step = _step(source, target, capacity - slack[target])
+            if not step:
+                continue
+            if steps == rounds:
+                return list(counts.items())
+            many = counts[x] // 2 if x == y else min(counts[x], counts[y])
+            clock += 1
+            steps += 1
+            for items in (source, target):
+                take(items, many)
+            fuller, emptier = list(target), list(source)
+            for goes, comes, moved in ((emptier, fuller, step[0]), (fuller, emptier, step[1])):
+                for piece in moved:
+                    goes.remove(piece)
+                    comes.append(piece)
+            add(tuple(sorted(fuller, reverse=True)), many)
+            if emptier:
+                add(tuple(sorted(emptier, reverse=True)), many)
+            else:
+                total -= many
+            if x not in slack or x not in seen or total <= least:
+                break
+    return list(counts.items())
+
+
+@lru_cache(maxsize=1 << 16)
+def _offers(items: tuple) -> tuple[int, int, tuple]:
+    """A bit for each length in a bin, a bit for each sum of two of its pieces, and the different lengths."""
+    kinds = Counter(items)
+    single = double = 0
+    for a, many in kinds.items():
+        single |= 1 << a
+    for a, many in kinds.items():
+        double |= (single & ~(1 << a)) << a
+        if many > 1:
+            double |= 1 << 2 * a
+    return single, double, tuple(sorted(kinds, reverse=True))
 
 
 def _step(source: list[int], target: list[int], room: int) -> tuple[list[int], list[int]] | None:
     """What to take from source and give back from target so that target gains most, at most room; None if nothing gains."""
+    single, double, _ = _offers(tuple(source))
+    back = _offers(tuple(target))[2]
+    inside = (1 << room + 1) - 2
     best, gain = None, 0
-    for a in set(source):
-        if gain < a <= room:
-            best, gain = ([a], []), a
-    for a in set(source):
-        for b in set(target):
-            if gain < a - b <= room:
-                best, gain = ([a], [b]), a - b
-    if gain < room:
-        pairs = sorted(source, reverse=True)[:64]
-        for b in set(target):
-            for i, a in enumerate(pairs):
-                for c in pairs[i + 1 :]:
-                    if gain < a + c - b <= room:
-                        best, gain = ([a, c], [b]), a + c - b
-    return best
-
-
-def pack(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 2000) -> list[tuple[tuple, int]]:
-    """Groups of equal bins for a histogram of lengths.
-
-    The search works on one bin of each of the underfull groups with most room; what a search on one bin of a
-    group can't reach stays as best fit left it, and no bin is ever added.
-    """
+    for offer, backs in ((single, (0,)), (single, back), (double, back)):
+        for b in backs:
+            most = (offer >> b & inside).bit_length() - 1
+            if most > gain:
+                best, gain = (offer, b), most
+        if gain == room:
+            break
+    if best is None:
+        return None
+    (offer, b), given = best, gain + best[1]
+    if offer is single:
+        return [given], [b] if b else []
+    kinds = Counter(source)
+    first = next(a for a in sorted(kinds, reverse=True) if kinds[given - a] > (2 * a == given))
+    return [first, given - first], [b]
+
+
+def pack(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
+    """Groups of equal bins for a histogram of lengths; the search works on all of them, and no bin is ever added."""
     groups = best_fit(counts, capacity)
     least = -(-sum(k * n for k, n in counts.items()) // capacity)
-    if sum(n for _, n in groups) == least:
-        return groups
-    slack = sorted((g for g in groups if sum(g[0]) < capacity), key=lambda g: sum(g[0]))
-    chosen, fixed = slack[:SEARCH_BINS], slack[SEARCH_BINS:] + [g for g in groups if sum(g[0]) == capacity]
-    fixed += [(items, many - 1) for items, many in chosen if many > 1]
-    improved = _improve([list(items) for items, _ in chosen], capacity, rounds)
-    return fixed + [(tuple(b), 1) for b in improved]
+    same: Counter = Counter()
+    for items, many in groups:
+        same[tuple(sorted(items, reverse=True))] += many
+    return _search(same, capacity, least)
 
 
 def places(groups: list[tuple[tuple, int]]) -> dict[int, list[tuple]]:

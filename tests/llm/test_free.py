@@ -163,6 +163,26 @@ def test_pack_keeps_every_piece_and_search_helps():
     assert len(packing._improve([[6, 4], [5, 3], [5, 3], [4]], 10, 100)) == 3
 
 
+def test_search_reaches_every_bin_of_every_group():
+    # Best fit takes 500 bins: 300 of (819, 819) and 200 of (614, 614, 614).
+    assert sum(many for _, many in packing.pack({819: 600, 614: 600}, 2048)) == 450
+    # The two that gain are not among the 64 longest.
+    assert packing._step([20] * 64 + [6, 5], [2036, 10], 2) == ([6, 5], [10])
+    rng = random.Random(2)
+    for _ in range(100):
+        counts = Counter(rng.randint(5, 39) for _ in range(rng.randint(1, 60)))
+        groups = packing.pack({k: 7 * n for k, n in counts.items()}, 40)
+        got = Counter()
+        for items, many in groups:
+            assert sum(items) <= 40 and many > 0
+            for i in items:
+                got[i] += many
+        assert got == {k: 7 * n for k, n in counts.items()}
+        if sum(many for _, many in groups) > -(-sum(k * n for k, n in got.items()) // 40):
+            slack = [(i, n) for i, n in groups if sum(i) < 40]
+            assert not any(packing._step(x, y, 40 - sum(y)) for x, n in slack for y, _ in slack if sum(x) <= sum(y) and (x != y or n > 1))
+
+
 # --- quality classifier ---
 
 
