@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 from ..operators import calibrate, fusion, graph, hybrid, lexical, staging, vectors
@@ -385,9 +385,13 @@ def unresolved_events(spark, sf):
 
 @query()
 def cycle_edges(spark, sf):
-    """Part follows part in an order's lines; what lies on cycles stays."""
-    lines = table(spark, sf, "lineitem").where("l_linenumber <= 2")
-    pairs = lines.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("u")).join(lines.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("v")), "l_orderkey")
+    """Part follows part in an order's lines, from each line number to the next one there; what lies on cycles stays."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = F.lead("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("after")
+    steps = lines.select("l_orderkey", "l_linenumber").distinct().select("l_orderkey", "l_linenumber", after).where("after is not null")
+    first = lines.withColumnRenamed("l_partkey", "u").join(steps, ["l_orderkey", "l_linenumber"])
+    second = lines.select("l_orderkey", F.col("l_linenumber").alias("after"), F.col("l_partkey").alias("v"))
+    pairs = first.join(second, ["l_orderkey", "after"])
     return graph.cycles(pairs.where("u <> v").select("u", "v"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import calibrate, fusion, graph, staging, vectors
+from loomgraph.plans import catalogue
 
 
 def test_hash_embedding_is_a_unit_vector(spark):
@@ -148,3 +149,10 @@ def test_ring_guard_equals_a_deque(spark):
     frame = spark.createDataFrame(rows, "seq long, g int, s string, m boolean")
     got = staging.ring_guard(frame, "g", ["seq"], "s", F.col("m"))
     assert {(r.seq, r.repeats) for r in got.collect()} == expected
+
+
+def test_cycles_through_later_lines(spark, tmp_path):
+    rows = [(1, 1, 10), (1, 2, 11), (1, 4, 12), (2, 1, 12), (2, 2, 11)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.QUERIES["cycle_edges"](spark, str(tmp_path)).collect()
+    assert sorted((r.u, r.v) for r in got) == [(11, 12), (12, 11)]
