@@ -126,7 +126,7 @@ def passage_budget(spark, sf):
 @query()
 def hash_embed(spark, sf):
     embed = vectors.embedder(64)
-    return _docs(spark, sf).select("doc_id", F.transform(embed(F.substring("text", 1, 2000)), lambda x: F.round(x, 6)).alias("vector"))
+    return _docs(spark, sf).select("doc_id", F.transform(embed(F.col("text")), lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query()

@@ -156,3 +156,10 @@ def test_cycles_through_later_lines(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = catalogue.QUERIES["cycle_edges"](spark, str(tmp_path)).collect()
     assert sorted((r.u, r.v) for r in got) == [(11, 12), (12, 11)]
+
+
+def test_whole_texts_are_embedded(spark, tmp_path):
+    same = "word " * 500
+    spark.createDataFrame([(1, same + "apple"), (2, same + "pear")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    one, two = (r.vector for r in catalogue.QUERIES["hash_embed"](spark, str(tmp_path)).orderBy("doc_id").collect())
+    assert one != two
