@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: White space between words, and what is not.
@@ -63,6 +67,24 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list, amoun
     )
 
 
+def buckets_for(df: DataFrame, least: int, rows_each: int = 1 << 17) -> int:
+    """A power of two of at least `least` buckets of about so many rows each."""
+    buckets, rows = least, df.count()
+    while buckets * rows_each < rows:
+        buckets *= 2
+    return buckets
+
+
+def tidy() -> None:
+    """Give a worker's free memory back to the system: reused workers would hold on to it while others run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def attach(df: DataFrame, small: DataFrame, on: str) -> DataFrame:
     """Left join a kept table of one row per group; broadcast only if it is counted to be small."""
     names = [c for c in small.columns if c != on]

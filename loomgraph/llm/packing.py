@@ -28,13 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import keep, small_batches
-from .common import running_sum
+from .common import buckets_for, running_sum, tidy
 
 CAPACITY = 2048
 END_ID = 0
 BUCKETS = 256
 #: Words whose tokens a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 800_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict = {}
@@ -50,7 +50,6 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.;:!?"}
         self[""] = b""
 
@@ -114,6 +113,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64", "piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+        tidy()
 
     text = F.coalesce("text", F.lit("")).alias("text")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInPandas(run, PIECES)
@@ -299,9 +299,10 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
     spark = docs.sparkSession
     pieces = tokenised(docs, path, capacity)
-    bucket = F.pmod(F.col("ids_crc32") + F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(1 << 20)), F.lit(BUCKETS)).cast("int")
+    spread = F.col("ids_crc32") + F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(1 << 20))
     with small_batches(spark):
-        pieces = keep(pieces.withColumn("bucket", bucket).withColumn("one", F.lit(1).cast("long")))
+        pieces = keep(pieces.withColumn("one", F.lit(1).cast("long")))
+    pieces = pieces.withColumn("bucket", F.pmod(spread, F.lit(buckets_for(pieces, BUCKETS))).cast("int"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     # A row per length, so at most `capacity` rows however many pieces there are.
     runs = [(length, [r[0] for r in found], found) for length, found in places(pack(counts, capacity)).items()]

@@ -118,7 +118,6 @@ def test_tokens_equal_the_tokenizer(docs, path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     texts = [r.text or "" for r in docs.collect()] + ["a b\x1cc  d\te　f", "é é ́x", "İstanbul ΣΑΣ ΟΔΟΣ x", "<|endoftext|> it's I'LL\n\n x", "a" * 3000, "\x85q z", "a,, b., c!? d...", "Word, wORD. x9, 9, don't,"]
     for text, got in zip(texts, packing.token_bytes(texts, path)):
         assert np.frombuffer(got, "<u4").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
@@ -241,58 +240,93 @@ def test_classifier_without_labels(spark, docs):
 # --- language model ---
 
 
-def test_scores_equal_one_trie(spark, docs, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "RANGE_WORDS", 1500)
-    monkeypatch.setattr(lm_scoring, "HOT_WORDS", 200)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    counts = Counter()
+def _one_trie(texts, order=lm_scoring.ORDER):
+    """Counts by context (a tuple of byte values, farthest first) of all orders, in one dict."""
+    trie = {}
+    for text in texts:
+        symbols = [lm_scoring.BEFORE] * order + list(text.encode().lower()) + [lm_scoring.END]
+        for i in range(order, len(symbols)):
+            for k in range(order + 1):
+                node = trie.setdefault(tuple(symbols[i - k : i]), {})
+                node[symbols[i]] = node.get(symbols[i], 0) + 1
+    return trie
+
+
+def _ppm(trie, context, symbol):
+    """Probability of a symbol after a context, by the definition."""
+    p, excluded = 1.0, set()
+    for k in range(len(context), -1, -1):
+        node = {s: n for s, n in trie.get(tuple(context[len(context) - k :]), {}).items() if s not in excluded}
+        if not node:
+            continue
+        whole = sum(node.values()) + len(node)
+        if symbol in node:
+            return p * node[symbol] / whole
+        p *= len(node) / whole
+        excluded |= node.keys()
+    return p / (lm_scoring.SYMBOLS - len(excluded))
+
+
+def _expected(rows):
+    trained = [t or "" for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    trie = _one_trie(trained)
+    counts = Counter(w for t in trained for w in [*t.encode().lower().split(), b""])
+    total, out = sum(counts.values()), []
     for doc_id, text in rows:
-        if doc_id is None or zlib.crc32(str(doc_id).encode()) % 7 != 2:
-            counts.update([*lm_scoring.tokens(text), b""])
-    total, kinds, tails = sum(counts.values()), len(counts), {}
-    for word, n in counts.items():
-        for i in range(len(word) + 1):
-            symbol = word[i] if i < len(word) else lm_scoring.STOP
-            for key in lm_scoring.tail_keys(word, i):
-                row = tails.setdefault(key, {})
-                row[symbol] = row.get(symbol, 0) + n
-    trie = lm_scoring.Trie(tails)
-    for word, n in counts.items():
-        trie.add(word, n)
-    expected = defaultdict(list)
-    for doc_id, text in rows:
-        some = [*lm_scoring.tokens(text), b""]
-        base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in some)
-        expected[doc_id].append((len(some), sum(counts[w] > 0 for w in some), base, sum(map(trie.log10, some))))
-    got = lm_scoring.score(docs, lm_scoring.in_training()).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.train_tokens == total
-        assert any((n, k) == (r.n_tokens, r.n_known) and abs(b - r.base_score) < 1e-6 * abs(b) and abs(s - r.score) < 1e-6 * abs(s) for n, k, b, s in expected[r.doc_id])
+        symbols = [lm_scoring.BEFORE] * lm_scoring.ORDER + list((text or "").encode().lower()) + [lm_scoring.END]
+        ppm = sum(math.log10(_ppm(trie, symbols[i - lm_scoring.ORDER : i], symbols[i])) for i in range(lm_scoring.ORDER, len(symbols)))
+        some = [*(text or "").encode().lower().split(), b""]
+        base = sum(math.log10((counts[w] + 1) / (total + len(counts) + 1)) for w in some)
+        out.append((doc_id, len(some), sum(counts[w] > 0 for w in some), total, base, ppm))
+    return out
+
+
+def _near(got, expected):
+    key = lambda r: (r[0] is None, r[0] or 0, round(r[5], 3))
+    for g, e in zip(sorted(got, key=key), sorted(expected, key=key), strict=True):
+        assert g[:4] == e[:4]
+        assert g[4] == pytest.approx(e[4], rel=1e-9) and g[5] == pytest.approx(e[5], rel=1e-6)
+
+
+@pytest.mark.parametrize("block_bytes", [1500, 1 << 20])
+def test_scores_equal_one_trie(spark, block_bytes):
+    import random
+
+    words = "the cat sat on a mat \u00e9t\u00e9 \u4e2d\u6587 Don't x1 of\x0bthe".split(" ")
+    pick = random.Random(4)
+    rows = [(i, " ".join(pick.choices(words, k=pick.randrange(40)))) for i in range(60)]
+    rows += [(3, rows[3][1]), (None, "a  spaced\n\ttext "), (None, None), (70, ""), (71, "\U0001f600" * 3), (72, "z" * 200), (9, "never seen Q")]
+    docs = spark.createDataFrame([(*r, "clash", 7) for r in rows], "doc_id long, text string, block string, bucket int")
+    got = lm_scoring.score(docs, lm_scoring.in_training(), block_bytes=block_bytes).collect()
+    _near([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], _expected(rows))
+
+
+def test_scores_depend_on_the_order_of_words(spark):
+    rows = [(i, "one two three four five") for i in range(20)] + [(100, "five four three two one")]
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] > got[100] + 3
+
+
+def test_scores_without_training_or_rows(spark):
+    docs = spark.createDataFrame([(1, "ab"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, F.lit(False)).collect()}
+    assert got[1].score == pytest.approx(-3 * math.log10(lm_scoring.SYMBOLS)) and got[2].base_score == 0 and got[2].n_known == 0
     assert lm_scoring.score(docs.limit(0)).count() == 0
 
 
 def test_symbols_of_a_context_add_up_to_one():
-    tails, words = {}, {b"the": 5, b"then": 2, b"that": 1, b"a": 4, b"": 3}
-    for word, n in words.items():
-        for i in range(len(word) + 1):
-            for key in lm_scoring.tail_keys(word, i):
-                row = tails.setdefault(key, {})
-                symbol = word[i] if i < len(word) else lm_scoring.STOP
-                row[symbol] = row.get(symbol, 0) + n
-    trie = lm_scoring.Trie(tails)
-    for word, n in words.items():
-        trie.add(word, n)
-    for prefix in (b"", b"th", b"xq", b"the"):
-        node = trie.paths.get(prefix)
-        total = 0.0
-        for symbol in range(257):
-            word = prefix + (bytes([symbol]) if symbol < 256 else b"")
-            if node and symbol in node:
-                total += node[symbol] / (trie.sums[prefix] + len(node))
-            else:
-                total += 10 ** trie._escaped(word, len(prefix), symbol, node, trie.sums.get(prefix, 0))
-        assert abs(total - 1) < 1e-9
+    texts = ["abra cadabra", "abracadabra", "a bra"]
+    data = lm_scoring.joined(texts)
+    codes, counts = lm_scoring.counted(lm_scoring.strings(data), lm_scoring.strings(data))
+    low = lm_scoring.low_levels(*lm_scoring._summed((codes >> np.uint64(32) << np.uint64(8)) | (codes & np.uint64(255)), counts))
+    for context in (b"dabra", b"zzzzz", b"zabra", b"\xfe\xfe\xfeab"):
+        base = int.from_bytes(context, "little")  # the nearest byte is the most significant
+        every = np.array([base << 8 | s for s in range(256) if s != lm_scoring.BEFORE], np.uint64)
+        all_codes = np.unique(np.concatenate([codes, every]))
+        found = np.zeros(len(all_codes), np.int64)
+        found[np.searchsorted(all_codes, codes)] = counts
+        got = lm_scoring.costs(all_codes, found, low)[np.searchsorted(all_codes, every)]
+        assert sum(10**got) == pytest.approx(1)
 
 
 # --- near duplicates ---
