@@ -3,7 +3,7 @@
 A text is cut into overlapping chunks of bytes that cover all of it. Bytes are embedded, learned filters slide
 over each chunk and are max-pooled there; the means and the maxima of the chunks' answers are combined into one
 probability. The network is trained here on at most TRAIN_ROWS labelled rows (those with the least hashed
-doc_id), of each the first TRAIN_CHARS characters; scoring covers whole texts.
+doc_id), on all chunks of their whole texts; scoring covers whole texts too.
 
 Defined results: a null or empty text is one chunk of padding and gets a score like any other; equal texts
 score alike; rows without label, or with a null one, teach nothing; with one class or none in the labels every
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import keep, small_batches
-from .common import text_of
+from .common import text_of, tidy
 
-TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
+TRAIN_ROWS = 3000
 CHUNK, OVERLAP = 512, 64
 WIDTH, STRIDE, EMBED, FILTERS = 12, 4, 6, 32
-EPOCHS, BATCH, CHUNKS_A_ROW = 5, 32, 6
+EPOCHS, BATCH = 5, 32
 WINDOWS = (CHUNK - WIDTH) // STRIDE + 1
 PREDICT = 0.7
 
@@ -83,11 +83,10 @@ class Network:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(a) for k, a in self.p.items()}
         step = 0
-        whole = [chunks(t) for t in texts]
         for _ in range(epochs):
             for at in range(0, len(texts), BATCH):
                 some = (order := rng.permutation(len(texts)) if at == 0 else order)[at : at + BATCH]
-                picked = [c if len(c) <= CHUNKS_A_ROW else c[rng.choice(len(c), CHUNKS_A_ROW, replace=False)] for c in (whole[i] for i in some)]
+                picked = [chunks(texts[i]) for i in some]
                 starts = np.cumsum([0] + [len(c) for c in picked[:-1]])
                 step += 1
                 for k, g in self._gradients(np.concatenate(picked), starts, labels[some], weight[some]).items():
@@ -96,7 +95,8 @@ class Network:
                     self.p[k] = self.p[k] - np.float32(0.004) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def _gradients(self, rows: np.ndarray, starts: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict:
-        best, where = self.pooled(rows)
+        parts = [self.pooled(rows[a : a + 128]) for a in range(0, len(rows), 128)]
+        best, where = (np.concatenate(x) for x in zip(*parts))
         features = self.combine(best, starts)
         error = ((self.probability(features) - labels) * weight / len(labels)).astype(np.float32)
         g = {"dense": features.T @ error, "offset": error.sum(keepdims=True)}
@@ -105,14 +105,17 @@ class Network:
         to_mean = back[text, :FILTERS] / sizes[text][:, None]
         top = features[text, FILTERS:] == best
         to_best = (to_mean + back[text, FILTERS:] * top) * (best > 0)
-        chunk = np.arange(len(rows))[:, None]
-        at = where[..., None] * STRIDE + np.arange(WIDTH)
-        seen = rows[chunk[..., None], at]
-        inputs = self.p["embed"][seen].reshape(len(rows), FILTERS, WIDTH * EMBED)
-        g["filters"] = np.einsum("cf,cfx->xf", to_best, inputs, optimize=True)
         g["bias"] = to_best.sum(0)
-        to_input = (to_best[..., None] * self.p["filters"].T[None]).reshape(-1, EMBED)
-        g["embed"] = np.stack([np.bincount(seen.ravel(), to_input[:, e], 256) for e in range(EMBED)], axis=1).astype(np.float32)
+        g["filters"], g["embed"] = np.zeros_like(self.p["filters"]), np.zeros((256, EMBED))
+        for a in range(0, len(rows), 512):
+            some = slice(a, a + 512)
+            chunk = np.arange(len(rows[some]))[:, None, None]
+            seen = rows[some][chunk, where[some][..., None] * STRIDE + np.arange(WIDTH)]
+            inputs = self.p["embed"][seen].reshape(-1, FILTERS, WIDTH * EMBED)
+            g["filters"] += np.einsum("cf,cfx->xf", to_best[some], inputs, optimize=True)
+            to_input = (to_best[some][..., None] * self.p["filters"].T[None]).reshape(-1, EMBED)
+            g["embed"] += np.stack([np.bincount(seen.ravel(), to_input[:, e], 256) for e in range(EMBED)], axis=1)
+        g["embed"] = g["embed"].astype(np.float32)
         return g
 
 
@@ -120,8 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network |
     """A trained network from labels(doc_id, quality); a constant where the labels have fewer than two classes."""
     some = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    taught = docs.join(F.broadcast(some), "doc_id").select("doc_id", F.substring(text_of(), 1, TRAIN_CHARS).alias("t"), "quality").toPandas()
-    taught = taught.sort_values(["doc_id", "t"]).head(rows)
+    taught = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(some), "doc_id")
+    # A doc_id may have many rows; the bound is on rows, so it is kept before anything is collected.
+    taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(rows).toPandas()
     y = taught["quality"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return float(y[0]) if len(y) else 0.5
@@ -150,6 +154,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
                         flush(network, waiting, scores)
                         waiting, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
+        tidy()
 
     def flush(network: Network, waiting: list, scores: np.ndarray) -> None:
         plain = [found for _, found in waiting if not isinstance(found, list)]
