@@ -148,13 +148,13 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS n
             FROM l WINDOW w AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT source, source_size, place, least(cap, coalesce((SELECT arg_min(level, n) FROM r WHERE cap >= level * weight) * weight, cap)) AS target FROM r),
-        b AS (SELECT o.*, source_size, place, target, coalesce(sum(size) OVER (PARTITION BY o.source ORDER BY ord % 1024, ord, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+        b AS (SELECT o.*, source_size, place, target, coalesce(sum(size) OVER (PARTITION BY o.source ORDER BY (ord + size) % 1024, ord, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
             CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 1 END AS rounds FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
         e AS (SELECT *, target - rounds * source_size AS rest, (before + size / 2 < target - rounds * source_size) AND rounds < 3 AS extra FROM b),
         g AS (SELECT *, rest - sum(CASE WHEN extra THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM e),
         c AS (SELECT *, size > 0 AND rounds < 3 AND extra = (gap < 0) AND abs(abs(gap) - size) < abs(gap) AS fits FROM g),
         n AS (SELECT *, CASE WHEN fits THEN row_number() OVER (PARTITION BY source, fits ORDER BY abs(abs(gap) - size), ord, doc_id NULLS FIRST, size, before) = 1 ELSE false END AS swapped FROM c),
-        k AS (SELECT *, rounds + (extra <> swapped)::BIGINT AS copies, CASE WHEN target > 0 THEN least((before + size / 2) / target, 1.0) ELSE 0.0 END AS x, [-1.0, 0.0, 1.0][place + 1] AS slope, [1.5, 1.0, 0.5][place + 1] AS w FROM n),
+        k AS (SELECT *, CASE WHEN size = 0 THEN 1 ELSE rounds + (extra <> swapped)::BIGINT END AS copies, CASE WHEN target > 0 THEN least((before + size / 2) / target, 1.0) ELSE 0.0 END AS x, [-1.0, 0.0, 1.0][place + 1] AS slope, [1.5, 1.0, 0.5][place + 1] AS w FROM n),
         z AS (SELECT *, w * 0.5 + slope * 0.125 AS half FROM k)
         SELECT doc_id, size, source_size, target, copies * size AS taken, copies, round(CASE WHEN x <= half THEN 2 * x / (w + sqrt(greatest(w * w + 2 * slope * x, 0))) ELSE 0.5 + 2 * (x - half) / (1 + sqrt(greatest(1 + 2 * slope * (x - half), 0))) END, 6) AS position FROM z""",
     "op10_near_duplicates": r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
