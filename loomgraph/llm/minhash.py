@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import forget, keep, release, small_batches
-from .common import text_of, words
+from .common import text_of, tidy, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-#: Sets on each side of a tile.
-TILE = 1024
+#: Sets, and shingles of them, on each side of a tile.
+TILE, TILE_SHINGLES = 512, 1 << 18
 #: Cells of rank below 1 halve down to this power of two.
 FINEST = -5
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -179,6 +179,7 @@ def signatures(texts: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFr
             flat = pa.array(keys.view(np.int64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), flat)
             yield pa.RecordBatch.from_arrays([batch.column("th").take(pa.array(some)), lists], ["th", "bands"])
+        tidy()
 
     return texts.mapInArrow(run, "th string, bands array<long>")
 
@@ -192,6 +193,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("th"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["th", "s"])
+        tidy()
 
     return texts.mapInArrow(run, "th string, s array<long>")
 
@@ -267,8 +269,10 @@ def _joined(left: list[np.ndarray], right: list[np.ndarray], similarity: float)
 def _tiled(waiting: DataFrame, of_hub: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
     """Links (a, b) between waiting(hub, th) and all members of the same hub in of_hub(hub, th)."""
     members = of_hub.join(waiting.select("hub").distinct(), "hub", "left_semi")
-    counts = waiting.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("ni"))
-    counts = keep(counts.join(members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("nj")), "hub"))
+    sizes = sets.select("th", F.size("s").alias("k"))
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum("k") / TILE_SHINGLES)).cast("int")
+    counts = waiting.join(sizes, "th").groupBy("hub").agg(tiles.alias("ni"))
+    counts = keep(counts.join(members.join(sizes, "th").groupBy("hub").agg(tiles.alias("nj")), "hub"))
 
     def dealt(rows: DataFrame, mine: str, theirs: str) -> DataFrame:
         rows = rows.join(counts, "hub").withColumn(mine, F.pmod(F.xxhash64("th"), F.col(f"n{mine}")).cast("int"))
@@ -336,6 +340,8 @@ def without_copies(docs: DataFrame, **options) -> DataFrame:
     found, _ = near_duplicates(docs.select("doc_id", "text"), **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "th")).alias("first")
     chosen = keep(found.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.th").alias("_th")))
-    rows = docs.withColumn("_h", F.md5(text_of().cast("binary")))
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    rows = docs.select(whole, F.md5(text_of().cast("binary")).alias("_h"))
+    kept = rows.join(chosen, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    first = kept.groupBy(F.col("_row.doc_id").alias("_id"), "_h").agg(F.first("_row").alias("_row"))
+    return first.select(*[F.col("_row")[c].alias(c) for c in columns])

@@ -1,12 +1,14 @@
 """Finding and sanitising personal data, in DataFrame functions only.
 
-Base patterns find the protected entities: e-mail addresses, IPv4 addresses, card and phone numbers. Corpus
-co-occurrence then estimates how strongly each capitalised term near an entity reveals it, as the share
-PMI(entity; term) / IC(entity) of the entity's information that the term discloses. Terms above a first
-threshold are generalised and those above a second one removed, wherever they stand near that entity.
+Base patterns find the protected entities: e-mail addresses, IPv4 addresses, card and phone numbers. An entity
+is protected both as a value (one address) and as a class (any address). Co-occurrence over the whole corpus then
+estimates how strongly each term reveals an entity, as the share PMI(entity; term) / IC(entity) of the entity's
+information that the term discloses. Terms above a first threshold are generalised and those above a second one
+removed, wherever they stand in a text that holds the entity.
 
-All counts are over different texts, so copies of a document count once; a pair counts by the different
-contexts it was seen in, and pairs seen in fewer than `support` contexts disclose nothing.
+The one unit of all counts is the different text, so copies count once. Terms are runs of three and more letters,
+digits and low lines outside the base spans. A term must share SUPPORT texts with a value, or CLASS_SUPPORT with
+a class, to say anything about it. Entities with the same set of texts are counted as one.
 
 Defined results: a null text is empty and has no spans; equal texts get equal spans whatever their ids; an
 empty table gives an empty result; further columns are carried by sanitise(). Offsets are code points.
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import keep
+from ..session import forget, keep
 from .common import BROADCAST_ROWS, let, text_of
 
 #: The kinds in order and their patterns. Look-behinds and possessive repeats only keep the
@@ -29,11 +31,11 @@ PATTERNS = {
 }
 #: What every match of a kind contains, a cheap test before the pattern.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TERM = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{N}'-]{2,}"
-RADIUS = 64
-SUPPORT = 3
+TERM = r"[\p{L}\p{N}_]{3,}"
+SUPPORT, CLASS_SUPPORT = 2, 5
 GENERALISE, REMOVE = 0.8, 0.95
 PIECE = "array<struct<start:bigint,end:bigint,value:string>>"
+SPANS = "array<struct<start:bigint,place:int,end:bigint,kind:string,value:string>>"
 
 
 def located(text: Column, pattern: str, base: Column | None = None) -> Column:
@@ -93,101 +95,118 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of_kind(place, kind, pattern) for place, (kind, pattern) in enumerate(PATTERNS.items())]))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Capitalised terms beside a span, with offsets; a word that the radius cuts doesn't count."""
-    low = F.greatest(span["start"] - RADIUS, F.lit(0).cast("long"))
-    left = F.substr(text, (low + 1).cast("int"), (span["start"] - low).cast("int"))
-    right = F.substr(text, (span["end"] + 1).cast("int"), F.lit(RADIUS))
-    skipped = F.when(low > 0, F.length(F.regexp_extract(left, r"^[\p{L}\p{N}'-]*", 0))).otherwise(F.lit(0))
-    before = let(skipped, lambda k: located(F.substr(left, k + 1, F.lit(RADIUS)), TERM, low + k))
-    whole = F.when(F.length(right) < RADIUS, right).otherwise(F.regexp_replace(right, r"[\p{L}\p{N}'-]+$", ""))
-    return F.concat(before, located(whole, TERM, span["end"]))
+def _gaps(text: Column, spans: Column) -> Column:
+    """array<struct<start, end>> of what lies between the spans."""
+    def step(s: Column, x: Column) -> Column:
+        gap = F.array(F.struct(s["at"].alias("start"), x["start"].alias("end")))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] > s["at"], F.concat(s["out"], gap)).otherwise(s["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+    last = lambda s: F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), F.length(text).cast("long").alias("end"))))
+    return F.aggregate(spans, start, step, last)
+
+
+def _terms(text: Column, spans: Column) -> Column:
+    """Terms outside the spans, with offsets."""
+    part = lambda g: located(F.substr(text, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")), TERM, g["start"])
+    return let(_gaps(text, spans), lambda gaps: F.flatten(F.transform(gaps, part)))
+
+
+def _hash(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def _small(side: DataFrame) -> DataFrame:
+    """A kept side, broadcast only if it is counted to be small."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), spans (base), kept in the shared folder; texts are read once."""
-    rows = docs.select("doc_id", text_of().alias("t")).select("doc_id", "t", base_spans(F.col("t")).alias("spans"))
-    near = F.transform("spans", lambda s: F.struct(
-        s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"),
-        F.md5(F.substr("t", F.greatest(s["start"] - RADIUS + 1, F.lit(1).cast("long")).cast("int"), (s["end"] - s["start"] + 2 * RADIUS).cast("int")).cast("binary")).alias("context"),
-        _near(F.col("t"), s).alias("terms")))
-    return keep(rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("th"), near.alias("spans")))
-
-
-def disclosed(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """entity, term, action of the terms that disclose an entity beyond the thresholds; kept."""
-    texts = found.where(F.size("spans") > 0).select("th", F.explode("spans").alias("s"))
-    mentions = texts.select("th", F.concat_ws(":", "s.kind", "s.value").alias("entity"), "s.context", "s.terms")
-    pairs = mentions.select("entity", "context", F.explode("terms.value").alias("term")).groupBy("entity", "term")
-    pairs = pairs.agg(F.count_distinct("context").alias("together")).where(F.col("together") >= support)
-    pairs = keep(pairs)
-    wanted = keep(pairs.select("term").distinct())
+    """th (the text's hash), t, spans (base) of each different text; kept."""
+    rows = docs.select(text_of().alias("t")).select(_hash(F.col("t")).alias("th"), "t").dropDuplicates(["th"])
+    return keep(rows.select("th", "t", base_spans(F.col("t")).alias("spans")))
+
+
+def disclosed(found: DataFrame, support: int = SUPPORT, class_support: int = CLASS_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """th, terms: in each different text the spans of terms that disclose an entity of that text; kept."""
+    held = keep(found.where(F.size("spans") > 0).select("th", "spans", _terms(F.col("t"), F.col("spans")).alias("terms")))
+    values = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))
+    named = F.array_distinct(F.concat(values, F.transform("spans", lambda s: s["kind"])))
+    mentions = held.select("th", F.explode(named).alias("entity"))
+    # Entities by their sets of texts, told apart by size and two sums of hashes.
+    prints = (F.bit_xor(F.xxhash64("th")).alias("x"), F.sum(F.pmod(F.xxhash64("th", F.lit(1)), F.lit(1 << 31))).alias("y"))
+    least = F.when(F.instr("entity", ":") > 0, F.lit(support)).otherwise(F.lit(class_support))
+    sets = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), *prints).withColumn("least", least).where("texts >= least")
+    sets = keep(sets.select("entity", "texts", F.concat_ws(":", "texts", "x", "y").alias("set"), "least"))
+    members = keep(mentions.join(_small(sets.select("entity", "set")), "entity").select("th", "set").distinct())
+    kinds = sets.groupBy("set").agg(F.min("least").alias("least"), F.first("texts").alias("texts"))
+    words = members.join(held.select("th", F.array_distinct(F.transform("terms", lambda x: x["value"])).alias("words")), "th")
+    pairs = words.select("set", F.explode("words").alias("term")).groupBy("set", "term").agg(F.count(F.lit(1)).alias("together"))
+    pairs = keep(pairs.join(_small(keep(kinds)), "set").where("together >= least"))
     # How many different texts hold each wanted term, over the whole corpus.
-    seen = docs.select(text_of().alias("t")).select(F.md5(F.col("t").cast("binary")).alias("th"), F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))).alias("term"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    in_texts = seen.join(side, "term", "left_semi").groupBy("term").agg(F.count_distinct("th").alias("with_term"))
-    with_entity = mentions.groupBy("entity").agg(F.count_distinct("th").alias("with_entity"))
-    n = F.lit(float(max(found.select("th").distinct().count(), 1)))
-    information = F.log(n / F.col("with_entity"))
-    pmi = F.log(F.least(F.col("together"), F.col("with_entity"), F.col("with_term")) * n / (F.col("with_entity") * F.col("with_term")))
-    scored = pairs.join(in_texts, "term").join(with_entity, "entity").withColumn("share", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
+    wanted = keep(pairs.select("term").distinct())
+    seen = found.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))).alias("term"))
+    in_texts = seen.join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    n = F.lit(float(max(found.count(), 1)))
+    information = F.log(n / F.col("texts"))
+    pmi = F.log(F.col("together") * n / (F.col("texts") * F.col("with_term")))
+    scored = pairs.join(in_texts, "term").withColumn("share", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
-    return keep(scored.where(F.col("share") >= generalise).select("entity", "term", action.alias("action")))
+    telling = keep(scored.where(F.col("share") >= generalise).select("set", "term", action.alias("action")))
+    hits = words.select("th", "set", F.explode("words").alias("term")).join(_small(telling), ["set", "term"])
+    hits = keep(hits.groupBy("th", "term").agg(F.max("action").alias("action")))
+    marks = held.select("th", F.explode("terms").alias("x")).select("th", F.col("x.value").alias("term"), "x.start", "x.end").join(_small(hits), ["th", "term"])
+    one = F.struct("start", F.lit(len(PATTERNS)).alias("place"), "end", F.lit("term").alias("kind"), F.col("action").alias("value"))
+    marks = keep(marks.groupBy("th").agg(F.collect_list(one).alias("terms")))
+    forget(held, sets, members, pairs, wanted, telling, hits)
+    return marks
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """th, terms: the spans of disclosing terms in each different text; kept."""
-    marks = found.where(F.size("spans") > 0).select("th", F.explode("spans").alias("s"))
-    marks = marks.select("th", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode("s.terms").alias("x")).select("th", "entity", F.col("x.value").alias("term"), "x.start", "x.end")
-    side = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    hits = marks.distinct().join(side, ["entity", "term"]).groupBy("th", "start", "end").agg(F.max("action").alias("action"))
-    one = F.struct("start", F.lit(len(PATTERNS)).alias("place"), "end", F.lit("term").alias("kind"), F.col("action").alias("value"))
-    return keep(hits.groupBy("th").agg(F.collect_list(one).alias("terms")))
+def spans_by_text(docs: DataFrame) -> DataFrame:
+    """th, base, spans (base and terms, sorted) of each different text that has any; kept."""
+    found = find(docs)
+    marks = disclosed(found)
+    rows = found.where(F.size("spans") > 0).select("th", F.col("spans").alias("base"))
+    whole = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPANS))))
+    both = keep(rows.join(_small(marks), "th", "left").select("th", "base", whole.alias("spans")))
+    forget(found, marks)
+    return both
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _with_terms(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    return rows.join(side, "th", "left")
-
-
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: counts by kind, a digest of the base spans and all spans."""
-    found = find(docs)
-    marks = term_spans(found, disclosed(docs, found))
-    slim = found.select("doc_id", "th", F.transform("spans", lambda s: s.dropFields("context", "terms")).alias("base"))
-    rows = _with_terms(slim, marks)
-    whole = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string,value:string>>"))))
-
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(kind) for kind in PATTERNS]
-    return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(whole).alias("spans"))
+    names = [f"n_{kind}" for kind in PATTERNS]
+    digest = F.sha2(_joined(F.col("base")).cast("binary"), 256)
+    by_text = keep(spans_by_text(docs).select("th", *map(count, PATTERNS), digest.alias("base_sha256"), _joined(F.col("spans")).alias("spans")))
+    rows = docs.select("doc_id", _hash(text_of()).alias("th")).join(_small(by_text), "th", "left")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return rows.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names], F.coalesce("base_sha256", empty).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with every span replaced: entities by their kind, terms generalised or removed."""
     columns = docs.columns
-    found = find(docs)
-    marks = term_spans(found, disclosed(docs, found))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), text_of().alias("t"))
-    rows = _with_terms(rows.withColumn("th", F.md5(F.col("t").cast("binary"))), marks)
-    whole = F.array_sort(F.concat(base_spans(F.col("t")), F.coalesce("terms", F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string,value:string>>"))))
+    marks = spans_by_text(docs).select(F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), text_of().alias("_t"))
+    rows = rows.withColumn("_h", _hash(F.col("_t"))).join(_small(marks), F.col("_h") == F.col("_th"), "left")
 
     def rewritten(spans: Column) -> Column:
         def step(s: Column, x: Column) -> Column:
             name = F.when(x["kind"] != "term", F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).when(x["value"] == "remove", "").otherwise("<TERM>")
-            plain = F.substr("t", (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
-            fresh = F.struct(x["end"].alias("at"), F.concat(s["out"], plain, name).alias("out"))
+            plain = F.substr("_t", (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
+            fresh = F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(plain, name)).alias("out"))
             return F.when(x["start"] >= s["at"], fresh).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")))
 
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-        rest = lambda s: F.concat(s["out"], F.substr("t", (s["at"] + 1).cast("int"), F.length("t")))
-        return F.when(F.size(spans) == 0, F.col("_row.text")).otherwise(F.aggregate(spans, start, step, rest))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+        rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substr("_t", (s["at"] + 1).cast("int"), F.length("_t")))
+        return F.aggregate(spans, start, step, rest)
 
-    text = let(whole, rewritten)
+    text = F.when(F.size("_spans") > 0, rewritten(F.col("_spans"))).otherwise(F.col("_row.text"))
     return rows.select(*[text.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns])

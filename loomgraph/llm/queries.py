@@ -89,8 +89,7 @@ def _pii_sql() -> str:
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
         "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     }
-    term = r"\p{Lu}[\p{L}\p{N}''-]{2,}"
-    run = term + r"|[\p{L}\p{N}]+"
+    term = r"[\p{L}\p{N}_]{3,}"
     found = " UNION ALL ".join(f"SELECT rid, {k} AS place, '{n}' AS kind, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM docs" for k, (n, p) in enumerate(kinds.items()))
     begin = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
     digit = "substr(d, length(d) - i + 1, 1)::INTEGER"
@@ -102,21 +101,21 @@ def _pii_sql() -> str:
             WHEN 'ip' THEN len(list_filter(string_split(value, '.'), lambda x: NOT regexp_full_match(x, '0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{{1,2}})'))) = 0
             WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
             ELSE length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END)) % 10 = 0 END),
-        sides AS (SELECT s.*, th, kind || ':' || value AS entity, greatest(low - 64, 0) AS l0, substr(t, greatest(low - 64, 0) + 1, low - greatest(low - 64, 0)) AS lt, substr(t, high + 1, 64) AS rt,
-            md5(substr(t, greatest(low - 63, 1), high - low + 128)) AS context FROM spans s JOIN docs USING (rid)),
-        cut AS (SELECT *, CASE WHEN l0 > 0 THEN length(regexp_extract(lt, '^[\p{{L}}\p{{N}}''-]*')) ELSE 0 END AS k FROM sides),
-        parts AS (SELECT th, entity, context, l0 + k AS base, substr(lt, k + 1, 64) AS x FROM cut UNION ALL
-            SELECT th, entity, context, high, CASE WHEN length(rt) < 64 THEN rt ELSE regexp_replace(rt, '[\p{{L}}\p{{N}}''-]+$', '') END FROM cut),
-        runs AS (SELECT th, entity, context, base, regexp_extract_all(x, '{run}') AS m, regexp_split_to_array(x, '{run}') AS g FROM parts),
-        near AS (SELECT th, entity, context, base, unnest(range(1, len(m) + 1)) AS i, m, g FROM runs WHERE len(m) > 0),
-        terms AS (SELECT th, entity, context, m[i] AS term, (base + {begin})::BIGINT AS low, (base + {begin} + length(m[i]))::BIGINT AS high FROM near WHERE regexp_full_match(m[i], '{term}')),
-        pairs AS (SELECT entity, term, count(DISTINCT context) AS together FROM terms GROUP BY ALL HAVING count(DISTINCT context) >= 3),
-        seen AS (SELECT DISTINCT th, unnest(regexp_extract_all(t, '{run}')) AS term FROM docs),
-        with_term AS (SELECT term, count(DISTINCT th) AS wt FROM seen WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
-        with_entity AS (SELECT entity, count(DISTINCT th) AS we FROM sides GROUP BY 1),
-        scored AS (SELECT entity, term, CASE WHEN ln(n / we) > 0 THEN ln(least(together, we, wt) * n / (we * wt)) / ln(n / we) ELSE 0 END AS share
+        texts AS (SELECT th, min(rid) AS rid FROM docs GROUP BY 1),
+        held AS (SELECT s.*, th, max(high) OVER (PARTITION BY s.rid ORDER BY low, place, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans s JOIN texts USING (rid)),
+        gaps AS (SELECT rid, th, coalesce(before, 0) AS base, low AS stop FROM held WHERE low > coalesce(before, 0) UNION ALL SELECT h.rid, h.th, max(high), max(length(t)) FROM held h JOIN docs USING (rid) GROUP BY h.rid, h.th),
+        pieces AS (SELECT g.th, base, substr(t, base + 1, stop - base) AS x FROM gaps g JOIN docs USING (rid)),
+        runs AS (SELECT th, base, regexp_extract_all(x, '{term}') AS m, regexp_split_to_array(x, '{term}') AS g FROM pieces),
+        each_term AS (SELECT th, base, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS term, unnest(g[1:len(m)]) AS gap FROM runs WHERE len(m) > 0),
+        terms AS (SELECT th, term, (base + sum(length(gap) + length(term)) OVER (PARTITION BY th, base ORDER BY i))::BIGINT AS high FROM each_term),
+        entities AS (SELECT DISTINCT th, kind || ':' || value AS entity, 2 AS least FROM held UNION SELECT DISTINCT th, kind, 5 FROM held),
+        with_entity AS (SELECT entity, count(*) AS we FROM entities GROUP BY 1),
+        pairs AS (SELECT entity, term, count(*) AS together FROM entities JOIN (SELECT DISTINCT th, term FROM terms) USING (th) GROUP BY ALL HAVING count(*) >= min(least)),
+        seen AS (SELECT DISTINCT th, unnest(regexp_extract_all(t, '{term}')) AS term FROM docs),
+        with_term AS (SELECT term, count(*) AS wt FROM seen WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
+        scored AS (SELECT entity, term, CASE WHEN ln(n / we) > 0 THEN ln(together * n / (we * wt)) / ln(n / we) ELSE 0 END AS share
             FROM pairs JOIN with_term USING (term) JOIN with_entity USING (entity), (SELECT greatest(count(DISTINCT th), 1)::DOUBLE AS n FROM docs)),
-        marks AS (SELECT DISTINCT th, low, high FROM terms JOIN scored USING (entity, term) WHERE share >= 0.8),
+        marks AS (SELECT DISTINCT th, high - length(term) AS low, high FROM terms JOIN entities USING (th) JOIN scored USING (entity, term) WHERE share >= 0.8),
         whole AS (SELECT rid, low, place, high, kind FROM spans UNION ALL SELECT rid, low, 4, high, 'term' FROM marks JOIN docs USING (th)),
         joined AS (SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
             coalesce(string_agg(kind || ':' || low || ':' || high, ',' ORDER BY low, place, high) FILTER (place < 4), '') AS base, string_agg(kind || ':' || low || ':' || high, ',' ORDER BY low, place, high) AS spans FROM whole GROUP BY 1)
