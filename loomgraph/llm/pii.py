@@ -33,6 +33,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"[\p{L}\p{N}_]{3,}"
 SUPPORT, CLASS_SUPPORT = 2, 5
+RUN = 64
 GENERALISE, REMOVE = 0.8, 0.95
 PIECE = "array<struct<start:bigint,end:bigint,value:string>>"
 SPANS = "array<struct<start:bigint,place:int,end:bigint,kind:string,value:string>>"
@@ -41,22 +42,38 @@ SPANS = "array<struct<start:bigint,place:int,end:bigint,kind:string,value:string
 def located(text: Column, pattern: str, base: Column | None = None) -> Column:
     """Leftmost non-overlapping matches with code point offsets, end exclusive, moved by base.
 
-    Matches and the pieces between them alternate, so running lengths are the offsets.
+    Matches and the pieces between them alternate, so running lengths are the offsets. They run inside chunks of
+    RUN matches, whose starts run once more, as an array that grows one by one is copied at each step.
     """
     base = F.lit(0).cast("long") if base is None else base
     empty = F.array().cast(PIECE)
 
     def offsets(found: Column) -> Column:
         def walk(gaps: Column) -> Column:
-            start = F.struct(base.alias("at"), empty.alias("out"))
+            def length(i: Column) -> Column:
+                return F.length(F.get(gaps, i)) + F.length(F.get(found, i))
+
+            def places(chunk: Column) -> Column:
+                return F.sequence(chunk * RUN, F.least(chunk * RUN + RUN, F.size(found)) - 1)
+
+            def begun(s: Column, chunk: Column) -> Column:
+                after = s["at"] + F.aggregate(places(chunk), F.lit(0).cast("long"), lambda n, i: n + length(i))
+                return F.struct(after.alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
 
             def step(s: Column, i: Column) -> Column:
                 begin = s["at"] + F.length(F.get(gaps, i))
-                end = begin + F.length(F.get(found, i))
-                one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.get(found, i).alias("value")))
-                return F.struct(end.alias("at"), F.concat(s["out"], one).alias("out"))
+                one = F.array(F.struct(begin.alias("start"), (s["at"] + length(i)).alias("end"), F.get(found, i).alias("value")))
+                return F.struct((s["at"] + length(i)).alias("at"), F.concat(s["out"], one).alias("out"))
+
+            def inside(starts: Column) -> Column:
+                def one(at: Column, chunk: Column) -> Column:
+                    return F.aggregate(places(chunk), F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"])
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["out"])
+                return F.flatten(F.transform(starts, one))
+
+            chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int"))
+            start = F.struct(base.alias("at"), F.array().cast("array<bigint>").alias("out"))
+            return let(F.aggregate(chunks, start, begun, lambda s: s["out"]), inside)
 
         return F.when(F.size(found) == 0, empty).otherwise(let(F.split(text, pattern, -1), walk))
 
@@ -106,6 +123,12 @@ def _gaps(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, last)
 
 
+def _words(text: Column, spans: Column) -> Column:
+    """The different terms outside the spans."""
+    part = lambda g: F.substr(text, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int"))
+    return F.array_distinct(F.regexp_extract_all(F.array_join(F.transform(_gaps(text, spans), part), " "), F.lit(TERM), F.lit(0)))
+
+
 def _terms(text: Column, spans: Column) -> Column:
     """Terms outside the spans, with offsets."""
     part = lambda g: located(F.substr(text, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")), TERM, g["start"])
@@ -129,7 +152,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def disclosed(found: DataFrame, support: int = SUPPORT, class_support: int = CLASS_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """th, terms: in each different text the spans of terms that disclose an entity of that text; kept."""
-    held = keep(found.where(F.size("spans") > 0).select("th", "spans", _terms(F.col("t"), F.col("spans")).alias("terms")))
+    held = keep(found.where(F.size("spans") > 0).select("th", "t", "spans", _words(F.col("t"), F.col("spans")).alias("words")))
     values = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))
     named = F.array_distinct(F.concat(values, F.transform("spans", lambda s: s["kind"])))
     mentions = held.select("th", F.explode(named).alias("entity"))
@@ -140,7 +163,7 @@ def disclosed(found: DataFrame, support: int = SUPPORT, class_support: int = CLA
     sets = keep(sets.select("entity", "texts", F.concat_ws(":", "texts", "x", "y").alias("set"), "least"))
     members = keep(mentions.join(_small(sets.select("entity", "set")), "entity").select("th", "set").distinct())
     kinds = sets.groupBy("set").agg(F.min("least").alias("least"), F.first("texts").alias("texts"))
-    words = members.join(held.select("th", F.array_distinct(F.transform("terms", lambda x: x["value"])).alias("words")), "th")
+    words = members.join(held.select("th", "words"), "th")
     pairs = words.select("set", F.explode("words").alias("term")).groupBy("set", "term").agg(F.count(F.lit(1)).alias("together"))
     pairs = keep(pairs.join(_small(keep(kinds)), "set").where("together >= least"))
     # How many different texts hold each wanted term, over the whole corpus.
@@ -155,10 +178,12 @@ def disclosed(found: DataFrame, support: int = SUPPORT, class_support: int = CLA
     telling = keep(scored.where(F.col("share") >= generalise).select("set", "term", action.alias("action")))
     hits = words.select("th", "set", F.explode("words").alias("term")).join(_small(telling), ["set", "term"])
     hits = keep(hits.groupBy("th", "term").agg(F.max("action").alias("action")))
-    marks = held.select("th", F.explode("terms").alias("x")).select("th", F.col("x.value").alias("term"), "x.start", "x.end").join(_small(hits), ["th", "term"])
+    # Only texts that hold a telling term are searched for its places.
+    told = keep(held.join(_small(keep(hits.select("th").distinct())), "th", "left_semi").select("th", _terms(F.col("t"), F.col("spans")).alias("terms")))
+    marks = told.select("th", F.explode("terms").alias("x")).select("th", F.col("x.value").alias("term"), "x.start", "x.end").join(_small(hits), ["th", "term"])
     one = F.struct("start", F.lit(len(PATTERNS)).alias("place"), "end", F.lit("term").alias("kind"), F.col("action").alias("value"))
     marks = keep(marks.groupBy("th").agg(F.collect_list(one).alias("terms")))
-    forget(held, sets, members, pairs, wanted, telling, hits)
+    forget(held, sets, members, pairs, wanted, telling, hits, told)
     return marks
 
 
