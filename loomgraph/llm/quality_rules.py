@@ -2,12 +2,12 @@
 
 Words and pairs of words are hashed into a fixed number of features. Two multinomials over the features are
 counted, one from trusted rows and one from the whole corpus; a document's score is the mean over its
-features of log(trusted / corpus). Every document with a score of at least the threshold is kept; nothing is
-drawn at random.
+features of log(trusted / corpus). The threshold is the score that all but LEFT_OUT of the trusted documents reach;
+every document with a score of at least that is kept, and nothing is drawn at random.
 
 Defined results: a null text has no words and fails the base rule; documents without words score 0; repeated
-rows get equal verdicts; an empty corpus gives an empty result; without trusted rows all scores are 0.
-Further columns are carried. The ratio table has a fixed number of entries whatever the corpus.
+rows get equal verdicts; an empty corpus gives an empty result; without trusted rows all scores and the threshold
+are 0. Further columns are carried, those with the names of results are replaced. The ratio table has a fixed number of entries whatever the corpus.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import WORD, let, text_of, words
 
 FEATURES = 4096
-THRESHOLD = -0.055
+#: The share of trusted documents below the threshold, and the least words of a document that counts for it.
+LEFT_OUT, LEAST_WORDS = 0.001, 50
 #: Bits that say which hashed ids may be trusted, in rows of 32,768: 4 MB to broadcast, however many ids there are.
 ID_BITS = 1 << 25
 SYMBOLS = r"[#*$%&|<>]"
@@ -54,7 +55,14 @@ def n_repeat_words(hashes: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(grams, covered))
 
 
-def measured(text: Column, table: Column | None = None, threshold: float = THRESHOLD, size: int = FEATURES) -> Column:
+def ratio(hashes: Column, table: Column | None, size: int = FEATURES) -> Column:
+    """Mean over the features of their log ratios."""
+    if table is None:
+        return F.lit(0.0)
+    return let(features(hashes, size), lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(table, x.cast("int"))) / F.greatest(F.size(f), F.lit(1)))
+
+
+def measured(text: Column, table: Column | None = None, threshold: float = 0.0, size: int = FEATURES) -> Column:
     """struct of the base columns, llr, base_failed and kept.
 
     One expression over the text: the word hashes are a lambda's variable, so no rewrite of the plan (a filter on
@@ -63,21 +71,16 @@ def measured(text: Column, table: Column | None = None, threshold: float = THRES
     def lines(x: Column) -> Column:
         return (F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
-    def ratio(h: Column) -> Column:
-        if table is None:
-            return F.lit(0.0)
-        return let(features(h, size), lambda f: F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(table, x.cast("int"))) / F.greatest(F.size(f), F.lit(1)))
-
     def counts(h: Column) -> Column:
         return F.struct(
             F.size(h).cast("long").alias("n_words"),
             F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lines).alias("n_dup_lines"),
-            n_repeat_words(h).alias("n_repeat_words"), ratio(h).alias("llr"))
+            n_repeat_words(h).alias("n_repeat_words"), ratio(h, table, size).alias("llr"))
 
     def verdict(m: Column) -> Column:
-        failed = (m["n_words"] < 50) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
+        failed = (m["n_words"] < LEAST_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * 50)
         return F.struct(*[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr")],
                         failed.alias("base_failed"), (~failed & (m["llr"] >= threshold)).alias("kept"))
 
@@ -123,15 +126,34 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, size: int = FEATURES) -> lis
     return [round(math.log((g + size * r / all_raw) / all_good * all_raw / r), 6) for g, r in zip(good, raw)]
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, size: int = FEATURES) -> DataFrame:
-    """docs with the base columns, llr, base_failed and kept. trusted: rows with text to resemble."""
+def threshold_of(trusted: DataFrame, table: Column, size: int = FEATURES, left_out: float = LEFT_OUT) -> float:
+    """The score, rounded down to thousandths, that all but a share of the trusted rows reach.
+
+    Only a histogram of the scores comes here: a row for each thousandth between the least and the largest ratio.
+    """
+    scored = trusted.select(let(hashed(words(text_of())), lambda h: F.when(F.size(h) >= LEAST_WORDS, ratio(h, table, size))).alias("llr")).where("llr is not null")
+    counts = sorted((r["bin"], r["n"]) for r in scored.groupBy(F.floor(F.col("llr") * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect())
+    below, most = 0, left_out * sum(n for _, n in counts)
+    for step, n in counts:
+        below += n
+        if below > most:
+            return step / 1000
+    return 0.0
+
+
+def _rule(docs: DataFrame, trusted: DataFrame, threshold: float | None, size: int) -> Column:
     table = F.split(F.lit(",".join(map(str, log_ratios(docs, trusted, size)))), ",").cast("array<double>")
-    rows = docs.withColumn("_m", measured(text_of(), table, threshold, size))
+    return measured(text_of(), table, threshold_of(trusted, table, size) if threshold is None else threshold, size)
+
+
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float | None = None, size: int = FEATURES) -> DataFrame:
+    """docs with the base columns, llr, base_failed and kept. trusted: rows with text to resemble."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col(f"_m.{c}").alias(c) for c in names])
+    rest = [c for c in docs.columns if c not in names]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_row"), _rule(docs, trusted, threshold, size).alias("_found"))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in rest], *[F.col("_found")[c].alias(c) for c in names])
 
 
-def passing(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, size: int = FEATURES) -> DataFrame:
+def passing(docs: DataFrame, trusted: DataFrame, threshold: float | None = None, size: int = FEATURES) -> DataFrame:
     """The rows of docs that are kept, unchanged."""
-    table = F.split(F.lit(",".join(map(str, log_ratios(docs, trusted, size)))), ",").cast("array<double>")
-    return docs.where(measured(text_of(), table, threshold, size)["kept"])
+    return docs.where(_rule(docs, trusted, threshold, size)["kept"])

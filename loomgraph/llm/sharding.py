@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import running_sum
+from .common import buckets_for, running_sum
 
 #: Fixed value: the generator's multiplier, in halves of 32 bits.
 MULTIPLIER = 2862933555777941757
@@ -57,9 +57,10 @@ def jump_shards(key: Column, shards: int) -> Column:
 
 
 def assign(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with shard and grown_shard added; rows stay where they are, nothing is shuffled."""
-    placed = docs.withColumn("_jump", jump_shards(F.col(key), shards))
-    return placed.withColumns({"shard": F.col("_jump.now").cast("int"), "grown_shard": F.col("_jump.grown").cast("int")}).drop("_jump")
+    """docs with shard and grown_shard added (columns of these names are replaced); nothing is shuffled."""
+    rest = [c for c in docs.columns if c not in ("shard", "grown_shard")]
+    placed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_row"), jump_shards(F.col(key), shards).alias("_jump"))
+    return placed.select(*[F.col("_row")[c].alias(c) for c in rest], F.col("_jump.now").cast("int").alias("shard"), F.col("_jump.grown").cast("int").alias("grown_shard"))
 
 
 def layout(docs: DataFrame, shards: int) -> DataFrame:
@@ -73,8 +74,9 @@ def layout(docs: DataFrame, shards: int) -> DataFrame:
         docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
         .groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     )
+    buckets = F.lit(buckets_for(docs, BUCKETS))
     rows = assign(rows, shards).withColumn(
-        "bucket", F.pmod(F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(BUCKETS)) + F.col("text_crc32"), F.lit(BUCKETS)).cast("int")
+        "bucket", F.pmod(F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), buckets) + F.col("text_crc32"), buckets).cast("int")
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
     placed = running_sum(rows, ["shard"], "bucket", order, "copies", "first")
