@@ -2,8 +2,10 @@
 
 On a bounded sample a neighbour graph is built and cut into parts of equal size (spectral bisection, refined by
 swaps); a small network learns from it which part a vector's neighbours lie in. Every row is then indexed under
-its most probable part, and a query goes to several of its most probable parts for exact reranking. How many is
-read off the sample: the fewest parts that hold TARGET of the sample queries' true neighbours.
+its most probable part, and a query goes to its most probable parts, as many as add up to a certain probability,
+for exact reranking. That probability is read off the sample: the least one with which the sample's own queries
+find TARGET of their true neighbours. A query goes on to further parts until they hold more than k rows, so none
+is short of neighbours. The number of parts follows the square root of the rows up to PARTS_MOST.
 
 Parts are divided into blocks of rows and of queries, so a crowded part is many tasks. Scores are inner
 products summed left to right in double precision, so equal vectors tie exactly and ties go to the smaller id.
@@ -23,9 +25,8 @@ from ..session import keep
 
 SAMPLE_ROWS = 4096
 GRAPH_NEIGHBOURS = 10
-ROWS_A_PART = 256
-PARTS_MOST = 64
-TARGET = 0.95
+PARTS_MOST = 256
+TARGET = 0.94
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 HIDDEN = 128
 
@@ -123,32 +124,50 @@ class Router:
         return self._soft(np.maximum(self._in(x) @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
 
 
-def fit(x: np.ndarray, rows: int, k: int) -> tuple[Router | None, int, int]:
-    """Router, number of parts and how many of them a query needs; a single part where the sample is small."""
-    parts = 1
-    while parts * 2 <= min(PARTS_MOST, rows // ROWS_A_PART, len(x) // 16):
-        parts *= 2
+def parts_for(rows: int, sample: int) -> int:
+    """A power of two of about a quarter of the square root of the rows; 2 at least, if the sample has 4 rows."""
+    most = min(PARTS_MOST, np.sqrt(rows) / 4, sample / 16)
+    return 1 << max(1, int(np.log2(max(most, 1)))) if sample >= 4 else 1
+
+
+def fit(x: np.ndarray, rows: int, k: int) -> tuple[Router | None, int, float]:
+    """Router, number of parts, and the probability that a query's parts must add up to."""
+    parts = parts_for(rows, len(x))
     if parts == 1:
-        return None, 1, 1
+        return None, 1, 1.0
     graph = neighbour_graph(x, GRAPH_NEIGHBOURS)
     label = balanced_parts(graph, parts)
     goal = np.zeros((len(x), parts))
     np.add.at(goal, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph].ravel()), 1.0)
     goal[np.arange(len(x)), label] += graph.shape[1] / 2
     goal /= goal.sum(1, keepdims=True)
-    # Half of the sample teaches, the other half says how many parts are needed.
+    # Half of the sample teaches, the other half says how far queries must go.
     taught = np.arange(len(x)) % 2 == 0
     router = Router(x[taught], goal[taught])
     chance = router.probabilities(x)
-    place = chance.argmax(1)
     asked = np.flatnonzero(~taught)[:1024]
     true = neighbour_graph(x, k)[asked]
-    order = np.argsort(-chance[asked], axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(parts)[None, :].repeat(len(asked), 0), 1)
-    needed = np.sort(np.take_along_axis(rank, place[true], 1).ravel())
-    probes = int(needed[int(np.ceil(TARGET * len(needed))) - 1]) + 1
-    return router, parts, probes
+    before = _before(chance[asked])
+    needed = np.sort(np.take_along_axis(before, chance.argmax(1)[true], 1).ravel())
+    return router, parts, float(needed[int(np.ceil(TARGET * len(needed))) - 1])
+
+
+def _before(chance: np.ndarray) -> np.ndarray:
+    """For each part, what more probable parts add up to."""
+    order = np.argsort(-chance, axis=1, kind="stable")
+    ranked = np.take_along_axis(chance, order, 1)
+    out = np.empty_like(chance)
+    np.put_along_axis(out, order, np.cumsum(ranked, 1) - ranked, 1)
+    return out
+
+
+def probes(chance: np.ndarray, reach: float, sizes: np.ndarray, k: int) -> list[np.ndarray]:
+    """The parts of each query: all that come before reach, and further ones until they hold more than k rows."""
+    order = np.argsort(-chance, axis=1, kind="stable")
+    before = np.take_along_axis(_before(chance), order, 1)
+    held = np.cumsum(sizes[order], 1) - sizes[order]
+    many = np.maximum((before <= reach).sum(1), (held <= k).sum(1))
+    return [o[:n].astype(np.int32) for o, n in zip(order, many)]
 
 
 def nearest(queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -188,23 +207,31 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", colum
     rows = keep(rows.withColumn("row", F.monotonically_increasing_id()))
     sample = rows.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE_ROWS).select("v").toPandas()
     x = np.stack(sample["v"].to_numpy()).astype(np.float64)
-    router, parts, probes = fit(x, lengths["rows"], k)
+    router, parts, reach = fit(x, lengths["rows"], k)
     shared = spark.sparkContext.broadcast(router)
 
-    def routed(batches):
+    def chances(batch: pd.DataFrame) -> np.ndarray:
+        if shared.value is None:
+            return np.ones((len(batch), 1))
+        return shared.value.probabilities(np.stack(batch["v"].to_numpy()))
+
+    def put(batches):
         for batch in batches:
-            x = np.stack(batch["v"].to_numpy()) if len(batch) else np.zeros((0, 1))
-            if shared.value is None or not len(batch):
-                batch["parts"] = [[0]] * len(batch)
-            else:
-                chance = shared.value.probabilities(x)
-                batch["parts"] = list(np.argsort(-chance, axis=1, kind="stable")[:, :probes].astype(np.int32))
-            yield batch[["row", "vec_id", "v", "asks", "parts"]]
-
-    placed = keep(rows.select("row", "vec_id", "v", "asks").mapInPandas(routed, "row long, vec_id long, v array<double>, asks boolean, parts array<int>"))
-    # Blocks of each part; a row per part, at most PARTS_MOST.
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(F.get("parts", 0).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    asked = {r["p"]: r["n"] for r in placed.where("asks").select(F.explode("parts").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+            if len(batch):
+                yield batch.assign(p=chances(batch).argmax(1).astype(np.int32))
+
+    placed = keep(rows.select("row", "vec_id", "v", "asks").mapInPandas(put, "row long, vec_id long, v array<double>, asks boolean, p int"))
+    # A row per part, at most PARTS_MOST.
+    sizes = {r["p"]: r["n"] for r in placed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = np.array([sizes.get(p, 0) for p in range(parts)])
+
+    def sent(batches):
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(parts=probes(chances(batch), reach, held, k))
+
+    asks = keep(placed.where("asks").select("row", "vec_id", "v").mapInPandas(sent, "row long, vec_id long, v array<double>, parts array<int>"))
+    asked = {r["p"]: r["n"] for r in asks.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     row_blocks = F.array(*[F.lit(-(-sizes.get(p, 0) // BLOCK_ROWS) or 1) for p in range(parts)])
     query_blocks = F.array(*[F.lit(-(-asked.get(p, 0) // BLOCK_QUERIES) or 1) for p in range(parts)])
     mine = F.xxhash64("row", F.lit(1))
@@ -212,9 +239,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", colum
     def every(table, own):
         return F.sequence(F.lit(0), F.get(table, F.col("p")) - 1), F.pmod(own, F.get(table, F.col("p"))).cast("int")
 
-    stored = placed.withColumn("p", F.get("parts", 0))
-    stored = stored.select("p", every(row_blocks, mine)[1].alias("r"), F.explode(every(query_blocks, mine)[0]).alias("q"), "row", "vec_id", "v")
-    asking = placed.where("asks").withColumn("p", F.explode("parts"))
+    stored = placed.select("p", every(row_blocks, mine)[1].alias("r"), F.explode(every(query_blocks, mine)[0]).alias("q"), "row", "vec_id", "v")
+    asking = asks.withColumn("p", F.explode("parts"))
     asking = asking.select("p", F.explode(every(row_blocks, mine)[0]).alias("r"), every(query_blocks, mine)[1].alias("q"), "row", "vec_id", "v")
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -224,5 +250,5 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", colum
 
     found = asking.groupBy("p", "r", "q").cogroup(stored.groupBy("p", "r", "q")).applyInPandas(rank, "row long, vec_id long, score double")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    names = placed.where("asks").select("row", F.col("vec_id").alias("query_id"))
+    names = asks.select("row", F.col("vec_id").alias("query_id"))
     return found.join(names, "row").select("query_id", "rank", "vec_id", "score")
