@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import forget, keep
+from ..session import forget, keep, release
 from .common import BROADCAST_ROWS, let, text_of
 
 #: The kinds in order and their patterns. Look-behinds and possessive repeats only keep the
@@ -147,7 +147,9 @@ def _small(side: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """th (the text's hash), t, spans (base) of each different text; kept."""
     rows = docs.select(text_of().alias("t")).select(_hash(F.col("t")).alias("th"), "t").dropDuplicates(["th"])
-    return keep(rows.select("th", "t", base_spans(F.col("t")).alias("spans")))
+    found = keep(rows.select("th", "t", base_spans(F.col("t")).alias("spans")))
+    release(docs.sparkSession)
+    return found
 
 
 def disclosed(found: DataFrame, support: int = SUPPORT, class_support: int = CLASS_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -169,7 +171,8 @@ def disclosed(found: DataFrame, support: int = SUPPORT, class_support: int = CLA
     # How many different texts hold each wanted term, over the whole corpus.
     wanted = keep(pairs.select("term").distinct())
     seen = found.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))).alias("term"))
-    in_texts = seen.join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    # Counted before the join: what moves are the different words of each task, at every size.
+    in_texts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(_small(wanted), "term", "left_semi")
     n = F.lit(float(max(found.count(), 1)))
     information = F.log(n / F.col("texts"))
     pmi = F.log(F.col("together") * n / (F.col("texts") * F.col("with_term")))
