@@ -171,8 +171,9 @@ def disclosed(found: DataFrame, support: int = SUPPORT, class_support: int = CLA
     # How many different texts hold each wanted term, over the whole corpus.
     wanted = keep(pairs.select("term").distinct())
     seen = found.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))).alias("term"))
-    # Counted before the join: what moves are the different words of each task, at every size.
-    in_texts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(_small(wanted), "term", "left_semi")
+    # Counted before the join, which is no semi join as Spark would move that below the counting: what moves are the
+    # different words of each task, at every size.
+    in_texts = seen.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(_small(wanted), "term")
     n = F.lit(float(max(found.count(), 1)))
     information = F.log(n / F.col("texts"))
     pmi = F.log(F.col("together") * n / (F.col("texts") * F.col("with_term")))
