@@ -48,10 +48,11 @@ def resolve_conflicts(candidates: DataFrame, contradictions: DataFrame) -> DataF
     """candidates(id, ...) with suppressed_by: in each cluster of contradicting candidates one object wins."""
     inside = contradictions.join(candidates.select(F.col("id").alias("u")), "u", "left_semi").join(candidates.select(F.col("id").alias("v")), "v", "left_semi")
     clusters = components(inside.select("u", "v")).withColumnsRenamed({"node": "id", "component": "cluster"})
-    rows = candidates.withColumn("_k", epistemic_key()).join(clusters, "id", "left")
-    order = Window.partitionBy("cluster").orderBy(F.desc("_k"), F.length("id"), "id")
-    winner = F.first("id").over(order)
-    return rows.withColumn("suppressed_by", F.when(F.col("cluster").isNotNull() & (winner != F.col("id")), winner)).drop("_k", "cluster")
+    # Only objects inside a conflict are compared, and a cluster's winner is one aggregate.
+    inside = candidates.withColumn("_k", epistemic_key()).join(clusters, "id").select("id", "cluster", "_k")
+    top = inside.groupBy("cluster", "_k", F.length("id").alias("l")).agg(F.min("id").alias("id")).groupBy("cluster").agg(F.max_by("id", F.struct("_k", (-F.col("l")).alias("l"))).alias("winner"))
+    lost = inside.join(top, "cluster").where("id <> winner").select("id", F.col("winner").alias("suppressed_by"))
+    return candidates.join(lost, "id", "left")
 
 
 def refusal(rows: DataFrame, entailment: Column, confidence: Column, least_entailment: float = 0.5, least_confidence: float = 0.65) -> DataFrame:

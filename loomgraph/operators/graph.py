@@ -9,20 +9,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import keep
 
 
-def dense_ids(ids: DataFrame, column: str = "id", buckets: int = 64) -> DataFrame:
-    """column, idx: 0, 1, 2 ... in order of column, without a global window.
+def dense_ids(ids: DataFrame, column: str = "id", parts: int | None = None) -> DataFrame:
+    """column, idx: 0, 1, 2 ... in order of column (of any type that has an order), without a global window.
 
-    Rows are dealt into ranges whose bounds come from approximate quantiles of a hash-free prefix: the values
-    themselves for numbers. Counts of ranges (at most `buckets`) give each range its first number.
+    Rows are range-partitioned once and kept with the number of their range; counts by range, one row each, say
+    where a range begins.
     """
-    bounds = ids.approxQuantile(column, [i / buckets for i in range(1, buckets)], 0.001) if ids.head(1) else []
-    bounds = sorted(set(bounds))
-    spot = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))) if bounds else F.lit(0)
-    rows = ids.withColumn("_range", spot)
+    rows = ids.select(column)
+    rows = rows.repartitionByRange(parts, column) if parts else rows.repartitionByRange(column)
+    rows = keep(rows.withColumn("_range", F.spark_partition_id()))
     before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     inside = Window.partitionBy("_range").orderBy(column)
-    return rows.join(F.broadcast(starts.select("_range", "_first")), "_range").select(column, (F.col("_first") + F.row_number().over(inside) - 1).cast("long").alias("idx"))
+    return rows.join(starts.select("_range", "_first"), "_range").select(column, (F.col("_first") + F.row_number().over(inside) - 1).cast("long").alias("idx"))
 
 
 def degrees(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
@@ -35,24 +34,73 @@ def degrees(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     return both.join(out, "node", "left").join(into, "node", "left").fillna(zero).select("node", "out_degree", "in_degree", "total_degree")
 
 
-def adjacency(edges: DataFrame, src: str = "u", dst: str = "v", dedup: bool = False) -> DataFrame:
-    """The compressed rows of a graph: idx, node, degree, start (sum of degrees before) and sorted neighbour numbers."""
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    e = e.distinct() if dedup else e
+def compressed(edges: DataFrame, src: str = "u", dst: str = "v", directed: bool = True, dedup: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A graph in compressed rows: nodes(idx, node, degree, start) and edges(u, v) by number; both kept.
+
+    Ids may be strings or numbers. A directed graph keeps repeated edges unless dedup; an undirected one has each edge
+    both ways, a loop once, and no repeats. start is the sum of the degrees before, so that edges sorted by (u, v)
+    are the neighbour lists one after another: a hub is many rows and not one.
+    """
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    if not directed:
+        e = e.union(e.select(F.col("v"), F.col("u"))).distinct()
+    e = keep(e.distinct() if dedup else e)
     nodes = keep(dense_ids(e.select(F.col("u").alias("id")).union(e.select(F.col("v").alias("id"))).distinct()))
-    numbered = e.join(nodes.select(F.col("id").alias("v"), F.col("idx").alias("vi")), "v")
-    rows = numbered.groupBy("u").agg(F.array_sort(F.collect_list("vi")).alias("neighbours"))
-    rows = nodes.join(rows.withColumnRenamed("u", "id"), "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<long>")))
-    rows = rows.withColumn("degree", F.size("neighbours").cast("long")).withColumn("_range", F.expr("idx div 4096"))
+    numbered = e.join(nodes.select(F.col("id").alias("u"), F.col("idx").alias("ui")), "u").join(nodes.select(F.col("id").alias("v"), F.col("idx").alias("vi")), "v")
+    numbered = keep(numbered.select(F.col("ui").alias("u"), F.col("vi").alias("v")))
+    rows = nodes.join(numbered.groupBy(F.col("u").alias("idx")).agg(F.count(F.lit(1)).alias("degree")), "idx", "left")
+    rows = rows.withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long")).withColumn("_range", F.expr("idx div 4096"))
     before = Window.partitionBy("_range").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_range").agg(F.sum("degree").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ranges), F.lit(0))).drop("_n")
-    return rows.join(totals, "_range").select("idx", F.col("id").alias("node"), "degree", (F.col("_before") + F.coalesce(F.sum("degree").over(before), F.lit(0))).alias("start"), "neighbours")
+    totals = running_starts(rows)
+    placed = rows.join(totals, "_range").select("idx", F.col("id").alias("node"), "degree", (F.col("_before") + F.coalesce(F.sum("degree").over(before), F.lit(0))).alias("start"))
+    return keep(placed), numbered
+
+
+def running_starts(rows: DataFrame, width: int = 4096) -> DataFrame:
+    """_range, _before: sums of degree before each range, by sums of `width` ranges and sums of those."""
+    totals = rows.groupBy("_range").agg(F.sum("degree").alias("_n")).withColumn("_block", F.expr(f"_range div {width}"))
+    inside = Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    outside = Window.partitionBy().orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.groupBy("_block").agg(F.sum("_n").alias("_m")).withColumn("_early", F.coalesce(F.sum("_m").over(outside), F.lit(0))).drop("_m")
+    return totals.join(blocks, "_block").select("_range", (F.col("_early") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_before"))
+
+
+def adjacency(edges: DataFrame, src: str = "u", dst: str = "v", dedup: bool = False) -> DataFrame:
+    """idx, node, degree, start (sum of degrees before) of each node of a directed graph."""
+    return compressed(edges, src, dst, True, dedup)[0]
+
+
+def write_compressed(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges in order of number, range by range; the writer's _SUCCESS files mark what is complete."""
+    nodes.repartitionByRange("idx").sortWithinPartitions("idx").write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.repartitionByRange("u", "v").sortWithinPartitions("u", "v").write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def read_compressed(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """What write_compressed wrote; raises if it contradicts itself."""
+    nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    wrong = [name for name, bad in invariants(nodes, edges).first().asDict().items() if name.startswith("bad") and bad]
+    if wrong:
+        raise ValueError(f"graph at {path}: {', '.join(wrong)}")
+    return nodes, edges
+
+
+def invariants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, and how many break a rule (numbers dense, starts rising by degree, edges inside)."""
+    n = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.sum("degree").alias("degrees"), F.max("idx").alias("last"), F.sum((F.col("degree") < 0).cast("long")).alias("negative"))
+    own = edges.groupBy(F.col("u").alias("idx")).agg(F.count(F.lit(1)).alias("have"))
+    off = nodes.join(own, "idx", "full_outer").agg(F.sum((~F.coalesce("have", F.lit(0)).eqNullSafe(F.col("degree"))).cast("long")).alias("bad_degrees"))
+    ends = nodes.agg(F.max(F.col("start") + F.col("degree")).alias("end"), F.min("start").alias("first"))
+    m = edges.agg(F.count(F.lit(1)).alias("edges"), F.greatest(F.max("u"), F.max("v")).alias("most"))
+    rows = n.join(m).join(off).join(ends)  # one row each
+    zero = lambda c: F.coalesce(c.cast("long"), F.lit(0)).cast("long")
+    return rows.select("nodes", "edges", zero(F.col("last") + 1 != F.col("nodes")).alias("bad_numbers"), zero(F.col("bad_degrees")).alias("bad_degrees"),
+                       zero((F.col("end") != F.col("edges")) | (F.col("first") != 0)).alias("bad_starts"), zero(F.col("most") > F.col("last")).alias("bad_ends"))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges out of the stated nodes(u)."""
-    return edges.join(F.broadcast(nodes), "u", "left_semi")
+    return edges.join(nodes, "u", "left_semi")
 
 
 def neighbour_cap(edges: DataFrame, k: int, src: str, order: list[Column]) -> DataFrame:
@@ -64,23 +112,32 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None)
     """root, node, depth of what lies within depth steps of each root of seeds(root), level by level.
 
     A level joins the frontier to the edges and drops what was reached before; `most` keeps the first nodes of a
-    root in order of (depth, node).
+    root in order of (depth, node), cut at each level, so that a root that is full isn't followed further.
     """
     seen = frontier = seeds.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     for level in range(1, depth + 1):
         step = frontier.select("root", F.col("node").alias("u")).join(edges, "u").select("root", F.col("v").alias("node")).distinct()
-        frontier = keep(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
+        step = step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(level))
+        if most is not None:
+            have = seen.groupBy("root").agg(F.count(F.lit(1)).alias("_have"))
+            step = step.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("node"))).where(F.col("_n") <= most)
+            step = step.join(have, "root").where(F.col("_n") + F.col("_have") <= most).drop("_n", "_have")
+        frontier = keep(step)
         seen = seen.union(frontier)
-    if most is not None:
-        order = Window.partitionBy("root").orderBy("depth", "node")
-        seen = seen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
     return seen
 
 
 def has_path(edges: DataFrame, pairs: DataFrame, depth: int = 3) -> DataFrame:
-    """pairs(source, target) with connected: a directed path of at most depth edges, or source = target."""
-    reached = bfs(edges, pairs.select(F.col("source").alias("root")).distinct(), depth)
-    found = reached.select(F.col("root").alias("source"), F.col("node").alias("target"), F.lit(True).alias("connected"))
+    """pairs(source, target) with connected: a directed path of at most depth edges, or source = target.
+
+    Both ends walk towards the middle, the sources half of the steps and the targets the other half against the
+    edges, so that neither reaches all it could.
+    """
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    ahead = bfs(edges, pairs.select(F.col("source").alias("root")).distinct(), -(-depth // 2)).select(F.col("root").alias("source"), "node")
+    behind = bfs(back, pairs.select(F.col("target").alias("root")).distinct(), depth // 2).select(F.col("root").alias("target"), "node")
+    asked = pairs.select("source", "target").distinct()
+    found = asked.join(ahead, "source").join(behind, ["target", "node"]).select("source", "target").distinct().withColumn("connected", F.lit(True))
     return pairs.join(found, ["source", "target"], "left").withColumn("connected", F.coalesce("connected", F.lit(False)))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.text import content_tokens, entailment, passage_budget, tokenize_with_ids
 from ..session import keep
-from . import fusion
+from . import fusion, graph
 
 #: Order in which categories of relations are followed.
 CATEGORIES = ("structural", "dependency", "engineering", "evolution", "derivation", "verification", "epistemic", "procedural", "documentation", "semantic")
@@ -91,6 +92,92 @@ def bundle(fused: DataFrame, objects: DataFrame, most: int = 20, min_relevance:
     return best.join(objects, "id").select("query_id", "rank", "id", "title", "score", F.split("matched_by", ",").alias("matched_by"), epistemology.alias("epistemology"), "validity", F.slice("relations", 1, 25).alias("relations"))
 
 
+def vocabulary(objects: DataFrame) -> DataFrame:
+    """term: what a query may be about, from ids, titles, keywords, aliases and taxonomy paths of objects."""
+    lists = F.concat(F.coalesce("keywords", F.array().cast("array<string>")), F.coalesce("aliases", F.array().cast("array<string>")))
+    text = F.concat_ws(" ", "title", F.array_join(lists, " "), F.regexp_replace(F.coalesce("taxonomy_path", F.lit("")), "/", " "))
+    words = objects.select(F.explode(content_tokens(text)).alias("term")).where("length(term) > 2")
+    return words.union(objects.select(F.lower("id"))).distinct()
+
+
+def gates(queries: DataFrame, candidates: DataFrame, objects: DataFrame, terms: DataFrame, relations: DataFrame, depth: int = 2, enforce: bool = False) -> DataFrame:
+    """query_id, grounding, path, terminal, retraction, reason, retrieval_status of each query of (query_id, query).
+
+    candidates(query_id, id) are what survived retrieval; objects(id, status, body); relations(src, type, dst).
+    A gate without anything to look at passes. Paths between mentioned objects (either way along relations) are
+    looked for only where gates are enforced, and only then a gate refuses.
+    """
+    asked = queries.select("query_id", F.explode(F.filter(content_tokens(F.col("query")), lambda t: F.length(t) > 2)).alias("term"))
+    ground = asked.join(terms.withColumn("_k", F.lit(1)), "term", "left").groupBy("query_id").agg((F.count("_k") > 0).alias("g"))
+    found = candidates.join(objects.select("id", F.lower(F.coalesce("status", F.lit(""))).alias("s"), F.trim(F.coalesce("body", F.lit(""))).alias("b")), "id")
+    gone = relations.where(F.col("type").isin("SUPERSEDED_BY", "INVALIDATED_BY")).select(F.col("src").alias("id")).distinct().withColumn("_x", F.lit(True))
+    alive = ~F.col("s").isin("superseded", "retracted") & F.col("_x").isNull()
+    ends = found.join(gone, "id", "left").groupBy("query_id").agg(F.max(F.col("b") != "").alias("t"), F.max(alive).alias("r"))
+    rows = queries.select("query_id").join(ground, "query_id", "left").join(ends, "query_id", "left")
+    if enforce:
+        named = queries.select("query_id", F.explode(F.array_distinct(F.transform(tokenize_with_ids(F.col("query")), lambda x: F.upper(x)))).alias("id")).join(objects.select("id"), "id", "left_semi")
+        pairs = named.join(named.select("query_id", F.col("id").alias("o")), "query_id").where("id < o").select("query_id", F.col("id").alias("source"), F.col("o").alias("target"))
+        both = relations.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(relations.select("dst", "src")).distinct()
+        linked = graph.has_path(both, pairs, depth).groupBy("query_id").agg(F.max("connected").alias("p"))
+        rows = rows.join(linked, "query_id", "left")
+    else:
+        rows = rows.withColumn("p", F.lit(None).cast("boolean"))
+    for name in "gptr":
+        rows = rows.withColumn(name, F.coalesce(name, F.lit(True)))
+    reason = F.when(~F.col("g"), "UNGROUNDED_DESCRIPTOR").when(~F.col("p"), "NO_ADMISSIBLE_PATH").when(~F.col("t"), "EMPTY_BODY_TERMINAL").when(~F.col("r"), "SUPERSEDED_EVIDENCE")
+    status = F.when(F.lit(enforce) & reason.isNotNull(), "REFUSED").otherwise("ADMISSIBLE")
+    return rows.select("query_id", F.col("g").alias("grounding"), F.col("p").alias("path"), F.col("t").alias("terminal"), F.col("r").alias("retraction"), reason.alias("reason"), status.alias("retrieval_status"))
+
+
+def verified(claims: DataFrame, passages: DataFrame, least: float = 0.5, abstain: float = 0.65, tokens: int = 512) -> DataFrame:
+    """claim_id, score, source_ref, decision: the best passage of each claim of (claim_id, claim, confidence).
+
+    passages(claim_id, source_ref, text), cut to the budget. Of equal passages the first by source_ref counts, a
+    claim without any scores 0; a confidence that is absent passes.
+    """
+    told = passages.join(claims.select("claim_id", "claim"), "claim_id")
+    told = told.select("claim_id", "source_ref", entailment(F.col("claim"), passage_budget(F.col("text"), tokens)).alias("score")).where("score > 0")
+    top = told.groupBy("claim_id").agg(F.max("score").alias("score"))
+    best = told.join(top, ["claim_id", "score"]).groupBy("claim_id", "score").agg(F.min("source_ref").alias("source_ref"))
+    rows = claims.join(best, "claim_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    fine = (F.col("score") >= least) & (F.coalesce("confidence", F.lit(1.0)) >= abstain)
+    return rows.select("claim_id", "score", "source_ref", F.when(fine, "GROUNDED").otherwise("EPISTEMIC_ABSTENTION").alias("decision"))
+
+
+def pre_scored(claims: DataFrame, spans: DataFrame, least: float = 0.70) -> DataFrame:
+    """claim_id, score, spans, flag: PRE_SCORE_PASSED or _FAILED by the best span, _UNAVAILABLE without spans."""
+    told = spans.join(claims.select("claim_id", "claim"), "claim_id").select("claim_id", entailment(F.col("claim"), F.col("text")).alias("s"))
+    best = told.groupBy("claim_id").agg(F.max("s").alias("score"), F.count(F.lit(1)).alias("spans"))
+    flag = F.when(F.col("spans").isNull(), "PRE_SCORE_UNAVAILABLE").when(F.col("score") < least, "PRE_SCORE_FAILED").otherwise("PRE_SCORE_PASSED")
+    return claims.select("claim_id").join(best, "claim_id", "left").select("claim_id", "score", F.coalesce("spans", F.lit(0)).alias("spans"), flag.alias("flag"))
+
+
+def cited_spans(refs: DataFrame, captures: DataFrame, files: int = 5, chars: int = 200_000, hops: int = 3) -> DataFrame:
+    """claim_id, path, text: the first files that refs(claim_id, ord, path) lead to among captures(path, text, location).
+
+    A file that names another one's location leads on to it, behind the refs given; unknown paths are passed over.
+    The cut to so many characters of a file is the feature.
+    """
+    known = captures.select("path", F.substring("text", 1, chars).alias("text"), "location")
+    level = refs.select("claim_id", F.col("ord").cast("long").alias("ord"), "path")
+    found = None
+    for hop in range(hops):
+        met = level.join(known, "path").withColumn("hop", F.lit(hop))
+        found = met if found is None else found.union(met)
+        level = met.where("location is not null").select("claim_id", "ord", F.col("location").alias("path"))
+    first = found.groupBy("claim_id", "path").agg(F.min(F.struct("hop", "ord")).alias("o"), F.first("text").alias("text"))
+    order = Window.partitionBy("claim_id").orderBy("o", "path")
+    return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= files).select("claim_id", "n", "path", "text")
+
+
+def parameters(given: dict, config: dict, defaults: dict) -> dict[str, tuple]:
+    """value and origin of each parameter: what is given goes before the configuration, that before the defaults."""
+    out = {}
+    for name, value in defaults.items():
+        out[name] = (given[name], "given") if given.get(name) is not None else (config[name], "config") if config.get(name) is not None else (value, "default")
+    return out
+
+
 def stage_one(bundles: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, retrieval_status of every query: REFUSED where no result is left."""
     found = bundles.select("query_id").distinct().withColumn("_f", F.lit(True))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokenize
+from ..session import forget, keep
 
 K1, B = 1.5, 0.75
 
@@ -52,6 +53,50 @@ def top_k(scores: DataFrame, k: int, key: str = "doc_id", score: str = "score",
 
 
 def normalized(scores: DataFrame, score: str = "score", group: str = "query_id") -> DataFrame:
-    """score over the group's best, six decimals; 0 where the best isn't positive."""
-    top = F.max(score).over(Window.partitionBy(group))
-    return scores.withColumn("norm", F.when(top > 0, F.round(F.col(score) / top, 6)).otherwise(0.0))
+    """score over the group's best, six decimals; 0 where the best isn't positive. A group's best is one row, joined."""
+    best = scores.groupBy(group).agg(F.max(score).alias("_top"))
+    return scores.join(best, group).withColumn("norm", F.when(F.col("_top") > 0, F.round(F.col(score) / F.col("_top"), 6)).otherwise(0.0)).drop("_top")
+
+
+# --- a persisted index ---
+
+#: Parts that terms are dealt into by hash; a batch reads only the parts of its terms.
+TERM_PARTS = 64
+
+
+def object_text(title: Column, aliases: Column, keywords: Column, body: Column) -> Column:
+    """What is indexed of an object: its title twice, its aliases and keywords, its body."""
+    some = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
+    return F.concat_ws(" ", title, title, some(aliases), some(keywords), body)
+
+
+def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Postings(part, term, key, tf, dl) sorted by term in folders by part, term counts, and the corpus counts."""
+    tokens = keep(docs.select(key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("_t")).withColumn("dl", F.size("_t").cast("long")))
+    rows = tokens.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
+    rows.repartitionByRange("part", "term", key).sortWithinPartitions("part", "term", key).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    postings_ = tokens.sparkSession.read.parquet(f"{path}/postings")
+    postings_.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df")).repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms")
+    tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("tokens")).write.mode("overwrite").parquet(f"{path}/corpus")
+    forget(tokens)
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, eligible: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """query_id, key, score for a stated batch; eligibility is looked at after scoring, so it changes no statistics.
+
+    The batch's terms come to the driver: their parts are read, and within them the rows of these terms only.
+    """
+    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
+    asked = terms.collect()
+    words, parts = sorted({r["term"] for r in asked}), sorted({r["part"] for r in asked})
+    corpus = spark.read.parquet(f"{path}/corpus").first()
+    chosen = F.col("part").isin(parts) & F.col("term").isin(words)
+    hits = spark.read.parquet(f"{path}/postings").where(chosen).select("term", key, "tf", "dl")
+    df = spark.read.parquet(f"{path}/terms").where(chosen).select("term", "df")
+    batch = spark.createDataFrame([(r["query_id"], r["term"], r["times"]) for r in asked], "query_id int, term string, times long")
+    idf = F.log((F.lit(corpus["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(corpus["avgdl"] or 1.0)))
+    scored = hits.join(df.join(batch, "term"), "term").groupBy("query_id", key).agg(F.sum(F.col("times") * idf * weight).alias("score"))
+    return scored if eligible is None else scored.join(eligible.select(key).distinct(), key, "left_semi")

@@ -11,10 +11,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.rules import broken_diagrams
+from ..functions.text import links, section_map
 from . import graph
 
-ID_PATTERN = r"^(PERS|ENG)-[A-Z0-9]+-[A-Za-z0-9_]+-([0-9]{4})$"
-ACTOR_PATTERN = r"^(human|agent|system):[A-Za-z0-9_.@-]+$"
+#: How ids and actors are written, and relations that rank.
+ID_PATTERN = r"^(PERS|ENG)-[A-Z]{2,5}-[A-Z0-9][A-Z0-9_]*-([0-9]{4})$"
+ACTOR_PATTERN = r"^(human:[a-z0-9._-]+|process:[a-z0-9._-]+|[a-z0-9._-]+/[A-Za-z0-9._-]+)$"
 HIERARCHY = ("PART_OF", "INSTANCE_OF", "TYPE_OF")
 LISTS = ("toolchain", "prog_language", "language", "architecture", "test_level")
 MOST_RELATIONS = 20
@@ -152,3 +155,33 @@ def cross_object_rules(objects: DataFrame) -> DataFrame:
 def exit_code(findings: DataFrame) -> int:
     levels = {r["level"] for r in findings.select("level").distinct().collect()}
     return 1 if "ERROR" in levels else 0
+
+
+def body_rules(objects: DataFrame, headings: tuple) -> DataFrame:
+    """W014 headings outside the template, W016 relation targets without a link in the body, W017 broken diagrams."""
+    rows = objects.where("load_error is null")
+    named = rows.select("path", F.explode(F.transform(section_map(F.col("raw_body")), lambda s: s["title"])).alias("title"))
+    linked = F.transform(links(F.col("raw_body")), lambda x: F.regexp_replace(F.element_at(F.split(x, "/"), -1), r"(#.*)?$|\.md(#.*)?$", ""))
+    targets = rows.select("path", F.explode("relations.target").alias("target"), F.concat(links(F.col("raw_body")), linked).alias("_links"))
+    broken = rows.select("path", F.explode(broken_diagrams(F.col("raw_body"))).alias("fault"))
+    return _union([
+        _finding(named, ~F.col("title").isin(*headings), "W014", F.concat(F.lit("sections."), "title")),
+        _finding(targets, (F.coalesce("target", F.lit("")) != "") & ~F.array_contains("_links", F.col("target")), "W016", "relations"),
+        _finding(broken, F.lit(True), "W017", "body"),
+    ])
+
+
+def placement_rules(objects: DataFrame, paths: DataFrame) -> DataFrame:
+    """E002: a file that doesn't lie where its taxonomy node says; paths(taxonomy_id, folder)."""
+    rows = objects.join(paths, "taxonomy_id")
+    return _finding(rows, ~F.col("path").endswith(F.concat("folder", "id", F.lit(".md"))), "E002", "taxonomy_id")
+
+
+def registry_rules(entries: DataFrame) -> DataFrame:
+    """E080 ids that come more than once (a finding for each repeat), E081 parents that aren't there, E082 blank ids."""
+    rows = entries.withColumn("path", F.lit("registry"))
+    repeats = rows.groupBy("id", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and id is not null")
+    repeats = repeats.withColumn("_again", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
+    known = entries.select(F.col("id").alias("parent_id")).where("parent_id is not null").distinct()
+    lost = rows.where("parent_id is not null").join(known, "parent_id", "left_anti")
+    return _union([_finding(repeats, F.lit(True), "E080", F.col("id")), _finding(lost, F.lit(True), "E081", F.col("id")), _finding(rows, F.coalesce(F.trim("id"), F.lit("")) == "", "E082", "id")])

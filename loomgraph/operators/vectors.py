@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Rows and queries of a block.
+BLOCK = 4096
 DIMENSION = 384
 
 
@@ -68,11 +70,52 @@ def embedder(dimension: int = DIMENSION):
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, key, score, rank for a stated batch of queries(query_id, query_vector), best first, ties by key."""
-    pairs = vectors.select(key, F.col(column).alias("v")).join(F.broadcast(queries))
-    scored = pairs.select("query_id", key, cosine(F.col("v"), F.col("query_vector")).alias("score")).where("score > 0")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """query_id, key, score, rank for a stated batch of queries(query_id, query_vector), best first, ties by key.
+
+    Rows and queries are dealt into blocks; a pair of blocks is a matrix product that gives back k rows a query, so
+    neither side is broadcast and no pair of rows is ever written. Scores are rounded to nine places.
+    """
+    parts = {}
+    for name, side in (("r", vectors), ("q", queries)):
+        parts[name] = max(1, -(-side.count() // BLOCK))
+    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(column).cast("array<double>").alias("v")).withColumn("r", F.pmod(F.xxhash64("k"), F.lit(parts["r"])).cast("int"))
+    asks = queries.select(F.col("query_id").cast("long").alias("k"), F.col("query_vector").cast("array<double>").alias("v")).withColumn("q", F.pmod(F.xxhash64("k"), F.lit(parts["q"])).cast("int"))
+    rows = rows.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts["q"] - 1)))).groupBy("r", "q")
+    asks = asks.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(parts["r"] - 1)))).groupBy("r", "q")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": [], "k": [], "score": []}).astype({"query_id": "int64", "k": "int64"})
+        if len(a) and len(b):
+            x, y = (np.stack(t["v"].to_numpy()) for t in (a, b))
+            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+            score, ids, asked = np.round(x @ y.T, 9), b["k"].to_numpy(), a["k"].to_numpy()
+            n = min(k, len(ids))
+            least = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
+            i, j = np.nonzero((score >= least[:, None]) & (score > 0))
+            order = np.lexsort((ids[j], -score[i, j], i))
+            i, j = i[order], j[order]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out = pd.DataFrame({"query_id": asked[i[kept]], "k": ids[j[kept]], "score": score[i[kept], j[kept]]})
+        return out
+
+    found = asks.cogroup(rows).applyInPandas(best, "query_id long, k long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "k")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("k", key)
+
+
+def write_vectors(vectors: DataFrame, path: str, model: str, dimension: int, corpus_hash: str) -> None:
+    """Vectors and, in a table of one row, what they were made with; what has another length or isn't of unit length fails."""
+    fine = (F.size("embedding") == dimension) & (F.abs(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)) - 1) < 1e-3)
+    checked = vectors.where(F.when(fine, True).otherwise(F.raise_error(F.lit("vector of wrong length")).cast("boolean")))
+    checked.write.mode("overwrite").parquet(f"{path}/vectors")
+    vectors.sparkSession.createDataFrame([(model, dimension, corpus_hash)], "model string, dimension int, corpus_hash string").write.mode("overwrite").parquet(f"{path}/made")
+
+
+def read_vectors(spark, path: str, model: str, dimension: int, corpus_hash: str | None = None) -> tuple[DataFrame, bool]:
+    """The vectors at path and whether they are fresh: made by that model, of that dimension and for that corpus."""
+    made = spark.read.parquet(f"{path}/made").first()
+    fresh = made["model"] == model and made["dimension"] == dimension and (corpus_hash is None or made["corpus_hash"] == corpus_hash)
+    return spark.read.parquet(f"{path}/vectors"), fresh
 
 
 def best_passage(scored: DataFrame, group: str, chunk: str, score: str = "score") -> DataFrame:

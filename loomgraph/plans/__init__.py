@@ -1 +1,3 @@
+"""Queries by name."""
 
+from . import catalogue, objects  # noqa: F401  (both register their queries in the catalogue)

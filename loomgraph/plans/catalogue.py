@@ -90,13 +90,13 @@ def chunk_windows(spark, sf):
 
 
 @query(f"""WITH b AS (SELECT item_id, list_distinct(list_filter({TOKENS_SQL.format('text')}, lambda x: x NOT IN ({", ".join(repr(w) for w in X.STOPWORDS)}))) AS c FROM benchmark),
-    d AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS t FROM documents WHERE doc_id % 97 = 0)
+    d AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS t FROM documents)
     SELECT item_id, doc_id, round(CASE WHEN len(c) > 0 THEN len(list_intersect(c, list_distinct(t))) / len(c) ELSE 0 END, 6) AS covered
     FROM b, d WHERE len(list_intersect(c, list_distinct(t))) >= 0.5 * len(c)""")
 def entailment(spark, sf):
-    """Claims of benchmark against a stated set of passages: those whose id 97 divides."""
+    """Claims of benchmark against all documents: one that covers half of a claim shares a word with it."""
     claims = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("claim"), X.content_tokens(F.col("text")).alias("c"))
-    passages = _docs(spark, sf).where("doc_id % 97 = 0").select("doc_id", F.array_distinct(X.tokenize(F.col("text"))).alias("t"))
+    passages = _docs(spark, sf).select("doc_id", F.array_distinct(X.tokenize(F.col("text"))).alias("t"))
     hits = claims.select("item_id", F.size("c").alias("n"), F.explode("c").alias("w")).join(passages.select("doc_id", F.explode("t").alias("w")), "w")
     covered = hits.groupBy("item_id", "doc_id", "n").agg(F.count(F.lit(1)).alias("k"))
     return covered.where("k * 2 >= n").select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 6).alias("covered"))
@@ -143,16 +143,14 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT query_id, vec_id, round(greatest(0, list_dot_product(embedding::DOUBLE[], qv::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(qv::DOUBLE[], qv::DOUBLE[]))), 9) AS score FROM embeddings, q),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0)
     SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def cosine_topk(spark, sf):
     rows = _vectors(spark, sf)
-    batch = rows.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    pairs = rows.select("vec_id", "embedding").join(F.broadcast(batch))
-    scored = pairs.select("query_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("query_vector")), 9).alias("score")).where("score > 0")
-    return lexical.top_k(scored, 10, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    batch = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vectors.cosine_top_k(rows, batch, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0),
@@ -233,7 +231,8 @@ def refusal_gates(spark, sf):
     return fusion.refusal(rows, F.col("quality").cast("double"), 1 - F.col("toxic") * 0.5).select("doc_id", "decision")
 
 
-@query()
+@query("""WITH p AS (SELECT 'P' || p_partkey AS id, first_value('P' || p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey % 3 DESC, length('P' || p_partkey), 'P' || p_partkey) AS winner FROM part)
+    SELECT id, CASE WHEN winner <> id THEN winner END AS suppressed_by FROM p""")
 def conflict_cluster(spark, sf):
     """Parts of a brand and size contradict each other; the epistemic terms follow from their attributes."""
     part = table(spark, sf, "part")
@@ -286,11 +285,13 @@ def dense_ids(spark, sf):
     return graph.dense_ids(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id")).distinct())
 
 
-@query(f"""WITH {EDGES_SQL}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM (SELECT u AS id FROM e UNION SELECT v FROM e)),
+@query("""WITH e AS (SELECT 'O' || l_orderkey AS u, 'P' || l_partkey AS v FROM lineitem), n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM (SELECT u AS id FROM e UNION SELECT v FROM e)),
     d AS (SELECT n.idx, n.id AS node, count(e.u) AS degree FROM n LEFT JOIN e ON e.u = n.id GROUP BY ALL)
     SELECT idx, node, degree, (sum(degree) OVER (ORDER BY idx) - degree)::BIGINT AS start FROM d""")
 def csr_indptr(spark, sf):
-    return graph.adjacency(_edges(spark, sf)).select("idx", "node", "degree", "start")
+    """The order-part graph by string ids, a line an edge."""
+    lines = table(spark, sf, "lineitem").select(F.concat(F.lit("O"), "l_orderkey").alias("u"), F.concat(F.lit("P"), "l_partkey").alias("v"))
+    return graph.adjacency(lines)
 
 
 @query(f"""WITH {INCIDENCE_SQL},
@@ -308,12 +309,13 @@ def abc_overlap(spark, sf):
     return graph.overlap(_incidence(spark, sf), 1, 2)
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, r(root, node, depth) AS (SELECT u, u, 0 FROM (SELECT DISTINCT u FROM e WHERE u < 1000040 AND u >= 1000000) UNION SELECT root, v, depth + 1 FROM r JOIN e ON r.node = e.u WHERE depth < 3)
+@query("""WITH RECURSIVE d AS (SELECT DISTINCT l_orderkey AS u, -1 - l_partkey AS v FROM lineitem), e AS (SELECT u, v FROM d UNION ALL SELECT v, u FROM d), r(root, node, depth) AS (SELECT u, u, 0 FROM (SELECT DISTINCT u FROM e WHERE u >= 0 AND u % 100 = 0) UNION SELECT root, v, depth + 1 FROM r JOIN e ON r.node = e.u WHERE depth < 2)
     SELECT root, node, min(depth)::INTEGER AS depth FROM r GROUP BY ALL""")
 def bfs_depth(spark, sf):
-    edges = _edges(spark, sf)
-    seeds = edges.where("u >= 1000000 and u < 1000040").select(F.col("u").alias("root")).distinct()
-    return graph.bfs(edges, seeds, 3)
+    """Orders whose id 100 divides, over the parts they share with others."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("u"), (-1 - F.col("l_partkey")).alias("v")).distinct()
+    seeds = lines.where("u % 100 = 0").select(F.col("u").alias("root")).distinct()
+    return graph.bfs(lines.union(lines.select("v", "u")), seeds, 2)
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, r(root, node, depth) AS (SELECT u, u, 0 FROM (SELECT DISTINCT u FROM e WHERE u >= 2000000) UNION SELECT root, v, depth + 1 FROM r JOIN e ON r.node = e.u WHERE depth < 3)
@@ -395,7 +397,8 @@ def cycle_edges(spark, sf):
     return graph.cycles(pairs.where("u <> v").select("u", "v"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(root, node, depth) AS (SELECT n_nationkey::BIGINT + 1000, n_nationkey::BIGINT + 1000, 0 FROM nation UNION SELECT root, v, depth + 1 FROM r JOIN b ON r.node = b.u WHERE depth < 2),
+    m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT root, node, depth::INTEGER AS depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS n FROM m) WHERE n <= 50""")
 def blast_radius(spark, sf):
     edges = _edges(spark, sf)
     roots = table(spark, sf, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("root"))
@@ -539,9 +542,9 @@ def content_token_counts(spark, sf):
     return _docs(spark, sf).select("doc_id", F.size(X.content_tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("""SELECT page_id, '<untrusted_source>' || chr(10) || regexp_replace(substr(html, 1, 200), '(?i)<(\\s*/?\\s*untrusted_source\\s*/?\\s*)>', '&lt;\\1&gt;', 'g') || chr(10) || '</untrusted_source>' AS fenced FROM pages""")
+@query("""SELECT page_id, '<untrusted_source>' || chr(10) || regexp_replace(html, '(?i)<(\\s*/?\\s*untrusted_source\\s*/?\\s*)>', '&lt;\\1&gt;', 'g') || chr(10) || '</untrusted_source>' AS fenced FROM pages""")
 def fenced_pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.fence(F.substring("html", 1, 200)).alias("fenced"))
+    return table(spark, sf, "pages").select("page_id", X.fence(F.col("html")).alias("fenced"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS digest FROM documents")

@@ -29,9 +29,11 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir, or a new one where that is unset (local sessions)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="loomgraph-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"
