@@ -16,6 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import forget, keep
 from .common import WORD, let, text_of, words
 
 FEATURES = 4096
@@ -142,8 +143,11 @@ def threshold_of(trusted: DataFrame, table: Column, size: int = FEATURES, left_o
 
 
 def _rule(docs: DataFrame, trusted: DataFrame, threshold: float | None, size: int) -> Column:
+    trusted = keep(trusted.select("text"))  # counted and then scored
     table = F.split(F.lit(",".join(map(str, log_ratios(docs, trusted, size)))), ",").cast("array<double>")
-    return measured(text_of(), table, threshold_of(trusted, table, size) if threshold is None else threshold, size)
+    rule = measured(text_of(), table, threshold_of(trusted, table, size) if threshold is None else threshold, size)
+    forget(trusted)
+    return rule
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float | None = None, size: int = FEATURES) -> DataFrame:

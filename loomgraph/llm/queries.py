@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import long_texts, table
 from . import lm_scoring, minhash, mixing, neighbours, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_texts(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(_documents(spark, sf_dir))
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +22,7 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.report(_documents(spark, sf_dir))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,11 +32,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed(_documents(spark, sf_dir), tokenizer_path())
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     held = quality_classifier.held_out()
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels").where(~held))
     scored = quality_classifier.score(docs, model)
@@ -39,29 +44,29 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     trusted = quality_rules.trusted_rows(docs, table(spark, sf_dir, "labels").where("quality = 1"))
     judged = quality_rules.judge(docs.select("doc_id", "text"), trusted)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    planned = mixing.plan(_documents(spark, sf_dir))
     return planned.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("position"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.layout(table(spark, sf_dir, "documents"), 16)
+    return sharding.layout(_documents(spark, sf_dir), 16)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     scored = lm_scoring.score(docs, lm_scoring.in_training())
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found, _ = minhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", "class_id")
 
 
