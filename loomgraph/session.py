@@ -73,6 +73,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def long_texts(spark: SparkSession, rows: int = 512) -> None:
+    """Read Parquet in batches of so many rows in this session: a batch of long texts is one array on the heap."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Arrow batches of so many rows for what runs inside, so that whole texts don't pile up in a worker."""
