@@ -27,6 +27,28 @@ def test_stages(spark, sf):
         docs = spark.createDataFrame(rows, docs.schema)
 
 
-def test_run_equals_the_stages(spark, sf):
-    got = corpus_pipeline.run(spark, sf)
-    assert got.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+def test_run_equals_the_stages_and_handles_odd_rows(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = [(None, None), (10**6, ""), (10**6 + 1, None), (10**6 + 2, "word " * 30_000)]
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "kept", "x") for r in docs.collect()]
+    rows += rows[:3] + [(i, t, None, None, None, None, "x") for i, t in odd]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string, _row string"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == at.columns
+        at = spark.createDataFrame(out.collect(), at.schema)
+    pieces = lambda frame: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in frame.collect())
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    expected = pieces(corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)))
+    assert pieces(got) == expected and expected and not {None, 10**6, 10**6 + 1, 10**6 + 2} & {k[0] for k in expected}
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_no_rows(spark, sf, tmp_path):
+    empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
