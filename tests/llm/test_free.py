@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.fixture(scope="module")
 def docs(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    rows += [(None, None), (10**6, ""), (7, "twice same"), (7, "twice same"), (10**6 + 1, "é ü 日本 " * 4000), (10**6 + 2, "a\t\x0b b\x1cc"), (10**6 + 3, None)]
+    rows += [(None, None), (10**6, ""), (7, "twice same"), (7, "twice same"), (10**6 + 1, "é ü 日本 " * 4000), (10**6 + 2, "a\t\x0b b\x1cc"), (10**6 + 3, None), (10**6 + 4, "a <|endoftext|> b<|endoftext|>c<|startoftext|>")]
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
@@ -51,6 +51,16 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_neighbours_of_repeated_rows_and_with_further_columns(spark):
+    x = np.random.default_rng(2).standard_normal((60, 4)).tolist()
+    rows = [(i, v, 1, [0]) for i, v in enumerate(x)] + [(20, x[20], 2, [1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, p int, parts array<int>")
+    got = neighbours.search(frame, F.col("vec_id") % 20 == 0).collect()
+    assert Counter(r.query_id for r in got) == {0: 20, 20: 40, 40: 20}
+    own = [r for r in got if r.query_id == 20 and r.vec_id == 20]
+    assert len(own) == 2 and all(r.score == pytest.approx(sum(a * a for a in x[20])) for r in own)
+
+
 def test_neighbours_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     rows = neighbours.search(frame, F.col("vec_id") % 20 == 0).collect()
