@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import CODE_EDGE, CODE_NODE, OBJECT
 
@@ -76,31 +76,95 @@ def parse_objects(texts: DataFrame) -> DataFrame:
     return texts.select("path", "text").mapInPandas(run, schema)
 
 
+def entity_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, reason of XML files (plain or compressed) that declare entities; one such line anywhere is enough."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return lines.where(F.lower("value").contains("<!entity")).select("file", F.lit("entity_declaration_forbidden").alias("reason")).distinct()
+
+
 def articles(spark: SparkSession, path: str) -> DataFrame:
-    """pmid, title, abstract, year, journal, mesh, citations of article XML; rows without a whole-number id go."""
+    """pmid, title, abstract, sections, year, journal, mesh, citations, corrections of article XML.
+
+    Rows without a whole-number id go, and so do all rows of files that declare entities (see entity_files). A section
+    named twice keeps its first place and its last text; parts without text count for nothing.
+    """
     ids = "ArticleIdList struct<ArticleId: array<struct<_VALUE: string, _IdType: string>>>"
     schema = (
         "MedlineCitation struct<PMID: struct<_VALUE: string>, Article: struct<ArticleTitle: string, Journal: struct<Title: string, JournalIssue: struct<PubDate: struct<Year: string>>>, "
-        "Abstract: struct<AbstractText: array<struct<_VALUE: string, _Label: string>>>>, MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: struct<_VALUE: string, _UI: string, _MajorTopicYN: string>>>>>, "
+        "Abstract: struct<AbstractText: array<struct<_VALUE: string, _Label: string, _NlmCategory: string>>>, ArticleDate: array<struct<Year: string>>>, "
+        "CommentsCorrectionsList: struct<CommentsCorrections: array<struct<_RefType: string, PMID: struct<_VALUE: string>>>>, "
+        "MeshHeadingList: struct<MeshHeading: array<struct<DescriptorName: struct<_VALUE: string, _UI: string, _MajorTopicYN: string>>>>>, "
         f"PubmedData struct<ReferenceList: array<struct<Reference: array<struct<{ids}>>>>>"
     )
-    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(schema).load(path).withColumn("file", F.col("_metadata.file_path"))
+    rows = rows.join(entity_files(spark, path), "file", "left_anti")
     c = "MedlineCitation"
-    sections = F.coalesce(F.col(f"{c}.Article.Abstract.AbstractText"), F.array())
-    mesh = F.transform(F.coalesce(F.col(f"{c}.MeshHeadingList.MeshHeading"), F.array()), lambda m: F.struct(m["DescriptorName"]["_UI"].alias("ui"), m["DescriptorName"]["_VALUE"].alias("name"), (m["DescriptorName"]["_MajorTopicYN"] == "Y").alias("major")))
-    cited = F.flatten(F.transform(F.coalesce("PubmedData.ReferenceList", F.array()), lambda r: F.flatten(F.transform(F.coalesce(r["Reference"], F.array()), lambda x: F.filter(F.coalesce(x["ArticleIdList"]["ArticleId"], F.array()), lambda i: i["_IdType"] == "pubmed")))))
-    return rows.select(
-        F.col(f"{c}.PMID._VALUE").try_cast("long").alias("pmid"), F.col(f"{c}.Article.ArticleTitle").alias("title"),
-        F.array_join(F.transform(sections, lambda s: s["_VALUE"]), "\n").alias("abstract"),
-        F.col(f"{c}.Article.Journal.JournalIssue.PubDate.Year").try_cast("int").alias("year"), F.col(f"{c}.Article.Journal.Title").alias("journal"),
-        mesh.alias("mesh"), F.filter(F.transform(cited, lambda i: i["_VALUE"].try_cast("long")), lambda x: x.isNotNull()).alias("citations"),
+
+    def some(text: Column) -> Column:
+        return F.nullif(F.trim(text), F.lit(""))
+
+    def listed(name: str) -> Column:
+        return F.coalesce(F.col(name), F.array())
+
+    label = lambda s: F.upper(F.coalesce(F.nullif(s["_Label"], F.lit("")), F.nullif(s["_NlmCategory"], F.lit(""))))
+    parts = F.filter(F.transform(listed(f"{c}.Article.Abstract.AbstractText"), lambda s: F.struct(label(s).alias("name"), some(s["_VALUE"]).alias("text"))), lambda s: s["text"].isNotNull())
+    named = F.filter("parts", lambda s: s["name"].isNotNull())
+    sections = F.transform(F.array_distinct(F.transform(named, lambda s: s["name"])), lambda n: F.element_at(F.filter("parts", lambda s: s["name"] == n), -1))
+    mesh = F.filter(F.transform(listed(f"{c}.MeshHeadingList.MeshHeading"), lambda m: F.struct(F.coalesce(m["DescriptorName"]["_UI"], F.lit("")).alias("ui"), some(m["DescriptorName"]["_VALUE"]).alias("name"), F.coalesce(m["DescriptorName"]["_MajorTopicYN"] == "Y", F.lit(False)).alias("major"))), lambda m: m["name"].isNotNull())
+    cited = F.flatten(F.transform(listed("PubmedData.ReferenceList"), lambda r: F.flatten(F.transform(F.coalesce(r["Reference"], F.array()), lambda x: F.filter(F.coalesce(x["ArticleIdList"]["ArticleId"], F.array()), lambda i: i["_IdType"] == "pubmed")))))
+    corrected = F.transform(listed(f"{c}.CommentsCorrectionsList.CommentsCorrections"), lambda x: F.struct(F.coalesce(x["_RefType"], F.lit("CommentOn")).alias("ref_type"), some(x["PMID"]["_VALUE"]).alias("pmid")))
+    year = F.coalesce(F.col(f"{c}.Article.Journal.JournalIssue.PubDate.Year"), F.get(F.col(f"{c}.Article.ArticleDate"), 0)["Year"])
+    return rows.withColumn("parts", parts).select(
+        F.trim(f"{c}.PMID._VALUE").try_cast("long").alias("pmid"), F.coalesce(some(F.col(f"{c}.Article.ArticleTitle")), F.lit("Untitled Article")).alias("title"),
+        F.array_join(F.transform("parts", lambda s: s["text"]), " ").alias("abstract"), sections.alias("sections"),
+        F.trim(year).try_cast("int").alias("year"), F.trim(f"{c}.Article.Journal.Title").alias("journal"),
+        mesh.alias("mesh"), F.filter(F.transform(cited, lambda i: F.trim(i["_VALUE"]).try_cast("long")), lambda x: x.isNotNull()).alias("citations"),
+        F.filter(corrected, lambda x: x["pmid"].isNotNull()).alias("corrections"),
     ).where("pmid is not null")
 
 
+#: What every object made from an article says.
+ARTICLE_FIELDS = {
+    "schema_version": "3.8.10", "taxonomy_path": "03. Natural Science", "taxonomy_id": "TX-PERS-03", "object_type": "Article", "domain": "natural_science",
+    "source_type": "document", "author": "process:nlm", "audience": "engineer", "status": "established", "consensus": "accepted", "evidence": "observed",
+    "verification": "peer_verified", "authority": "informative", "confidence": "0.9",
+}
+ARTICLE_ID = "PERS-ART-MED_%08d-0001"
+
+
+def article_objects(rows: DataFrame, today: str, scope: str = "personal") -> DataFrame:
+    """OBJECT rows of articles: soft relations CITES and SUPERSEDES, the first four major headings as aliases, the
+    first ten headings and the journal as keywords, the abstract by sections as body; due again a year on, in January."""
+
+    def links(kind: str, targets: Column) -> Column:
+        return F.transform(targets, lambda x: F.struct(F.lit(kind).alias("type"), F.format_string(ARTICLE_ID, x).alias("target"), F.lit(True).alias("soft_link"), F.lit(None).cast("string").alias("created_date")))
+
+    def titled(text: Column) -> Column:
+        return F.array_join(F.transform(F.split(F.lower(text), r"(?<=\P{L})(?=\p{L})"), F.initcap), "")
+
+    amended = F.filter(F.transform("corrections", lambda x: x["pmid"].try_cast("long")), lambda x: x.isNotNull())
+    major = F.transform(F.filter("mesh", lambda m: m["major"]), lambda m: m["name"])
+    named = F.transform(F.slice("mesh", 1, 10), lambda m: F.lower(m["name"]))
+    by_section = F.array_join(F.transform("sections", lambda s: F.concat(F.lit("### "), titled(s["name"]), F.lit("\n\n"), s["text"], F.lit("\n"))), "\n")
+    body = F.when(F.size("sections") > 0, F.concat(F.lit("## Abstract\n\n"), by_section)).when(F.col("abstract") != "", F.concat(F.lit("## Abstract\n\n"), "abstract")).otherwise("*No abstract available.*")
+    day = F.to_date(F.lit(today))
+    number = F.col("pmid").cast("string")
+    made = {name: F.lit(value) for name, value in ARTICLE_FIELDS.items()} | {
+        "id": F.format_string(ARTICLE_ID, "pmid"), "path": F.concat(F.format_string(ARTICLE_ID, "pmid"), F.lit(".md")), "title": F.col("title"), "scope": F.lit(scope),
+        "aliases": F.concat(F.array(F.concat(F.lit("PMID:"), number), number), F.slice(major, 1, 4)),
+        "keywords": F.concat(named, F.when(F.coalesce(F.length("journal"), F.lit(0)) > 0, F.array(F.lower("journal"))).otherwise(F.array().cast("array<string>"))),
+        "language": F.array(F.lit("en")), "source_refs": F.array(F.concat(F.lit("pmid:"), number)),
+        "last_modified": day.cast("string"), "next_review": F.make_date(F.year(day) + 1, F.lit(1), F.lit(1)).cast("string"),
+        "relations": F.concat(links("CITES", F.col("citations")), links("SUPERSEDES", amended)),
+        "unknown_fields": F.array().cast("array<string>"), "raw_body": F.rtrim(F.concat(F.lit("# "), "title", F.lit("\n\n"), F.regexp_replace(body, r"\s+$", ""))),
+    }
+    return rows.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(OBJECT)])
+
+
 def article_edges(rows: DataFrame) -> DataFrame:
     """u, v: citations one way, subject headings both ways."""
-    u = F.format_string("PERS-ART-MED_%08d-0001", "pmid")
-    cites = F.transform("citations", lambda x: F.struct(u.alias("u"), F.format_string("PERS-ART-MED_%08d-0001", x).alias("v")))
+    u = F.format_string(ARTICLE_ID, "pmid")
+    cites = F.transform("citations", lambda x: F.struct(u.alias("u"), F.format_string(ARTICLE_ID, x).alias("v")))
     there = F.transform("mesh", lambda m: F.struct(u.alias("u"), F.concat(F.lit("MESH_"), m["ui"]).alias("v")))
     back = F.transform("mesh", lambda m: F.struct(F.concat(F.lit("MESH_"), m["ui"]).alias("u"), u.alias("v")))
     return rows.select(F.explode(F.concat(cites, there, back)).alias("e")).select("e.u", "e.v")

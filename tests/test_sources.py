@@ -68,11 +68,35 @@ def test_articles(spark, tmp_path):
     (tmp_path / "a.xml").write_text("""<?xml version="1.0"?><PubmedArticleSet><PubmedArticle><MedlineCitation><PMID Version="1">7</PMID><Article><Journal><JournalIssue><PubDate><Year>2001</Year></PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>T</ArticleTitle><Abstract><AbstractText Label="A">x</AbstractText><AbstractText Label="B">y</AbstractText></Abstract></Article><MeshHeadingList><MeshHeading><DescriptorName UI="D1" MajorTopicYN="Y">M</DescriptorName></MeshHeading></MeshHeadingList></MedlineCitation><PubmedData><ReferenceList><Reference><ArticleIdList><ArticleId IdType="pubmed">9</ArticleId></ArticleIdList></Reference></ReferenceList></PubmedData></PubmedArticle></PubmedArticleSet>""")
     rows = readers.articles(spark, str(tmp_path / "a.xml"))
     row = rows.first()
-    assert (row.pmid, row.title, row.abstract, row.year, row.journal, row.citations) == (7, "T", "x\ny", 2001, "J", [9])
+    assert (row.pmid, row.title, row.abstract, row.year, row.journal, row.citations) == (7, "T", "x y", 2001, "J", [9])
     assert row.mesh[0].ui == "D1" and row.mesh[0].major
     assert readers.article_edges(rows).count() == 3
 
 
+def test_article_sections_corrections_and_objects(spark, tmp_path):
+    def page(pmid, abstract="", more=""):
+        return f"<PubmedArticle><MedlineCitation><PMID>{pmid}</PMID><Article><Journal><Title>Some J</Title></Journal><ArticleTitle/><Abstract>{abstract}</Abstract></Article>{more}</MedlineCitation></PubmedArticle>"
+
+    abstract = '<AbstractText Label="Methods/results">a</AbstractText><AbstractText NlmCategory="AIM">b</AbstractText><AbstractText Label="METHODS/RESULTS"> c </AbstractText><AbstractText>d</AbstractText><AbstractText Label="E"> </AbstractText>'
+    heading = "".join(f'<MeshHeading><DescriptorName UI="D{i}" MajorTopicYN="{"Y" if i % 2 else "N"}">H{i}</DescriptorName></MeshHeading>' for i in range(12))
+    more = f'<CommentsCorrectionsList><CommentsCorrections RefType="ErratumFor"><PMID>5</PMID></CommentsCorrections><CommentsCorrections><PMID>x</PMID></CommentsCorrections><CommentsCorrections RefType="Cites"/></CommentsCorrectionsList><MeshHeadingList>{heading}</MeshHeadingList>'
+    (tmp_path / "a.xml").write_text(f"<PubmedArticleSet>{page(7, abstract, more)}{page(8)}{page('no')}</PubmedArticleSet>")
+    (tmp_path / "b.xml").write_text(f'<!DOCTYPE x [<!Entity a "b">]>\n<PubmedArticleSet>{page(9)}</PubmedArticleSet>')
+    rows = readers.articles(spark, str(tmp_path))
+    found = {r.pmid: r for r in rows.collect()}
+    assert set(found) == {7, 8}
+    assert [tuple(s) for s in found[7].sections] == [("METHODS/RESULTS", "c"), ("AIM", "b")] and found[7].abstract == "a b c d"
+    assert [tuple(x) for x in found[7].corrections] == [("ErratumFor", "5"), ("CommentOn", "x")]
+    assert found[8].title == "Untitled Article" and found[8].abstract == "" and found[8].sections == []
+    assert [r.file.rsplit("/", 1)[-1] for r in readers.entity_files(spark, str(tmp_path)).collect()] == ["b.xml"]
+    objects = {r.id: r for r in readers.article_objects(rows, "2026-03-01").collect()}
+    one, two = objects["PERS-ART-MED_00000007-0001"], objects["PERS-ART-MED_00000008-0001"]
+    assert one.aliases == ["PMID:7", "7", "H1", "H3", "H5", "H7"] and one.keywords == [f"h{i}" for i in range(10)] + ["some j"]
+    assert [(r.type, r.target, r.soft_link) for r in one.relations] == [("SUPERSEDES", "PERS-ART-MED_00000005-0001", True)]
+    assert one.raw_body == "# Untitled Article\n\n## Abstract\n\n### Methods/Results\n\nc\n\n### Aim\n\nb" and one.next_review == "2027-01-01"
+    assert two.raw_body == "# Untitled Article\n\n*No abstract available.*" and two.aliases == ["PMID:8", "8"]
+
+
 def test_questions(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps({"5": {"QUESTION": "q", "LABELS": ["L"], "CONTEXTS": ["c"]}, "x": {"QUESTION": "n"}}))
     assert [tuple(r) for r in readers.questions(spark, str(tmp_path / "q.json")).collect()] == [(5, "q", ["L"], ["c"])]
