@@ -13,7 +13,8 @@ from ..schemas import CODE_EDGE, CODE_NODE, OBJECT
 #: Folders and files that hold no objects.
 EXCLUDED_TOP = (".git", ".venv", ".pytest_cache", ".ruff_cache", "schemas", "specs", "plans", "research", "prompts", "external-specs", "review-outputs", "input-artifacts", ".agents", "tools", "tests", "scripts", "examples")
 EXCLUDED_ANY = ("raw", "staging", "artifacts", "derived", "discovery", ".cache", "docs")
-SKIPPED_ROOT_FILES = ("README.md", "CONTRIBUTING.md", "LICENSE.md", "CHANGELOG.md", "SECURITY.md", "AGENTS.md")
+SKIPPED_ROOT_FILES = ("README.md", "CONTRIBUTING.md", "LICENSE.md", "CHANGELOG.md", "SECURITY.md", "AGENTS.md", "CLAUDE.md")
+IGNORED_CODE = (".git", ".venv", "__pycache__", ".pytest_cache", "build", "dist")
 
 
 def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -23,16 +24,44 @@ def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return found.select(F.regexp_replace(where, F.lit("^/*" + root.split(":")[-1].strip("/").replace(".", r"\.") + "/"), F.lit("")).alias("path"), "content", F.col("length").alias("size"))
 
 
-def markdown(spark: SparkSession, root: str) -> DataFrame:
-    """Objects of a Markdown tree; a file that can't be read becomes a row with load_error."""
+def markdown(spark: SparkSession, root: str, scope: str | None = None, exclude: tuple[str, ...] | None = None) -> DataFrame:
+    """Objects of a Markdown tree; a file that can't be read becomes a row with load_error.
+
+    scope keeps files with a part of that name in their path; exclude, where given, stands for all excluded folders and
+    names top folders only. Links out of the tree are not looked at: object stores have none.
+    """
     rows = files(spark, root, "*.md")
     parts = F.split("path", "/")
     top = F.get(parts, 0)
     nested = F.size(parts) > 1
-    keep = ~(nested & top.isin(*EXCLUDED_TOP)) & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, EXCLUDED_ANY))) & ~(~nested & top.isin(*SKIPPED_ROOT_FILES))
+    tops, anywhere = (EXCLUDED_TOP, EXCLUDED_ANY) if exclude is None else (exclude, ())
+    keep = ~top.isin(*tops) & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, anywhere)).cast("array<string>")) & ~(~nested & top.isin(*SKIPPED_ROOT_FILES))
+    if scope is not None:
+        keep = keep & F.array_contains(parts, scope)
     return parse_objects(rows.where(keep).select("path", F.col("content").cast("string").alias("text")))
 
 
+def python_sources(spark: SparkSession, root: str) -> DataFrame:
+    """path, text of the Python files of a tree, without what builds and tools leave there."""
+    own = ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, IGNORED_CODE)))
+    return files(spark, root, "*.py").where(own).select("path", F.col("content").cast("string").alias("text"))
+
+
+def appended(now: DataFrame, cursors: DataFrame) -> DataFrame:
+    """path, content (what is new), byte_offset, file_sha256 of now(path, content) against cursors(path, byte_offset,
+    file_sha256); the last two are the next cursors.
+
+    A file goes on from its cursor if its bytes up to there still hash alike. A file that was cut, replaced or is new
+    is read from the start; one without new bytes gives an empty content.
+    """
+    past = cursors.select("path", F.col("byte_offset").alias("_from"), F.col("file_sha256").alias("_hash"))
+    size = F.length("content")
+    grown = (F.col("_from") <= size) & (F.sha2(F.expr("substring(content, 1, int(_from))"), 256) == F.col("_hash"))
+    return now.select("path", "content").join(past, "path", "left").select(
+        "path", F.when(grown, F.expr("substring(content, int(_from) + 1)")).otherwise(F.col("content")).alias("content"),
+        size.cast("long").alias("byte_offset"), F.sha2("content", 256).alias("file_sha256"))
+
+
 def parse_objects(texts: DataFrame) -> DataFrame:
     """OBJECT rows of texts(path, text): YAML between fences, then the body. YAML has no built-in reader."""
     schema = T._parse_datatype_string(OBJECT)
@@ -180,6 +209,23 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("id").try_cast("long").alias("pubid"), F.col("q.QUESTION").alias("question"), F.col("q.LABELS").alias("labels"), F.col("q.CONTEXTS").alias("contexts")).where("pubid is not null and question is not null")
 
 
+def question_articles(rows: DataFrame) -> DataFrame:
+    """Rows as of articles(), for article_objects, of questions: labels name the contexts' sections, the first label is
+    a heading beside a fixed one; a label without a context, or the reverse, counts for nothing."""
+    labels, contexts = F.coalesce("labels", F.array().cast("array<string>")), F.coalesce("contexts", F.array().cast("array<string>"))
+    n = F.least(F.size(labels), F.size(contexts))
+    pairs = F.arrays_zip(F.slice(labels, 1, n).alias("name"), F.slice(contexts, 1, n).alias("text"))
+    first = F.coalesce(F.get(labels, 0), F.lit("Study"))
+    heading = lambda ui, name, major: F.struct(F.lit(ui).alias("ui"), name.alias("name"), F.lit(major).alias("major"))
+    return rows.withColumn("pairs", pairs).select(
+        F.col("pubid").cast("long").alias("pmid"), F.regexp_replace("question", r"\?+$", "").alias("title"),
+        F.array_join(F.transform("pairs", lambda x: F.concat(x["name"], F.lit(": "), x["text"])), "\n\n").alias("abstract"),
+        F.transform(F.array_distinct(F.transform("pairs", lambda x: x["name"])), lambda k: F.element_at(F.filter("pairs", lambda x: x["name"] == k), -1)).alias("sections"),
+        F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("journal"),
+        F.array(heading("D000001", F.lit("Biomedicine"), True), heading("D000002", first, False)).alias("mesh"),
+        F.array().cast("array<long>").alias("citations"), F.array().cast("array<struct<ref_type:string,pmid:string>>").alias("corrections"))
+
+
 def code_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of Python sources(path, text): definitions, bases, calls by name, imports and tests."""
 

@@ -102,6 +102,31 @@ def test_questions(spark, tmp_path):
     assert [tuple(r) for r in readers.questions(spark, str(tmp_path / "q.json")).collect()] == [(5, "q", ["L"], ["c"])]
 
 
+def test_questions_as_objects(spark):
+    rows = spark.createDataFrame([(5, "Why??", ["A", "B", "A", "C"], ["x", "y", "z"]), (6, "Q", None, None)], "pubid long, question string, labels array<string>, contexts array<string>")
+    found = {r.id[-13:-5]: r for r in readers.article_objects(readers.question_articles(rows), "2026-01-01").collect()}
+    assert found["00000005"].raw_body == "# Why\n\n## Abstract\n\n### A\n\nz\n\n### B\n\ny" and found["00000005"].aliases == ["PMID:5", "5", "Biomedicine"]
+    assert found["00000005"].keywords == ["biomedicine", "a"] and found["00000006"].keywords == ["biomedicine", "study"]
+
+
+def test_scope_sources_and_cursors(spark, tmp_path):
+    write(tmp_path, "a/one.md", id="X1")
+    write(tmp_path, "docs/two.md", id="X2")
+    (tmp_path / "CLAUDE.md").write_text("no")
+    for name in ("p/a.py", "build/b.py", "p/dist/c.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("X = 1")
+    assert [r.path for r in readers.markdown(spark, str(tmp_path), scope="a").collect()] == ["a/one.md"]
+    assert [r.path for r in readers.markdown(spark, str(tmp_path), exclude=("a",)).collect()] == ["docs/two.md"]
+    assert [r.path for r in readers.python_sources(spark, str(tmp_path)).collect()] == ["p/a.py"]
+    first = spark.createDataFrame([(p, b"abc") for p in ("same", "more", "cut", "other")], "path string, content binary")
+    none = spark.createDataFrame([], "path string, byte_offset long, file_sha256 string")
+    start = readers.appended(first, none)
+    assert {bytes(r.content) for r in start.collect()} == {b"abc"}
+    then = spark.createDataFrame([("same", b"abc"), ("more", b"abcde"), ("cut", b"ab"), ("other", b"xbcd"), ("new", b"n"), ("void", b"")], "path string, content binary")
+    assert {r.path: bytes(r.content) for r in readers.appended(then, start).collect()} == {"same": b"", "more": b"de", "cut": b"ab", "other": b"xbcd", "new": b"n", "void": b""}
+
+
 def test_code_graph_and_changes(spark):
     sources = spark.createDataFrame([("p/a.py", "import os\nX = 1\nclass A:\n    def m(self):\n        return f()\ndef f():\n    return 1\n"), ("p/b.py", "from p.a import A\nclass B(A):\n    pass\n"), ("tests/t.py", "def test_f():\n    f()\n"), ("bad.py", "def (")], "path string, text string")
     nodes, edges = readers.code_graph(sources)
