@@ -61,7 +61,7 @@ def ttl(rows: DataFrame, now: str, days: int, grace: int, created: str = "create
 def illegal_transitions(history: DataFrame) -> DataFrame:
     """history(old_state, new_state) rows that the lifecycle doesn't allow."""
     allowed = history.sparkSession.createDataFrame(list(TRANSITIONS), "old_state string, new_state string")
-    return history.join(F.broadcast(allowed), ["old_state", "new_state"], "left_anti")
+    return history.join(allowed, ["old_state", "new_state"], "left_anti")
 
 
 def duplicates(rows: DataFrame, key: list[str], order: list) -> DataFrame:

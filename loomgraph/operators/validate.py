@@ -42,9 +42,9 @@ def structural_rules(objects: DataFrame, types: DataFrame, taxonomy: DataFrame)
     rows = objects.where("load_error is null").withColumn("_parts", F.split("id", "-"))
     fits = F.col("id").rlike(ID_PATTERN)
     prefix = F.when(F.col("scope") == "personal", "PERS").when(F.col("scope") == "engineering", "ENG").otherwise("")
-    typed = rows.join(F.broadcast(types.select(F.col("name").alias("object_type"), "code", "tag_strategy", "engineering_only")), "object_type")
+    typed = rows.join(types.select(F.col("name").alias("object_type"), "code", "tag_strategy", "engineering_only"), "object_type")
     tag = F.get("_parts", 2)
-    placed = rows.join(F.broadcast(taxonomy.select(F.col("id").alias("taxonomy_id"), F.col("name").alias("_leaf"), F.col("scope").alias("_scope"))), "taxonomy_id", "left")
+    placed = rows.join(taxonomy.select(F.col("id").alias("taxonomy_id"), F.col("name").alias("_leaf"), F.col("scope").alias("_scope")), "taxonomy_id", "left")
     named = F.coalesce(F.col("taxonomy_id"), F.lit("")) != ""
     return _union([
         _finding(rows, ~F.coalesce(fits, F.lit(False)), "E005", "id"),
@@ -66,18 +66,18 @@ def semantic_rules(objects: DataFrame, types: DataFrame, domains: DataFrame, fac
     as_list = {c: (F.col(c) if c in LISTS else F.when(F.col(c).isNotNull(), F.array(c))) for c in present}
     long = rows.select("path", "object_type", F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), v.alias("v"), F.lit(c in LISTS).alias("many")) for c, v in as_list.items()])).alias("f")).select("path", "object_type", "f.*")
     needed = types.select(F.col("name").alias("object_type"), F.explode("required_facets").alias("facet"))
-    missing = long.join(F.broadcast(needed), ["object_type", "facet"]).where("v is null or size(v) = 0")
-    known = long.where("v is not null").join(F.broadcast(facets.select(F.col("name").alias("facet"), "values", "allows_none")), "facet")
+    missing = long.join(needed, ["object_type", "facet"]).where("v is null or size(v) = 0")
+    known = long.where("v is not null").join(facets.select(F.col("name").alias("facet"), "values", "allows_none"), "facet")
     none, unknown = F.array_contains("v", "none"), F.array_contains("v", "unknown")
     concrete = F.exists("v", lambda x: ~x.isin("none", "unknown"))
     each = known.where("size(v) > 0").withColumn("x", F.explode("v"))
     off = ((F.col("x") == "none") & ~F.col("allows_none")) | ((F.col("x") != "none") & ~F.array_contains("values", F.col("x"))) | ((F.col("x") == "none") & F.col("allows_none") & ~F.array_contains("values", F.col("x")))
-    ruled = rows.join(F.broadcast(governance), "status")
+    ruled = rows.join(governance, "status")
     day = F.lit(today).cast("date")
     at = {c: F.col(c).try_cast("date") for c in ("next_review", "last_verified", "last_modified")}
     refs = F.coalesce("source_refs", F.array())
     return _union([
-        _finding(rows.join(F.broadcast(domains.select(F.col("name").alias("domain"))), "domain", "left_anti"), F.lit(True), "E027", "domain"),
+        _finding(rows.join(domains.select(F.col("name").alias("domain")), "domain", "left_anti"), F.lit(True), "E027", "domain"),
         _finding(missing, F.lit(True), "E020", F.col("facet")),
         _finding(known, F.col("many") & (F.size("v") == 0), "E013", F.col("facet")),
         _finding(known, F.col("many") & (F.size(F.array_distinct("v")) < F.size("v")), "E014", F.col("facet")),
@@ -112,12 +112,12 @@ def graph_rules(objects: DataFrame, relations: DataFrame, most: int = MOST_RELAT
     repeats = edges.withColumn("_n", F.row_number().over(Window.partitionBy("path", "type", "target").orderBy("pos")))
     views = relations.where("inverse_view is not null").select(F.col("inverse_view").alias("type"))
     targets = by_id(objects).select(F.col("id").alias("target"), F.col("object_type").alias("_target_type"))
-    known = edges.join(F.broadcast(relations.withColumnRenamed("name", "type")), "type").join(targets, "target", "left")
+    known = edges.join(relations.withColumnRenamed("name", "type"), "type").join(targets, "target", "left")
     return _union([
         _finding(objects, F.size("relations") > most, "W015", "relations"),
         _finding(edges, F.col("target") == F.col("id"), "E011", "relations"),
         _finding(repeats, F.col("_n") > 1, "E012", "relations"),
-        _finding(edges.join(F.broadcast(views), "type", "left_semi"), F.lit(True), "E019", "relations.type"),
+        _finding(edges.join(views, "type", "left_semi"), F.lit(True), "E019", "relations.type"),
         _finding(known, ~F.array_contains("source_types", F.col("object_type")), "E021", "relations.type"),
         _finding(known, F.col("_target_type").isNotNull() & ~F.array_contains("target_types", F.col("_target_type")), "E021", "relations.target"),
         _finding(known, (F.col("type") == "DESCRIBES") & F.col("_target_type").isNotNull(), "E031", "relations.type"),
