@@ -88,10 +88,10 @@ def _spaced(text: str) -> str:
     return text
 
 
-def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
+def token_bytes(texts: list[str], path: str, end_id: int = END_ID) -> Iterator[bytes]:
     """The ids of each text as little-endian 32-bit numbers, the end token included."""
     known = _tokenizers.get(path) or _tokenizers.setdefault(path, _Words(path))
-    end = END_ID.to_bytes(4, "little")
+    end = end_id.to_bytes(4, "little")
     for at in range(0, len(texts), 256):
         split = [_spaced(t).split(" ") for t in texts[at : at + 256]]
         found = [list(map(known.get, words)) for words in split]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import long_texts, table
-from . import lm_scoring, minhash, mixing, neighbours, packing, pii, quality_classifier, quality_rules, sharding, suffix_dedup
+from . import (
+    hard_negatives, lm_scoring, minhash, mixing, neighbours, packing, pii, prefix_trie, quality_classifier, quality_rules, sharding, suffix_dedup, token_files,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long_texts(spark)
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(_documents(spark, sf_dir), tokenizer_path())
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_neighbours": op2_neighbours,
@@ -81,6 +97,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_files": op13_token_files,
 }
 #: crc32 of the texts by its table of 256, which eight halvings of each byte give.
 CRC_SQL = """crct AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
@@ -169,4 +188,26 @@ ORACLE_SQL: dict[str, str] = {
         u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, u.b FROM r JOIN u ON u.a = r.other)
         SELECT doc_id, class_id FROM d JOIN (SELECT r.rid, min(x.doc_id) AS class_id FROM r JOIN d x ON x.rid = r.other GROUP BY 1) USING (rid)""",
+    "op11_hard_negatives": """WITH fine AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, x.rid, x.vec_id, a.label = x.label AS same, list_sum(list_transform(range(1, least(len(a.c), len(x.c)) + 1), lambda i: a.c[i] * x.c[i]))::BIGINT AS score
+            FROM fine a JOIN fine x ON a.rid <> x.rid WHERE a.vec_id % 100 = 0),
+        positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id) AS n FROM scored WHERE same) WHERE n <= 5),
+        hard AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.arid, p.rid ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+            FROM positives p JOIN scored s ON s.arid = p.arid AND NOT s.same WHERE 80 * p.score <= 100 * s.score AND s.score <= p.score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM hard WHERE rank <= 5""",
+    "op12_prefix_trie": f"""WITH {CRC_SQL.split("raw AS")[0].rstrip().rstrip(",")},
+        num AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        size AS (SELECT conv_id, count(*) AS n, conv_id::VARCHAR AS s FROM num GROUP BY 1),
+        h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(s)), lambda i: ascii(substr(s, i + 1, 1))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 9 AS h FROM size, crct),
+        c AS (SELECT h.*, least(h, coalesce(n, 0)) AS head FROM h LEFT JOIN size b ON b.conv_id = base),
+        built AS (SELECT c.conv_id, pos AS i, r, x FROM c JOIN num n ON n.conv_id = base WHERE pos <= h UNION ALL SELECT c.conv_id, pos - h + head, r, x FROM c JOIN num n ON n.conv_id = c.conv_id WHERE pos > h),
+        path AS (SELECT conv_id, i, octet_length(encode(x)) AS bytes, string_agg(md5(length(r) || ':' || r || x), '') OVER (PARTITION BY conv_id ORDER BY i) AS node, i = max(i) OVER (PARTITION BY conv_id) AS last FROM built
+            UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM built) FROM c),
+        nodes AS (SELECT node, min(conv_id) AS conv_id, max(i) AS depth, count(*) AS n_convs, max(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM path GROUP BY 1),
+        kids AS (SELECT left(node, 32 * (depth - 1)) AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        own AS (SELECT nodes.node, depth, (kids.n IS NULL)::INTEGER AS leaf, (n_convs - 1) * bytes AS saved FROM nodes LEFT JOIN kids USING (node)),
+        sums AS (SELECT left(node, 32 * j) AS node, sum(leaf) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS j FROM own) GROUP BY 1)
+        SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs, coalesce(kids.n, 0) AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, a.ends_sha256
+        FROM nodes a JOIN sums s USING (node) LEFT JOIN kids USING (node) LEFT JOIN nodes p ON a.depth > 0 AND p.node = left(a.node, 32 * (a.depth - 1))""",
 }

@@ -9,7 +9,8 @@ from loomgraph.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     frame = queries.QUERIES[name](spark, sf)
     found = con.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
