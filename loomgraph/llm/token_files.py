@@ -261,14 +261,14 @@ def _tokenised(docs: DataFrame, path: str, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            out = []
-            for ids in token_bytes([t or "" for t in batch["text"]], path, END_ID):
-                numbers = np.frombuffer(ids, "<u4")
-                counted = np.bincount(numbers)
-                if len(counted) > len(seen):
-                    seen = np.pad(seen, (0, len(counted) - len(seen)))
-                seen[: len(counted)] += counted
-                out.append(numbers.astype(f"<u{width}").tobytes())
+            found = list(token_bytes(batch["text"].tolist(), path, END_ID))
+            ids = np.frombuffer(b"".join(found), "<u4")
+            counted = np.bincount(ids)
+            if len(counted) > len(seen):
+                seen = np.pad(seen, (0, len(counted) - len(seen)))
+            seen[: len(counted)] += counted
+            narrow, ends = ids.astype(f"<u{width}").tobytes(), np.cumsum([len(f) // 4 * width for f in found]).tolist()
+            out = [narrow[a:b] for a, b in zip([0, *ends], ends)]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": out, "counts": [None] * len(out)})
         known = np.flatnonzero(seen)
         yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "counts": [[{"id": int(i), "n": int(seen[i])} for i in known]]})
