@@ -20,6 +20,8 @@ DIAGRAMS = (
 #: Patterns of wiki links at intake, in migration and of diagrams.
 INTAKE_LINK = r"\[\[([a-zA-Z0-9_\-\./]+)(?:\|[^\]]+)?\]\]"
 MIGRATION_LINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
+#: Fixed value: how the note begins that stands over a broken diagram.
+FAILURE = "<!-- LINT_FAILURE: mermaid syntax error: "
 DIAGRAM = r"(?s)```mermaid[^\S\r\n]*\r?\n(.*?)```"
 
 
@@ -138,7 +140,7 @@ def degrade_diagrams(body: Column) -> Column:
 
     def one(piece: Column, i: Column) -> Column:
         block = F.get(inner, i)
-        shown = F.concat(F.lit("<!-- lint failure: "), diagram_fault(block), F.lit(" -->\n```text\n"), F.regexp_replace(block, r"^\s+|\s+$", ""), F.lit("\n```"))
+        shown = F.concat(F.lit(FAILURE), diagram_fault(block), F.lit(" -->\n```text\n"), F.regexp_replace(block, r"^\s+|\s+$", ""), F.lit("\n```"))
         return F.concat(piece, F.when(i >= F.size(blocks), "").when(diagram_fault(block).isNull(), F.get(blocks, i)).otherwise(shown))
 
     return F.array_join(F.transform(pieces, one), "")

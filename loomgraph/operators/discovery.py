@@ -15,6 +15,8 @@ from . import graph
 RESOLVING = ("RESOLVED_BY", "SATISFIES", "RESOLVES")
 RESOLVING_TYPES = ("Lesson", "Component", "Procedure")
 IMPLEMENTING = ("SATISFIES", "INTRODUCED_IN", "IMPLEMENTS", "APPLIES")
+#: Characters at the end of a path by which references to it are looked for.
+ANCHOR = 12
 BRIDGE_STATUSES = ("pending", "reviewed", "approved", "rejected")
 
 
@@ -43,6 +45,28 @@ def ontological_gaps(objects: DataFrame, relations: DataFrame) -> DataFrame:
     return unresolved.union(unused).union(conflicts)
 
 
+def topological_gaps(nodes: DataFrame, together: DataFrame, similar: DataFrame, relations: DataFrame, least: int = 3, near: float = 0.80) -> DataFrame:
+    """candidate_id, a, b, community, together, similar, shared, confidence: pairs of nodes(id, scope, community) of one
+    scope without a relation of relations(src, dst) either way, for which two of three hold: the same community, at
+    least `least` shared chunks in together(a, b, shared), a cosine of at least `near` in similar(a, b, similarity).
+
+    Any two of the three include one of the last two, so only their pairs are candidates; communities are never paired.
+    Confidence is the cosine where it is known, else null.
+    """
+    pair = lambda rows, *more: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more)
+    often = pair(together.where(F.col("shared") >= least), "shared")
+    like = pair(similar.where(F.col("similarity") >= near), "similarity")
+    found = often.join(like, ["a", "b"], "full_outer")
+    told = nodes.select("id", "scope", "community")
+    side = lambda x: told.select(F.col("id").alias(x), F.col("scope").alias(f"_s{x}"), F.col("community").alias(f"_c{x}"))
+    found = found.join(side("a"), "a").join(side("b"), "b").where("_sa = _sb")
+    linked = pair(relations.select(F.col("src").alias("a"), F.col("dst").alias("b"))).distinct()
+    found = found.withColumn("community", F.coalesce(F.col("_ca") == F.col("_cb"), F.lit(False))).join(linked, ["a", "b"], "left_anti")
+    votes = sum((F.col(c).cast("int") for c in ("community", "together", "similar")), F.lit(0))
+    found = found.withColumns({"together": F.col("shared").isNotNull(), "similar": F.col("similarity").isNotNull()}).where(votes >= 2)
+    return found.select(F.concat_ws("-", F.lit("DISC-GAP-TOPO"), F.col("a").cast("string"), F.col("b").cast("string")).alias("candidate_id"), "a", "b", "community", "together", "similar", F.coalesce("shared", F.lit(0)).alias("shared"), F.round("similarity", 4).alias("confidence"))
+
+
 def scan(*found: DataFrame) -> DataFrame:
     """All candidates of several searches by candidate_id."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found).orderBy("candidate_id")
@@ -107,13 +131,28 @@ def _mentions(objects: DataFrame, wanted: DataFrame) -> DataFrame:
     return simple.union(hits.where(F.col("term").rlike(r"\W")).join(bodies, "id").where(whole).select("id", "term"))
 
 
+def _contained(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """id, node_id of refs(id, r) whose text contains the path of files(node_id, term).
+
+    Paths are joined on their last ANCHOR characters with all windows of that width in a reference, so only pairs that
+    share a path's end are compared; shorter paths are joined whole.
+    """
+    keyed = files.where("length(term) > 0").withColumn("_key", F.expr(f"right(term, {ANCHOR})"))
+    widths = [r[0] for r in keyed.select(F.length("_key")).distinct().collect()]  # at most ANCHOR of them
+    if not widths:
+        return refs.join(files, F.lit(False)).select("id", "node_id")
+    windows = F.flatten(F.array(*[F.expr(f"if(length(r) < {w}, array(), transform(sequence(1, length(r) - {w} + 1), i -> substr(r, i, {w})))") for w in widths]))
+    each = refs.where("r is not null").withColumn("_key", F.explode(F.array_distinct(windows)))
+    return each.join(keyed, "_key").where(F.contains("r", "term")).select("id", "node_id").distinct()
+
+
 def code_bridges(objects: DataFrame, nodes: DataFrame) -> DataFrame:
     """bridge_id, object_id, node_id, bridge_type, status: objects(id, body, source_refs) that name files or symbols.
 
     nodes(node_id, kind, name, path); a file's own node has kind FILE. Symbols of fewer than four letters don't count.
     """
     files = nodes.where("kind = 'FILE'").select("node_id", F.col("path").alias("term"))
-    refs = objects.select("id", F.explode("source_refs").alias("r")).join(files, F.expr("r = term or r like concat('%/', term)"))
+    refs = _contained(objects.select("id", F.explode("source_refs").alias("r")), files)
     named = _mentions(objects, files).join(files, "term").select("id", "node_id").union(refs.select("id", "node_id")).distinct().withColumn("bridge_type", F.lit("represented_by"))
     symbols = nodes.where("kind <> 'FILE' and length(name) >= 4").select("node_id", "kind", F.col("name").alias("term"))
     told = _mentions(objects, symbols).join(symbols, "term").select("id", "node_id", F.when(F.col("kind") == "TEST", "tested_by").otherwise("documents").alias("bridge_type"))
@@ -151,7 +190,8 @@ def rename(objects: DataFrame, relations: DataFrame, old: str, new: str) -> tupl
 
     bare = rf"\[\[\s*{re.escape(old)}\s*\]\]"
     piped = rf"\[\[\s*{re.escape(old)}\s*\|\s*([^\]]*)\]\]"
-    body = F.regexp_replace(F.regexp_replace("body", piped, f"[[{new}|$1]]"), bare, f"[[{new}]]")
+    plain = new.replace("\\", "\\\\").replace("$", "\\$")  # as a replacement, not as a reference to a group
+    body = F.regexp_replace(F.regexp_replace("body", piped, f"[[{plain}|$1]]"), bare, f"[[{plain}]]")
     moved = lambda c: F.when(F.col(c) == old, new).otherwise(F.col(c)).alias(c)
     return objects.withColumn("body", body).withColumn("id", moved("id")), relations.select(moved("src"), "type", moved("dst"))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import keep
+from ..functions.text import context_tokens
+from ..session import forget, keep
 
 
 def dense_ids(ids: DataFrame, column: str = "id", parts: int | None = None) -> DataFrame:
@@ -66,8 +65,22 @@ def running_starts(rows: DataFrame, width: int = 4096) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, src: str = "u", dst: str = "v", dedup: bool = False) -> DataFrame:
-    """idx, node, degree, start (sum of degrees before) of each node of a directed graph."""
-    return compressed(edges, src, dst, True, dedup)[0]
+    """idx, node, degree, start (sum of degrees before) of each node of a directed graph.
+
+    Edges are read once and counted by id before anything is numbered; numbers and starts come from one range
+    partitioning of the nodes, with counts and sums by range.
+    """
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    ends = F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))
+    nodes = (e.distinct() if dedup else e).select(F.explode(ends).alias("_e")).groupBy("_e.node").agg(F.sum("_e.out").alias("degree"))
+    rows = keep(nodes.repartitionByRange("node").withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("degree").alias("_d"))
+    starts = starts.select("_range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("_n", "_d")])
+    inside = Window.partitionBy("_range").orderBy("node")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.withColumns({"_i": F.row_number().over(inside) - 1, "_s": F.coalesce(F.sum("degree").over(before), F.lit(0))})
+    return told.join(starts, "_range").select((F.col("_n0") + F.col("_i")).cast("long").alias("idx"), "node", "degree", (F.col("_d0") + F.col("_s")).alias("start"))
 
 
 def write_compressed(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -207,22 +220,90 @@ def derived_edges(pairs: DataFrame, floor: float = 0.15) -> DataFrame:
     return pairs.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).where(F.col("score") >= floor)
 
 
+def _least_along(edges: DataFrame) -> DataFrame:
+    """node, label: the least node that reaches it along edges(u, v), itself included; kept.
+
+    Labels go along edges, and a label's own label is as good, so long paths take few rounds.
+    """
+    labels = keep(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("label", F.col("node")))
+    while True:
+        near = edges.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
+        stepped = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        fresh = keep(stepped.join(jump, "label").select("node", (F.col("old") != F.least("label", "far")).alias("moved"), F.least("label", "far").alias("label")))
+        moved = bool(fresh.where("moved").head(1))
+        forget(labels)
+        labels = fresh
+        if not moved:
+            return fresh
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """Edges on or between cycles: nodes without edges in or out are peeled off until none is left to peel."""
-    left = keep(edges.select("u", "v").distinct())
+    """Edges of edges(u, v) that lie on a cycle: those inside a strongly connected component, and loops.
+
+    The ends of such an edge are reached by the same nodes and reach the same nodes, so they have the same least node
+    behind them and ahead of them. Edges whose ends differ in one are dropped until none is left to drop; then every
+    part that hangs together is strongly connected.
+    """
+    left = keep(edges.select("u", "v").where("u is not null and v is not null").distinct())
     n = left.count()
     while n:
-        peeled = left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-        peeled = peeled.join(left.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
-        left = keep(peeled)
-        before, n = n, left.count()
+        behind = _least_along(left)
+        ahead = _least_along(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = behind.select("node", F.col("label").alias("_b")).join(ahead.select("node", F.col("label").alias("_a")), "node").select("node", F.struct("_b", "_a").alias("_l"))
+        same = left.join(both.select(F.col("node").alias("u"), F.col("_l").alias("_lu")), "u").join(both.select(F.col("node").alias("v"), F.col("_l").alias("_lv")), "v")
+        fresh = keep(same.where("_lu = _lv").select("u", "v"))
+        forget(left, behind, ahead)
+        left, before, n = fresh, n, fresh.count()
         if n == before:
             break
     return left
 
 
+def impact(edges: DataFrame, targets: DataFrame, direction: str = "both", depth: int = 3, ceiling: int = 50) -> tuple[DataFrame, DataFrame]:
+    """What a change to each root of targets(root) can reach over edges(src, type, dst), in the order of a queue.
+
+    Returns steps(root, seq, node, depth, src, type, dst), the edge by which each node was first met, and reports(root,
+    affected, depth_reached, ceiling_hit, tokens). A node's edges are followed in order of (type, dst, src); at most
+    `ceiling` nodes of a root are visited, the root included, and a root that would need one more is followed no
+    further. Levels are joins; of each node no more edges are ranked than the ceiling has room for.
+    """
+    e = edges.select("src", "type", "dst").where("src is not null and dst is not null").distinct()
+    along = e.select(F.col("src").alias("at"), F.col("dst").alias("node"), "src", "type", "dst")
+    against = e.select(F.col("dst").alias("at"), F.col("src").alias("node"), "src", "type", "dst")
+    step = {"down": along, "up": against, "both": along.union(against.where("src <> dst"))}[direction]
+    roots = keep(targets.select("root").distinct())
+    seen = None
+    frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("seq"))
+    if ceiling <= 0 or depth <= 0:
+        depth = 0
+    state = roots.select("root", F.lit(1).cast("long").alias("have"), F.lit(False).alias("hit"), F.lit(0).alias("reached"))
+    visited = frontier.select("root", "node")
+    for level in range(1, depth + 1):
+        order = [F.col("seq"), F.col("type"), F.col("dst"), F.col("src")]
+        new = frontier.select("root", F.col("node").alias("at"), "seq").join(step, "at").join(visited, ["root", "node"], "left_anti")
+        # No parent can give more nodes than the ceiling; the one beyond it is what shows that it was hit.
+        once = Window.partitionBy("root", "at", "node").orderBy("type", "dst", "src")
+        new = new.withColumn("_k", F.row_number().over(once)).where("_k = 1")
+        new = new.withColumn("_k", F.row_number().over(Window.partitionBy("root", "at").orderBy("type", "dst", "src"))).where(F.col("_k") <= ceiling)
+        new = new.withColumn("_k", F.row_number().over(Window.partitionBy("root", "node").orderBy(*order))).where("_k = 1")
+        new = new.withColumn("_k", F.row_number().over(Window.partitionBy("root").orderBy(*order)))
+        met = keep(new.join(state.where("not hit"), "root").withColumn("in", F.col("_k") + F.col("have") <= ceiling).where((F.col("_k") + F.col("have") <= ceiling + 1)))
+        taken = met.where("in").select("root", (F.col("have") + F.col("_k") - 1).alias("seq"), "node", F.lit(level).alias("depth"), "src", "type", "dst")
+        change = met.groupBy("root").agg(F.count_if("in").alias("_new"), F.max((~F.col("in")).cast("int")).alias("_hit"))
+        reached = F.when(F.col("_hit") == 1, level - 1).when(F.col("_new") > 0, level).otherwise(F.col("reached"))
+        state = keep(state.join(change, "root", "left").select("root", (F.col("have") + F.coalesce("_new", F.lit(0))).alias("have"), (F.col("hit") | F.coalesce(F.col("_hit") == 1, F.lit(False))).alias("hit"), F.coalesce(reached, "reached").alias("reached")))
+        seen = taken if seen is None else seen.union(taken)
+        visited = visited.union(taken.select("root", "node"))
+        frontier = taken.join(state.where("not hit").select("root"), "root", "left_semi").select("root", "node", "seq")
+    if seen is None:
+        seen = roots.limit(0).select("root", F.lit(0).cast("long").alias("seq"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.col("root").alias("src"), F.lit("").alias("type"), F.col("root").alias("dst"))
+    affected = F.col("have") - 1
+    report = state.select("root", affected.alias("affected"), F.col("reached").alias("depth_reached"), F.col("hit").alias("ceiling_hit"), context_tokens(affected, affected).alias("tokens"))
+    return seen, report
+
+
 def blast_radius(edges: DataFrame, targets: DataFrame, direction: str = "both", depth: int = 3, ceiling: int = 50) -> DataFrame:
-    """What a change to each root of targets(root) can reach; at most ceiling nodes, the root included."""
-    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    sides = {"down": [edges], "up": [back], "both": [edges, back]}[direction]
-    return bfs(reduce(DataFrame.union, [s.select("u", "v") for s in sides]).distinct(), targets, depth, ceiling)
+    """root, node, depth of what a change to each root of targets(root) can reach over edges(u, v), the root included."""
+    steps, _ = impact(edges.select(F.col("u").alias("src"), F.lit("").alias("type"), F.col("v").alias("dst")), targets, direction, depth, ceiling)
+    return steps.select("root", "node", "depth").union(targets.select("root", "root", F.lit(0)).distinct())

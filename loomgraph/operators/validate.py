@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rules import broken_diagrams
 from ..functions.text import links, section_map
+from ..session import keep
 from . import graph
 
 #: How ids and actors are written, and relations that rank.
@@ -177,11 +178,81 @@ def placement_rules(objects: DataFrame, paths: DataFrame) -> DataFrame:
     return _finding(rows, ~F.col("path").endswith(F.concat("folder", "id", F.lit(".md"))), "E002", "taxonomy_id")
 
 
-def registry_rules(entries: DataFrame) -> DataFrame:
-    """E080 ids that come more than once (a finding for each repeat), E081 parents that aren't there, E082 blank ids."""
-    rows = entries.withColumn("path", F.lit("registry"))
-    repeats = rows.groupBy("id", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and id is not null")
-    repeats = repeats.withColumn("_again", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))))
-    known = entries.select(F.col("id").alias("parent_id")).where("parent_id is not null").distinct()
-    lost = rows.where("parent_id is not null").join(known, "parent_id", "left_anti")
-    return _union([_finding(repeats, F.lit(True), "E080", F.col("id")), _finding(lost, F.lit(True), "E081", F.col("id")), _finding(rows, F.coalesce(F.trim("id"), F.lit("")) == "", "E082", "id")])
+#: Constraints between registries as (code, registry, key, field, where the field stands, registry and
+#: column that must have its values) and keys that may come once.
+REFERENCES = (
+    ("E081", "spec_ownership", "family_id", "owner", "invariant_families.{}.owner", "paths", "path"),
+    ("E083", "threshold_policy", "threshold_id", "owner", "thresholds.{}.owner", "paths", "path"),
+    ("E085", "source_registry", "name", "root", "source_types.{}.source_taxonomy", "source_taxonomy", "root"),
+    ("E023", "relation_registry", "name", "source_types", "relations.{}.source_types", "object_registry", "name"),
+    ("E023", "relation_registry", "name", "target_types", "relations.{}.target_types", "object_registry", "name"),
+    ("E020", "object_registry", "name", "required_facets", "object_types.{}.required_facets", "facet_registry", "name"),
+    ("E018", "taxonomy_registry", "taxonomy_id", "parent_id", "taxonomy.{}.parent_id", "taxonomy_registry", "taxonomy_id"),
+)
+UNIQUE = (("E080", "spec_ownership", "family_id", "invariant_families.{}"), ("E082", "threshold_policy", "threshold_id", "thresholds.{}"))
+
+
+def _named(pattern: str, key: Column) -> Column:
+    before, after = pattern.split("{}")
+    return F.concat(F.lit(before), key.cast("string"), F.lit(after))
+
+
+def taxonomy_rounds(taxonomy: DataFrame) -> DataFrame:
+    """id, entry of taxonomy(taxonomy_id, parent_id) rows whose parents run into a round: the first node met twice."""
+    steps = taxonomy.where("parent_id is not null").select(F.col("taxonomy_id").alias("u"), F.col("parent_id").alias("v")).distinct()
+    found = step = keep(graph.cycles(steps).select(F.col("u").alias("id"), F.col("u").alias("entry")).distinct())
+    while step.head(1):
+        more = steps.join(step.select(F.col("id").alias("v"), "entry"), "v").select(F.col("u").alias("id"), "entry")
+        step = keep(more.join(found.select("id"), "id", "left_anti"))
+        found = found.union(step)
+    return found
+
+
+def registry_rules(registries: dict[str, DataFrame]) -> DataFrame:
+    """code, registry, field: what breaks inside and between registries; those that aren't given aren't looked at.
+
+    spec_ownership(family_id, owner), threshold_policy(threshold_id, owner), paths(path), source_registry(name,
+    source_taxonomy), source_taxonomy(root, children), relation_registry(name, source_types, target_types, symmetric,
+    inverse_view), object_registry(name, required_facets), facet_registry(name, values, allows_none),
+    taxonomy_registry(taxonomy_id, parent_id, scope). References become anti-joins, one for each row of REFERENCES.
+    """
+    given = dict(registries)
+    out = []
+
+    def add(rows: DataFrame, code: str, registry: str, field: Column) -> None:
+        out.append(rows.select(F.lit(code).alias("code"), F.lit(registry).alias("registry"), field.alias("field")))
+
+    if "source_registry" in given:
+        given["source_registry"] = given["source_registry"].withColumns({"root": F.get("source_taxonomy", F.lit(0)), "child": F.get("source_taxonomy", F.lit(1))})
+    for code, registry, key, pattern in UNIQUE:
+        if registry in given:
+            repeats = given[registry].groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            add(repeats.withColumn("_again", F.explode(F.sequence(F.lit(2), F.col("n").cast("int")))), code, registry, _named(pattern, F.col(key)))
+    for code, registry, key, field, pattern, target, column in REFERENCES:
+        if registry in given and target in given:
+            rows = given[registry]
+            value = F.explode(field) if rows.schema[field].dataType.typeName() == "array" else F.col(field)
+            used = rows.select(F.col(key).alias("_k"), value.alias("_v")).where("_v is not null")
+            add(used.join(given[target].select(F.col(column).alias("_v")).distinct(), "_v", "left_anti"), code, registry, _named(pattern, F.col("_k")))
+    if "source_registry" in given:
+        sources = given["source_registry"]
+        add(sources.where("coalesce(size(source_taxonomy), 0) < 1"), "E084", "source_registry", _named("source_types.{}.source_taxonomy", F.col("name")))
+        if "source_taxonomy" in given:
+            under = sources.where("child is not null").join(given["source_taxonomy"], "root")
+            add(under.where(~F.coalesce(F.array_contains("children", F.col("child")), F.lit(False))), "E086", "source_registry", _named("source_types.{}.source_taxonomy", F.col("name")))
+    if "relation_registry" in given:
+        relations = given["relation_registry"]
+        own = F.coalesce(F.col("inverse_view") == F.col("name"), F.lit(False))
+        view = _named("relations.{}.inverse_view", F.col("name"))
+        add(relations.where(F.col("symmetric") & ~own), "E025", "relation_registry", view)
+        shared = relations.where(~F.col("symmetric")).withColumn("_n", F.row_number().over(Window.partitionBy("inverse_view").orderBy("name")))
+        add(shared.where("_n > 1"), "E025", "relation_registry", view)
+    if "taxonomy_registry" in given:
+        nodes = given["taxonomy_registry"]
+        parents = nodes.select(F.col("taxonomy_id").alias("parent_id"), F.col("scope").alias("_scope"))
+        add(nodes.join(parents, "parent_id").where("scope <> _scope"), "E018", "taxonomy_registry", _named("taxonomy.{}.parent_id", F.col("taxonomy_id")))
+        add(taxonomy_rounds(nodes), "E024", "taxonomy_registry", _named("taxonomy.{}", F.col("entry")))
+    if "facet_registry" in given:
+        facets = given["facet_registry"]
+        add(facets.where(~F.col("allows_none") & F.array_contains("values", "none")), "E026", "facet_registry", _named("facets.{}", F.col("name")))
+    return _union(out)

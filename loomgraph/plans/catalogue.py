@@ -369,13 +369,6 @@ def derived_edge_score(spark, sf):
     return graph.derived_edges(_pairs(spark, sf), 0.15 - 5e-10).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {PAIRS_SQL} SELECT a, b, shared_chunks, shared_refs FROM pairs WHERE canonical = 0 AND ((similarity >= 0.8)::INTEGER + (shared_chunks >= 2)::INTEGER + (shared_refs >= 1)::INTEGER) >= 2""")
-def gap_2_of_3(spark, sf):
-    pairs = _pairs(spark, sf).fillna({"shared_refs": 0})
-    votes = (F.col("similarity") >= 0.8).cast("int") + (F.col("shared_chunks") >= 2).cast("int") + (F.col("shared_refs") >= 1).cast("int")
-    return pairs.where((F.col("canonical") == 0) & (votes >= 2)).select("a", "b", "shared_chunks", "shared_refs")
-
-
 @query("""SELECT user_id, count(*) AS errors FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts > e.ts) GROUP BY 1""")
 def unresolved_events(spark, sf):
     """Incidents that nothing later settles: a user's errors after the last purchase."""
@@ -397,14 +390,6 @@ def cycle_edges(spark, sf):
     return graph.cycles(pairs.where("u <> v").select("u", "v"))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(root, node, depth) AS (SELECT n_nationkey::BIGINT + 1000, n_nationkey::BIGINT + 1000, 0 FROM nation UNION SELECT root, v, depth + 1 FROM r JOIN b ON r.node = b.u WHERE depth < 2),
-    m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL) SELECT root, node, depth::INTEGER AS depth FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS n FROM m) WHERE n <= 50""")
-def blast_radius(spark, sf):
-    edges = _edges(spark, sf)
-    roots = table(spark, sf, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("root"))
-    return graph.blast_radius(edges, roots, "both", 2, 50)
-
-
 # --- validation, staging, lifecycle ---
 
 

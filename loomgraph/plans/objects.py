@@ -435,12 +435,3 @@ def lint_structure(spark, sf):
     UNION ALL SELECT 'W016', 'relations', o_orderkey || '.md' FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 17 <> 0 UNION ALL SELECT 'W017', 'body', o_orderkey || '.md' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 17 <> 0""")
 def lint_bodies(spark, sf):
     return validate.body_rules(_lint_objects(spark, sf), TEMPLATE).select("code", "field", "file")
-
-
-@query("""SELECT 'E081' AS code, 'nation.' || n_nationkey AS field FROM nation WHERE n_regionkey = 4 UNION ALL SELECT 'E080', 'nation.' || (n_nationkey % 5) FROM nation WHERE n_nationkey >= 20""")
-def lint_registry(spark, sf):
-    """Nations as registry entries under regions: parents that aren't there, and ids that come twice."""
-    n = table(spark, sf, "nation").select(F.concat(F.lit("nation."), "n_nationkey").alias("id"), F.concat(F.lit("region."), "n_regionkey").alias("parent_id"))
-    again = table(spark, sf, "nation").where("n_nationkey >= 20").select(F.concat(F.lit("nation."), F.col("n_nationkey") % 5).alias("id"), F.lit("region.0").alias("parent_id"))
-    r = table(spark, sf, "region").where("r_regionkey <> 4").select(F.concat(F.lit("region."), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))
-    return validate.registry_rules(n.union(again).union(r)).select("code", "field")

@@ -28,7 +28,7 @@ def test_sections_and_lines(spark):
 def test_diagrams_links_and_citations(spark):
     body = "a\n```mermaid\ngraph TD\n A-->B\n```\nb\n```mermaid\nnonsense\n```\nc $1"
     out = one(spark, body, rules.degrade_diagrams)
-    assert out.startswith("a\n```mermaid\ngraph TD\n A-->B\n```\nb\n<!-- lint failure: unrecognized") and out.endswith("```text\nnonsense\n```\nc $1")
+    assert out.startswith("a\n```mermaid\ngraph TD\n A-->B\n```\nb\n<!-- LINT_FAILURE: mermaid syntax error: unrecognized") and out.endswith("```text\nnonsense\n```\nc $1")
     assert one(spark, "plain", rules.degrade_diagrams) == "plain"
     assert one(spark, "[[a/b|x]] [[c d]]", rules.intake_links) == ["a/b"] and one(spark, "[[a/b|x]] [[ c d ]]", rules.migration_links) == ["a/b", "c d"]
     assert one(spark, "so [12] and [13].", lambda t: rules.strip_citations(t, F.array(F.lit("12")))) == "so [12] and."
