@@ -50,3 +50,49 @@ def staged_counts(spark, sf):
     staged = StagedTable(spark, f"{shared_folder(spark)}/loomgraph/staged-{uuid.uuid4().hex}", "proposal_id long, status string, digest string", "proposal_id", "digest", ("status",))
     staged.commit(rows)
     return spark.createDataFrame(list(staged.manifest()["counts"]["status"].items()), "status string, n long")
+
+
+#: Documents as legacy notes: some without head, some with a head that says too little, some that are no text.
+NOTES_SQL = r"""n AS (SELECT doc_id, doc_id % 8 AS k, 'notes/' || CASE WHEN doc_id % 11 = 0 THEN doc_id || '/README' ELSE 'n_' || doc_id END || CASE WHEN doc_id % 13 = 0 THEN '.txt' ELSE '.md' END AS path, replace(text, '---', '-') AS body FROM documents),
+    p AS (SELECT *, substr(sha256(path), 1, 4) AS hex FROM n),
+    q AS (SELECT *, CASE WHEN doc_id % 13 = 0 OR doc_id % 11 = 0 THEN 'excluded' WHEN k = 0 THEN 'missing_frontmatter' WHEN k IN (1, 2) THEN 'malformed_metadata' WHEN k = 3 THEN 'ambiguous_scope' WHEN k = 7 THEN 'unicode_decode_error' END AS reason,
+            list_sum(list_transform(range(4), lambda i: (instr('0123456789abcdef', substr(hex, i + 1, 1)) - 1) * (16 ** (3 - i))))::BIGINT % 9000 + 1000 AS number FROM p)"""
+
+
+def _notes(spark, sf):
+    """Files, and the rows that migration makes of them."""
+    from ..operators import migration
+
+    d = F.col("doc_id")
+    path = F.concat(F.lit("notes/"), F.when(d % 11 == 0, F.concat(d, F.lit("/README"))).otherwise(F.concat(F.lit("n_"), d)), F.when(d % 13 == 0, ".txt").otherwise(".md"))
+    heads = ["", "---\n- a\n---\n", "---\na: [\n---\n", "---\ntitle: T\n---\n", "---\nscope: engineering\ncategory: misc\ntitle: Note %s\ntags: [Python, Misc]\n---\n", "---\nscope: personal\ntaxonomy_id: TX-ENG-01\nid: PERS-ART-OLD-0007\ntype: memo\n---\n", "---\nscope: personal\ntype: journal\nconfidence: 7\n---\n", ""]
+    top = F.element_at(F.array(*[F.format_string(h, d) if "%s" in h else F.lit(h) for h in heads]), (d % 8 + 1).cast("int"))
+    body = F.regexp_replace("text", "---", "-")
+    text = F.concat(top, body, F.concat(F.lit(" [[n_"), d + 1, F.lit("]] [[Lost|x]]"))).cast("binary")
+    files = table(spark, sf, "documents").select(path.alias("path"), F.when(d % 8 == 7, F.concat(F.unhex(F.lit("FF")), text)).otherwise(text).alias("content"))
+    types = spark.createDataFrame([("Article", "ART", "domain"), ("Journal", "JRN", "year")], "name string, code string, tag_strategy string")
+    taxonomy = spark.createDataFrame([("TX-ENG-01", "root", "engineering"), ("TX-ENG-02", "misc", "engineering"), ("TX-PERS-01", "own", "personal")], "taxonomy_id string, name string, scope string")
+    mapping = migration.Mapping(taxonomy={"misc": "TX-ENG-02"}, types={"journal": "Journal"})
+    return migration.parsed(files, mapping, types, taxonomy, ("software_engineering", "formal_science"), "2024-03-01T00:00:00Z")
+
+
+@query(f"""WITH {NOTES_SQL} SELECT path, reason, CASE WHEN reason IS NOT NULL THEN NULL WHEN k = 4 THEN printf('ENG-ART-%s-%04d', substr('NOTE_' || doc_id, 1, 12), number) WHEN k = 5 THEN 'PERS-ART-OLD-0007' ELSE printf('PERS-JRN-2024-%04d', number) END AS id,
+    CASE WHEN reason IS NOT NULL THEN NULL WHEN k = 4 THEN 'TX-ENG-02' ELSE 'TX-PERS-01' END AS taxonomy_id, CASE WHEN reason IS NOT NULL THEN NULL WHEN k = 6 THEN 'Journal' ELSE 'Article' END AS object_type, CASE WHEN reason IS NULL THEN 0.5 END AS confidence FROM q""")
+def migrated_notes(spark, sf):
+    return _notes(spark, sf).select("path", "reason", "id", "taxonomy_id", "object_type", "confidence")
+
+
+@query(f"WITH {NOTES_SQL} SELECT count(*) AS total_source_files, count(*) FILTER (reason IS NULL) AS eligible_files, count(*) FILTER (reason = 'excluded') AS excluded_files, count(*) FILTER (reason <> 'excluded') AS quarantined_files FROM q")
+def migration_counts(spark, sf):
+    from ..operators import migration
+
+    return migration.counts(_notes(spark, sf))
+
+
+@query(f"""WITH {NOTES_SQL}, o AS (SELECT doc_id, path, CASE WHEN k = 4 THEN printf('ENG-ART-%s-%04d', substr('NOTE_' || doc_id, 1, 12), number) WHEN k = 5 THEN 'PERS-ART-OLD-0007' ELSE printf('PERS-JRN-2024-%04d', number) END AS id FROM q WHERE reason IS NULL)
+    SELECT a.path AS source_file, 'n_' || (a.doc_id + 1) AS raw_link, b.id AS target FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id + 1 UNION ALL SELECT path, 'Lost', NULL FROM o""")
+def migration_links(spark, sf):
+    """Wiki links of migrated notes and the objects that they name by file."""
+    from ..operators import migration
+
+    return migration.link_proposals(migration.objects(_notes(spark, sf)))
