@@ -221,17 +221,13 @@ def derived_edges(pairs: DataFrame, floor: float = 0.15) -> DataFrame:
 
 
 def _least_along(edges: DataFrame) -> DataFrame:
-    """node, label: the least node that reaches it along edges(u, v), itself included; kept.
-
-    Labels go along edges, and a label's own label is as good, so long paths take few rounds.
-    """
+    """node, label: the least node that reaches it along edges(u, v), itself included; kept. A round a step of the way."""
     labels = keep(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("label", F.col("node")))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        fresh = keep(stepped.join(jump, "label").select("node", (F.col("old") != F.least("label", "far")).alias("moved"), F.least("label", "far").alias("label")))
-        moved = bool(fresh.where("moved").head(1))
+        step = edges.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("label"))
+        both = labels.select("node", "label", F.col("label").alias("old")).unionByName(step, allowMissingColumns=True)
+        fresh = keep(both.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
+        moved = bool(fresh.where("label <> old").head(1))
         forget(labels)
         labels = fresh
         if not moved:

@@ -8,14 +8,14 @@ from ..operators import discovery, graph, validate, vectors
 from ..session import table
 from .catalogue import query
 
-#: Customers point at others, one or two each: rounds, ways into them and ways from round to round.
-LINKS_SQL = """e AS (SELECT c_custkey::BIGINT AS u, ((c_custkey * 31 + c_nationkey) % (SELECT count(*) FROM customer))::BIGINT AS v FROM customer UNION SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_nationkey = 3)"""
+#: Customers point at others of their half dozen, some also into the next: rounds, ways into them and from round to round.
+LINKS_SQL = """e AS (SELECT c_custkey::BIGINT AS u, (c_custkey // 6 * 6 + (c_custkey * 5 + c_nationkey) % 6)::BIGINT AS v FROM customer UNION SELECT c_custkey, c_custkey + 6 FROM customer WHERE c_nationkey % 5 = 3 AND c_custkey % 24 < 18)"""
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.col("c_nationkey").cast("long").alias("n"))
-    rows = c.count()
-    return c.select(F.col("k").alias("u"), ((F.col("k") * 31 + F.col("n")) % rows).alias("v")).union(c.where("n = 3").select("k", F.col("k") + 1)).distinct()
+    near = F.expr("k div 6 * 6 + (k * 5 + n) % 6")
+    return c.select(F.col("k").alias("u"), near.alias("v")).union(c.where("n % 5 = 3 and k % 24 < 18").select("k", F.col("k") + 6)).distinct()
 
 
 @query(f"""WITH RECURSIVE {LINKS_SQL}, r(root, node) AS (SELECT u, v FROM e UNION SELECT root, v FROM r JOIN e ON r.node = e.u)
@@ -101,7 +101,7 @@ def renamed_bodies(spark, sf):
     stax AS (SELECT 'r' || r_regionkey AS root, ['c' || r_regionkey, 'c5'] AS children FROM region),
     rel AS (SELECT n_name AS name, 'T' || n_regionkey AS s, 'T' || (n_nationkey % 7) AS t, n_nationkey % 5 = 0 AS sym, CASE WHEN n_nationkey % 10 = 0 THEN n_name ELSE 'V' || (n_nationkey % 8) END AS iv FROM nation),
     obj AS (SELECT 'T' || r_regionkey AS name, unnest(['F' || r_regionkey, 'F9']) AS f FROM region), fac AS (SELECT 'F' || r_regionkey AS name, r_regionkey % 2 = 0 AS fine FROM region WHERE r_regionkey <> 3),
-    tax AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey * 31 + c_nationkey) % ((SELECT count(*) FROM customer) + 20) END AS p, c_custkey % 9 = 0 AS scope FROM customer),
+    tax AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 1 THEN c_custkey + 1000000 WHEN c_custkey % 7 <> 0 THEN c_custkey // 6 * 6 + (c_custkey * 5 + c_nationkey) % 6 END AS p, c_custkey % 9 = 0 AS scope FROM customer),
     reach(a, b) AS (SELECT k, p FROM tax WHERE p IS NOT NULL UNION SELECT a, p FROM reach JOIN tax ON b = k WHERE p IS NOT NULL),
     round AS (SELECT a AS k FROM reach WHERE a = b),
     entry AS (SELECT a, b FROM reach WHERE b IN (SELECT k FROM round)),
@@ -127,10 +127,9 @@ def lint_registry(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     region, k = F.concat(F.lit("r"), "n_regionkey"), F.col("n_nationkey")
     customers = table(spark, sf, "customer")
-    rows = customers.count()
     path = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.array(F.concat(F.lit("r"), F.col("n_regionkey") + 2))).otherwise(F.array(region, F.concat(F.lit("c"), k % 6)))
     view = F.when(k % 10 == 0, F.col("n_name")).otherwise(F.concat(F.lit("V"), k % 8))
-    parent = F.when(F.col("c_custkey") % 7 != 0, (F.col("c_custkey") * 31 + F.col("c_nationkey")) % (rows + 20))
+    parent = F.expr("case when c_custkey % 50 = 1 then c_custkey + 1000000 when c_custkey % 7 <> 0 then c_custkey div 6 * 6 + (c_custkey * 5 + c_nationkey) % 6 end")
     return validate.registry_rules({
         "spec_ownership": n.select((k % 20).alias("family_id"), region.alias("owner")),
         "threshold_policy": table(spark, sf, "supplier").select((F.col("s_suppkey") % 50).alias("threshold_id"), F.concat(F.lit("r"), F.col("s_nationkey") % 6).alias("owner")),
