@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import content_tokens, entailment, passage_budget, tokenize_with_ids
+from ..functions.text import body_excerpt, content_tokens, entailment, passage_budget, scoring_window, tokenize_with_ids
 from ..session import keep
 from . import fusion, graph
 
@@ -92,6 +92,63 @@ def bundle(fused: DataFrame, objects: DataFrame, most: int = 20, min_relevance:
     return best.join(objects, "id").select("query_id", "rank", "id", "title", "score", F.split("matched_by", ",").alias("matched_by"), epistemology.alias("epistemology"), "validity", F.slice("relations", 1, 25).alias("relations"))
 
 
+#: The facets that a result shows.
+FACETS = ("toolchain", "prog_language", "language", "audience", "architecture", "lifecycle", "test_level")
+
+
+def evidence(fused: DataFrame, objects: DataFrame, lexical: DataFrame, vector: DataFrame | None = None, walked: DataFrame | None = None, relations: DataFrame | None = None,
+             conflicts: DataFrame | None = None, most: int = 20, min_relevance: float = 0.0, body: bool = False) -> DataFrame:
+    """A nested row for each of the best results of fused(query_id, id, score, matched_by), as an answer needs it.
+
+    lexical(query_id, id, score) is normalised. vector(query_id, id, score, chunk_index, passage) and walked(query_id, id,
+    score, depth) may be absent: then their scores are null. Where they are there, a result that they don't have scores 0;
+    a query whose walk reached nothing but its seeds has no graph score either. Relations are those to other results of
+    the query, and contradictions to anything. conflicts(id, other, kind) marks results; facets and fields that objects
+    lack are null.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = fused.where(F.col("score") >= min_relevance).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    best = best.select("query_id", "id", "rank", F.col("score").alias("rrf"), F.split("matched_by", ",").alias("matched_by"))
+    rows = best.join(lexical.select("query_id", "id", F.col("score").alias("_bm25")), ["query_id", "id"], "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    passage = "struct<chunk_index:int,passage_text:string>"
+    if vector is None:
+        rows = rows.withColumns({"_vector": none("double"), "passage_attribution": none(passage)})
+    else:
+        told = F.struct(F.col("chunk_index").cast("int").alias("chunk_index"), F.substring(F.coalesce("passage", F.lit("")), 1, 200).alias("passage_text"))
+        hits = vector.select("query_id", "id", F.round("score", 6).alias("_vector"), told.alias("passage_attribution"))
+        rows = rows.join(hits, ["query_id", "id"], "left").withColumn("_vector", F.coalesce("_vector", F.lit(0.0)))
+    if walked is None:
+        rows = rows.withColumn("_graph", none("double"))
+    else:
+        reached = walked.where("depth > 0").select("query_id").distinct().withColumn("_reached", F.lit(True))
+        rows = rows.join(walked.select("query_id", "id", F.col("score").alias("_graph")), ["query_id", "id"], "left").join(reached, "query_id", "left")
+        rows = rows.withColumn("_graph", F.when(F.col("_reached"), F.coalesce("_graph", F.lit(0.0))))
+    if relations is None:
+        rows = rows.withColumn("subgraph_relations", F.array().cast("array<struct<type:string,target:string>>"))
+    else:
+        near = best.select("query_id", F.col("id").alias("dst")).withColumn("_in", F.lit(True))
+        told = best.select("query_id", F.col("id").alias("src")).join(relations, "src").join(near, ["query_id", "dst"], "left").where("_in or type = 'CONTRADICTS'")
+        told = told.groupBy("query_id", F.col("src").alias("id")).agg(F.array_sort(F.collect_set(F.struct("type", F.col("dst").cast("string").alias("target")))).alias("subgraph_relations"))
+        rows = rows.join(told, ["query_id", "id"], "left").withColumn("subgraph_relations", F.coalesce("subgraph_relations", F.array()))
+    if conflicts is None:
+        rows = rows.withColumn("conflict", none("struct<node_id:string,relation:string>"))
+    else:
+        one = conflicts.groupBy("id").agg(F.min(F.struct(F.col("other").cast("string").alias("node_id"), F.col("kind").alias("relation"))).alias("conflict"))
+        rows = rows.join(one, "id", "left")
+    has = lambda c, kind="string": F.col(c) if c in objects.columns else none(kind)
+    text = has("raw_body")
+    facts = objects.select(
+        "id", *[has(c).alias(c) for c in ("title", "scope", "taxonomy_path", "taxonomy_id", "object_type", "domain", "status", "path")],
+        F.struct(*[has(c).alias(c) for c in ("evidence", "verification", "authority", "consensus")]).alias("epistemology"), F.struct(*[has(c).alias(c) for c in FACETS]).alias("facets"), has("validity", "struct<valid_from:string,valid_until:string>").alias("validity"),
+        F.struct(has("source_type").alias("source_type"), has("source_refs", "array<string>")[0].alias("source_ref"), has("confidence").alias("confidence"), has("last_verified").alias("last_verified")).alias("provenance"),
+        body_excerpt(text).alias("body_excerpt"), scoring_window(text).alias("_window"), (text if body else none("string")).alias("body"))
+    scores = F.struct(F.coalesce("_bm25", F.lit(0.0)).alias("bm25_raw"), F.col("_vector").alias("vector_raw"), F.col("_graph").alias("graph_raw"), F.col("rrf").alias("rrf_score"), F.col("rrf").alias("reranker_score"), F.col("rrf").alias("final"), F.col("_window").alias("scoring_window"))
+    found = rows.join(facts, "id")
+    return found.select("query_id", "rank", F.col("id").alias("node_id"), *[c for c in facts.columns if c not in ("id", "_window")], "matched_by", scores.alias("score_components"),
+                        F.col("conflict").isNotNull().alias("conflict_detected"), "conflict", "subgraph_relations", "passage_attribution")
+
+
 def vocabulary(objects: DataFrame) -> DataFrame:
     """term: what a query may be about, from ids, titles, keywords, aliases and taxonomy paths of objects."""
     lists = F.concat(F.coalesce("keywords", F.array().cast("array<string>")), F.coalesce("aliases", F.array().cast("array<string>")))

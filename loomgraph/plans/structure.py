@@ -1,12 +1,12 @@
-"""Queries over structure: cycles, impact, gaps, links to files, renames and registries, with their SQL."""
+"""Queries over structure: cycles, impact, gaps, links to files, renames, registries and result bundles, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import discovery, graph, validate, vectors
+from ..operators import discovery, graph, hybrid, validate, vectors
 from ..session import table
-from .catalogue import query
+from .catalogue import BATCH, SCORED_SQL, _scores, query
 
 #: Customers point at others of their half dozen, some also into the next: rounds, ways into them and from round to round.
 LINKS_SQL = """e AS (SELECT c_custkey::BIGINT AS u, (c_custkey // 6 * 6 + (c_custkey * 5 + c_nationkey) % 6)::BIGINT AS v FROM customer UNION SELECT c_custkey, c_custkey + 6 FROM customer WHERE c_nationkey % 5 = 3 AND c_custkey % 24 < 18)"""
@@ -141,3 +141,32 @@ def lint_registry(spark, sf):
         "facet_registry": r.where("r_regionkey <> 3").select(F.concat(F.lit("F"), "r_regionkey").alias("name"), F.array(F.lit("none"), F.lit("x")).alias("values"), (F.col("r_regionkey") % 2 == 0).alias("allows_none")),
         "taxonomy_registry": customers.select(F.col("c_custkey").alias("taxonomy_id"), parent.alias("parent_id"), (F.col("c_custkey") % 9 == 0).alias("scope")),
     })
+
+
+@query(f"""WITH {SCORED_SQL}, f AS (SELECT query_id, doc_id AS id, round(score, 9) AS score, max(round(score, 9)) OVER (PARTITION BY query_id) AS top FROM scored),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 15),
+    v AS (SELECT q.query_id, doc_id AS id, (n_chars % 100) / 100 AS score, doc_id % 3 AS chunk, substr(text, 1, 200) AS passage FROM documents, (VALUES (1), (2)) q(query_id) WHERE n_chars > 2000),
+    w AS (SELECT 1 AS query_id, doc_id AS id, doc_id % 3 AS depth FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 3, doc_id, 0 FROM documents WHERE doc_id % 12 = 0),
+    r AS (SELECT doc_id AS src, 'NEXT' AS type, doc_id + 1 AS dst FROM documents UNION ALL SELECT doc_id, 'CONTRADICTS', doc_id * 2 FROM documents WHERE doc_id % 5 = 0),
+    near AS (SELECT b.query_id, b.id, string_agg(DISTINCT type || ':' || dst, ',' ORDER BY type || ':' || dst) AS relations FROM b JOIN r ON src = b.id WHERE type = 'CONTRADICTS' OR EXISTS (SELECT 1 FROM b x WHERE x.query_id = b.query_id AND x.id = dst) GROUP BY ALL)
+    SELECT b.query_id, rank::INTEGER AS rank, b.id AS node_id, source AS title, round(b.score / top, 6) AS bm25_raw, CASE WHEN v.id IS NULL THEN 0 ELSE round(v.score, 6) END AS vector_raw,
+        CASE WHEN b.query_id = 1 THEN coalesce(1 / (1 + w.depth), 0) END AS graph_raw, b.id % 10 = 0 AS conflict_detected, CASE WHEN b.id % 10 = 0 THEN (b.id * 2)::VARCHAR END AS conflicting, coalesce(relations, '') AS relations, v.chunk::INTEGER AS chunk_index, v.passage AS passage_text,
+        lang AS scope, NULL::VARCHAR AS toolchain
+    FROM b JOIN documents d ON d.doc_id = b.id LEFT JOIN v ON v.query_id = b.query_id AND v.id = b.id LEFT JOIN w ON w.query_id = b.query_id AND w.id = b.id LEFT JOIN near ON near.query_id = b.query_id AND near.id = b.id""")
+def evidence_bundles(spark, sf):
+    """Result bundles for the batch: long documents as vector hits, a walk that leaves its seeds for the first query only."""
+    docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "id")
+    found = _scores(spark, sf).select("query_id", F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    top = found.groupBy("query_id").agg(F.max("score").alias("top"))
+    normal = found.join(top, "query_id").select("query_id", "id", F.round(F.col("score") / F.col("top"), 6).alias("score"))
+    asked = F.explode(F.array(*[F.lit(i) for i, _ in BATCH[:2]]))
+    vector = docs.where("n_chars > 2000").select(asked.alias("query_id"), "id", (F.col("n_chars") % 100 / 100).alias("score"), (F.col("id") % 3).alias("chunk_index"), F.col("text").alias("passage"))
+    walk = lambda n, every, depth: docs.where(F.col("id") % every == 0).select(F.lit(n).alias("query_id"), "id", (1 / (1 + depth)).alias("score"), depth.alias("depth"))
+    walked = walk(1, 4, F.col("id") % 3).union(walk(3, 12, F.lit(0).cast("long")))
+    relations = docs.select(F.col("id").alias("src"), F.lit("NEXT").alias("type"), (F.col("id") + 1).alias("dst")).union(docs.where("id % 5 = 0").select("id", F.lit("CONTRADICTS"), F.col("id") * 2))
+    conflicts = docs.where("id % 10 = 0").select("id", (F.col("id") * 2).alias("other"), F.lit("CONTRADICTS").alias("kind"))
+    objects = docs.select("id", F.col("source").alias("title"), F.col("lang").alias("scope"), F.col("text").alias("raw_body"))
+    rows = hybrid.evidence(found.withColumn("matched_by", F.lit("bm25")), objects, normal, vector, walked, relations, conflicts, most=15)
+    told = F.array_join(F.array_sort(F.transform("subgraph_relations", lambda r: F.concat_ws(":", r["type"], r["target"]))), ",")
+    return rows.select("query_id", "rank", "node_id", "title", "score_components.bm25_raw", "score_components.vector_raw", "score_components.graph_raw", "conflict_detected", F.col("conflict.node_id").alias("conflicting"), told.alias("relations"),
+                       "passage_attribution.chunk_index", "passage_attribution.passage_text", "scope", "facets.toolchain")

@@ -58,3 +58,24 @@ def test_eligibility(spark):
 
     assert ids() == {"b", "c", "d"} and ids(drafts=True, min_confidence=0.5) == {"a", "c"}
     assert ids(valid_at="2021-05-05") == {"b", "d"} and ids(scope="personal") == set() and ids(object_types=["Component"], domain="build") == {"b", "c", "d"}
+
+
+def test_absent_modalities_are_null_and_scores_of_missing_hits_zero(spark):
+    fused = spark.createDataFrame([(1, "a", 0.02, "bm25,graph"), (1, "b", 0.01, "bm25"), (1, "gone", 0.03, "bm25"), (2, "a", 0.01, "bm25"), (2, "b", 0.001, "bm25")], "query_id int, id string, score double, matched_by string")
+    objects = spark.createDataFrame([("a", "A", "# H\n\nfirst line", {"valid_from": "2020-01-01", "valid_until": None}, ["r1"]), ("b", None, None, None, None)], "id string, title string, raw_body string, validity struct<valid_from:string,valid_until:string>, source_refs array<string>")
+    lexical = spark.createDataFrame([(1, "a", 1.0)], "query_id int, id string, score double")
+    bare = {(r.query_id, r.node_id): r for r in hybrid.evidence(fused, objects, lexical, min_relevance=0.005).collect()}
+    assert set(bare) == {(1, "a"), (1, "b"), (2, "a")}
+    a, b = bare[1, "a"], bare[1, "b"]
+    assert (a.rank, b.rank) == (2, 3) and a.matched_by == ["bm25", "graph"] and a.body is None
+    assert (a.score_components.bm25_raw, b.score_components.bm25_raw) == (1.0, 0.0) and a.score_components.vector_raw is None and a.score_components.graph_raw is None
+    assert a.body_excerpt == "first line" and a.validity.valid_from == "2020-01-01" and a.provenance.source_ref == "r1" and b.provenance.source_ref is None
+    assert a.subgraph_relations == [] and a.conflict is None and not a.conflict_detected and a.passage_attribution is None
+    vector = spark.createDataFrame([(1, "a", 0.5, 2, "x" * 300)], "query_id int, id string, score double, chunk_index int, passage string")
+    walked = spark.createDataFrame([(1, "a", 1.0, 0), (1, "z", 0.5, 1), (2, "a", 1.0, 0)], "query_id int, id string, score double, depth int")
+    relations = spark.createDataFrame([("a", "NEXT", "b"), ("a", "NEXT", "z"), ("b", "CONTRADICTS", "z"), ("a", "NEXT", "b")], "src string, type string, dst string")
+    full = {(r.query_id, r.node_id): r for r in hybrid.evidence(fused, objects, lexical, vector, walked, relations, body=True).collect()}
+    a, b, other = full[1, "a"], full[1, "b"], full[2, "a"]
+    assert (a.score_components.vector_raw, b.score_components.vector_raw) == (0.5, 0.0) and len(a.passage_attribution.passage_text) == 200 and b.passage_attribution is None
+    assert (a.score_components.graph_raw, b.score_components.graph_raw, other.score_components.graph_raw) == (1.0, 0.0, None)
+    assert [tuple(r) for r in a.subgraph_relations] == [("NEXT", "b")] and [tuple(r) for r in b.subgraph_relations] == [("CONTRADICTS", "z")] and a.body.startswith("# H")
