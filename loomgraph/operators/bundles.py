@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import fusion
+from . import exchange, fusion
 
 #: Milliseconds a query, and parsing or checking a document, may take.
 QUERY_MS, DOCUMENT_MS = 100.0, 50.0
@@ -73,8 +73,8 @@ def markdown(objects: DataFrame) -> DataFrame:
 
 
 def write_markdown(objects: DataFrame, path: str) -> None:
-    """One folder an object below path, one text file in it."""
-    markdown(objects).repartitionByRange("id").write.mode("overwrite").partitionBy("id").option("lineSep", "\n").text(path)
+    """`<path>/<id>.md` for each object."""
+    exchange.write(markdown(objects), path)
 
 
 def write_json(rows: DataFrame, path: str, key: str) -> None:

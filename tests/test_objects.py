@@ -115,7 +115,7 @@ def test_sinks_are_repeatable(spark):
     path = f"{shared_folder(spark)}/sinks"
     rows = spark.createDataFrame([("b", "T2", "two"), ("a", "T1", None)], "id string, title string, body string")
     bundles.write_markdown(rows, f"{path}/md")
-    assert spark.read.text(f"{path}/md", wholetext=True).where("id = 'a'").first().value == '---\nid: ["a"]\ntitle: ["T1"]\n---\n\n\n\n'
+    assert spark.read.text(f"{path}/md/a.md", wholetext=True).first().value == '---\nid: ["a"]\ntitle: ["T1"]\n---\n\n\n'
     bundles.write_json(rows, f"{path}/json", "id")
     assert [r.value for r in spark.read.text(f"{path}/json").collect()][0].startswith('{"id":"a"') or spark.read.json(f"{path}/json").count() == 2
     assert [r.id for r in bundles.by_length(rows.withColumn("n", F.length("title")), "n", "id").collect()] == ["a", "b"]
