@@ -9,10 +9,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..operators import rebuild
 from ..operators.store import StagedTable
 from ..session import shared_folder, table
 from ..sources import connectors
-from .catalogue import query
+from .catalogue import TOKENS_SQL, query
 
 
 @query("""SELECT event_id, 'Experience' AS category, ts AS event_time, 'sha256:' || sha256(line) AS representation_hash, octet_length(encode(line)) AS byte_size, CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS injections
@@ -96,3 +98,16 @@ def migration_links(spark, sf):
     from ..operators import migration
 
     return migration.link_proposals(migration.objects(_notes(spark, sf)))
+
+
+@query(f"SELECT doc_id, len({TOKENS_SQL.format('text')})::INTEGER AS tokens FROM documents")
+def rebuilt_lengths(spark, sf):
+    """Lengths of documents as an artefact: built over an older state of the corpus, then brought up to date."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d/"), "doc_id").alias("path"), "doc_id", "text", F.sha2("text", 256).alias("digest"))
+    older = docs.where("doc_id % 97 <> 5").withColumn("digest", F.when(F.col("doc_id") % 89 == 7, "older").otherwise(F.col("digest")))
+    older = older.withColumn("text", F.when(F.col("digest") == "older", "an older text").otherwise(F.col("text")))
+    folder = f"{shared_folder(spark)}/loomgraph/artefact-{uuid.uuid4().hex}"
+    build = lambda rows: rows.select("bucket", "doc_id", F.size(X.tokenize(F.col("text"))).alias("tokens"))
+    rebuild.rebuild(older, build, folder)
+    rebuild.rebuild(docs, build, folder)
+    return rebuild.load(spark, folder)
