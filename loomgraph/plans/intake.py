@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import rebuild
+from ..operators import rebuild, triage
 from ..operators.store import StagedTable
 from ..session import shared_folder, table
 from ..sources import connectors
@@ -111,3 +111,33 @@ def rebuilt_lengths(spark, sf):
     rebuild.rebuild(older, build, folder)
     rebuild.rebuild(docs, build, folder)
     return rebuild.load(spark, folder)
+
+
+def _units(spark, sf):
+    """Documents as staged units that mention parts; every seventh file has no reference, every eleventh is a list."""
+    d = F.col("doc_id")
+    body = F.concat(F.lit('fenced_content: "see [[p'), d % 40, F.lit("|x]] and [[none]] and [[p"), d % 40, F.lit("]]"), F.when(d % 20 == 0, " rm -rf / eval").otherwise(""), F.lit('"\n'))
+    text = F.when(d % 11 == 0, "- a\n").when(d % 7 == 0, body).otherwise(F.concat(F.lit("evidence_unit_ref: EU-"), d, F.lit("\nsource_refs: [SRC-"), d, F.lit("]\n"), body))
+    return triage.report(triage.units(table(spark, sf, "documents").select(F.concat(F.lit("evidence_units/u"), d, F.lit(".yaml")).alias("path"), text.cast("binary").alias("content"))))
+
+
+UNITS_SQL = """u AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'error: invalid YAML structure' WHEN doc_id % 7 = 0 THEN 'error: missing evidence_unit_ref' ELSE 'staged' END AS status FROM documents),
+    r AS (SELECT doc_id, CASE WHEN status = 'staged' THEN 'EU-' ELSE 'u' END || doc_id AS evidence_unit_ref, status, CASE WHEN status = 'staged' THEN 'p' || (doc_id % 40) END AS mention, CASE WHEN status = 'staged' AND doc_id % 20 = 0 THEN 1 ELSE 0 END AS injections FROM u)"""
+
+
+@query(f"WITH {UNITS_SQL} SELECT evidence_unit_ref, status, CASE WHEN mention IS NULL THEN '' ELSE 'none,' || mention END AS mentions, CASE WHEN doc_id % 77 <> 0 AND doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN 'SRC-' || doc_id ELSE '' END AS source_refs, injections FROM r")
+def triage_report(spark, sf):
+    return _units(spark, sf).select("evidence_unit_ref", "status", F.array_join("candidate_relations", ",").alias("mentions"), F.array_join("source_refs", ",").alias("source_refs"), F.size("injections_detected").alias("injections"))
+
+
+@query(f"WITH {UNITS_SQL} SELECT evidence_unit_ref, mention, CASE WHEN (doc_id % 40) % 3 = 0 THEN 'PART-' || (doc_id % 40) END AS target FROM r WHERE mention IS NOT NULL UNION ALL SELECT evidence_unit_ref, 'none', NULL FROM r WHERE mention IS NOT NULL")
+def triage_drafts(spark, sf):
+    """Mentions joined to parts, a third of which are known by an alias."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf, "part").where(k % 3 == 0).select(F.concat(F.lit("PART-"), k).alias("id"), F.array(F.concat(F.lit("P"), k)).alias("aliases"))
+    return triage.drafts(_units(spark, sf), parts)
+
+
+@query(f"WITH {UNITS_SQL} SELECT count(*) AS total_count, sum(injections)::BIGINT AS injections_count FROM r")
+def triage_summary(spark, sf):
+    return triage.summary(_units(spark, sf))
