@@ -309,6 +309,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         return texts.combine(spans, one)
 
-    rows = docs.withColumn("_h", _hash(text_of())).join(found.withColumnRenamed("th", "_h"), "_h", "left")
-    text = F.when(F.size("_spans") > 0, cut(text_of(), F.col("_spans"))).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    # The row travels in a struct, so that no column of the caller's meets one of ours.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), text_of().alias("_text")).withColumn("_h", _hash(F.col("_text")))
+    rows = rows.join(found.withColumnRenamed("th", "_h"), "_h", "left")
+    own = {c: F.col("_row").getField(c) for c in docs.columns}
+    own["text"] = F.when(F.size("_spans") > 0, cut(F.col("_text"), F.col("_spans"))).otherwise(own["text"])
+    return rows.select(*[value.alias(c) for c, value in own.items()])

@@ -160,3 +160,18 @@ def test_what_a_lost_attempt_wrote_is_not_read_and_torn_files_are_refused(spark,
     name.write_bytes(name.read_bytes()[:-1])
     with pytest.raises(Exception, match="ends inside a block"):
         token_files.read(spark, folder).collect()
+
+
+# --- a caller's columns ---
+
+
+def test_cutting_repeats_leaves_a_callers_columns_alone(spark):
+    from loomgraph.llm import suffix_dedup
+
+    shared = "".join(chr(97 + i * i % 26) for i in range(500))
+    rows = [(1, f"first {shared} end", "h1", [1], "r1"), (2, f"second {shared}", "h2", [2], "r2"), (3, "short", "h3", None, None), (4, None, None, [], "r4")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _h string, _spans array<int>, _row string")
+    got = {r.doc_id: r for r in suffix_dedup.without_repeats(frame).collect()}
+    assert suffix_dedup.without_repeats(frame).columns == frame.columns
+    assert {(i, r["_h"], r["_row"]) for i, r in got.items()} == {(i, h, x) for i, _, h, _, x in rows} and got[1]["_spans"] == [1]
+    assert got[3].text == "short" and got[4].text is None and shared not in got[1].text and got[1].text.startswith("first") and got[2].text.startswith("second")
