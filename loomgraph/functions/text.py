@@ -34,8 +34,9 @@ def _structs(**fields: T.DataType) -> T.ArrayType:
 
 def tokenize(text: Column) -> Column:
     """Lower-case runs of ASCII word characters that no other letter or digit touches."""
-    runs = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return F.transform(F.filter(runs, lambda x: x.rlike("^[A-Za-z0-9_]+$")), lambda x: F.lower(x))
+    # The character before is consumed, not looked back at: that sees half a pair where a letter takes two units.
+    alone = F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}_\x{DC00}-\x{DFFF}])([A-Za-z0-9_]++)(?![\p{L}\p{N}])"), F.lit(1))
+    return F.transform(alone, lambda x: F.lower(x))
 
 
 def tokenize_with_ids(text: Column) -> Column:
@@ -156,12 +157,66 @@ def source_ref(ref: Column) -> Column:
     return normalize_plain(ref)
 
 
+def source_refs(refs: Column) -> Column:
+    """The different references of a list in their plain form; blank and null ones don't count."""
+    plain = F.transform(F.coalesce(refs, F.array().cast("array<string>")), source_ref)
+    return F.array_distinct(F.filter(plain, lambda x: x.isNotNull() & (x != "")))
+
+
 def context_tokens(nodes: Column, paths: Column) -> Column:
     return F.lit(50) + nodes * 15 + paths * 20
 
 
 def trust_tier(verification: Column) -> Column:
-    return F.when(verification.isin("formal_proof", "peer_verified"), "high").when(verification == "self_verified", "medium").otherwise("low")
+    """What a bundle says of how an object was verified."""
+    return F.when(verification.isin("formal_proof", "peer_verified"), "human-reviewed").when(verification == "self_verified", "machine-confirmed").otherwise("unverified")
+
+
+def bundle_status(status: Column) -> Column:
+    """The three states of a bundle; what isn't known is stable."""
+    return F.when(status == "draft", "draft").when(status.isin("deprecated", "archived"), "deprecated").otherwise("stable")
+
+
+def stale_after(valid_until: Column, next_review: Column) -> Column:
+    """The earlier of two dates as texts; a blank or null one doesn't count."""
+    return F.least(F.nullif(valid_until, F.lit("")), F.nullif(next_review, F.lit("")))
+
+
+#: Letters that decomposing leaves whole or that are written as one letter, and their plain forms.
+FOLDED = {"ø": "o", "Ø": "o", "æ": "ae", "Æ": "ae", "å": "a", "Å": "a", "ä": "a", "Ä": "a", "ö": "o", "Ö": "o", "ü": "u", "Ü": "u", "ß": "ss"}
+#: Fixed value: a number at the head of a taxonomy name, and the rest.
+SEGMENT = r"^(\d+(?:\.\d+)*\.?)\s*(.*)$"
+#: Bodies with more words or lines have a map of their sections.
+MAPPED_WORDS, MAPPED_LINES = 1000, 100
+
+
+@F.pandas_udf(T.StringType())
+def ascii_fold(text: pd.Series) -> pd.Series:
+    """Letters without their marks, other than ASCII dropped; decomposing has no built-in."""
+    for letter, plain in FOLDED.items():
+        text = text.str.replace(letter, plain, regex=False)
+    return text.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+
+def slug(text: Column) -> Column:
+    """Letters and digits in lower case, joined by single underscores."""
+    return F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(text)), "[^a-z0-9]+", "_"), "^_|_$", "")
+
+
+def segment(name: Column) -> Column:
+    """A taxonomy name as part of a path: its number, dots as underscores, then the slug of the rest."""
+    plain = F.regexp_replace(name, r"^\s+|\s+$", "")
+    number = F.regexp_replace(F.regexp_extract(plain, SEGMENT, 1), r"\.+$", "")
+    rest = slug(F.when(number == "", plain).otherwise(F.regexp_extract(plain, SEGMENT, 2)))
+    return F.when(number == "", rest).when(name.isNotNull(), F.concat_ws("_", F.replace(number, F.lit("."), F.lit("_")), F.nullif(rest, F.lit(""))))
+
+
+def needs_section_map(body: Column) -> Column:
+    """Whether a body is long: words between white space, lines between any kind of line end."""
+    words = F.regexp_count(body, F.lit(r"[^\s\x1c-\x1f\x85\p{Z}]+"))
+    ends = r"(?:\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029])"
+    lines = F.regexp_count(body, F.lit(ends)) + F.when((body == "") | body.rlike(ends + r"\z"), 0).otherwise(1)
+    return (words > MAPPED_WORDS) | (lines > MAPPED_LINES)
 
 
 @F.pandas_udf(_structs(chunk_index=T.IntegerType(), text=T.StringType(), word_count=T.IntegerType(), header=T.StringType()))

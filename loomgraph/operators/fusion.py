@@ -18,17 +18,24 @@ RANKS = {
 }
 
 
-def ranked(scores: DataFrame, name: str, key: str = "id") -> DataFrame:
+def ranked(scores: DataFrame, name: str, key: str = "id", depth: int | None = None) -> DataFrame:
+    """query_id, key and the rank, down to depth: the limit reaches below the shuffle, so a task passes on no more."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scores.select("query_id", key, F.row_number().over(order).alias(name))
+    ranks = scores.select("query_id", key, F.row_number().over(order).alias(name))
+    return ranks if depth is None else ranks.where(F.col(name) <= depth)
 
 
-def rrf(modalities: dict[str, DataFrame], weights: dict[str, float], key: str = "id") -> DataFrame:
-    """query_id, key, score, matched_by: weighted reciprocal ranks, each rounded to 7 places, summed and rounded."""
-    fused = None
+def rrf(modalities: dict[str, DataFrame], weights: dict[str, float], key: str = "id", depth: int | None = None) -> DataFrame:
+    """query_id, key, score, matched_by: weighted reciprocal ranks, each rounded to 7 places, summed and rounded.
+
+    With a depth only the first so many of each modality take part; without it whole lists are ranked, a task a query.
+    The lists are put under each other and added up by key, whatever their number; a key stands once in each.
+    """
+    lists = None
     for name, scores in modalities.items():
-        ranks = ranked(scores, name, key)
-        fused = ranks if fused is None else fused.join(ranks, ["query_id", key], "full_outer")
+        ranks = ranked(scores, name, key, depth)
+        lists = ranks if lists is None else lists.unionByName(ranks, allowMissingColumns=True)
+    fused = lists.groupBy("query_id", key).agg(*[F.min(n).alias(n) for n in modalities])
     part = {n: F.coalesce(F.round(F.lit(weights[n]) / (F.lit(CONSTANT) + F.col(n)), 7), F.lit(0.0)) for n in modalities}
     total = sum(part.values(), F.lit(0.0))
     matched = F.array_join(F.filter(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in modalities]), lambda x: x.isNotNull()), ",")
@@ -66,6 +73,30 @@ def recall(ranks: DataFrame, ks: tuple = (1, 5, 10)) -> DataFrame:
     return ranks.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), 6).alias(f"recall_{k}") for k in ks])
 
 
+def benchmark_report(questions: DataFrame, results: DataFrame, bodies: DataFrame, refused: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row of a retrieval benchmark: recall at 1, 5 and 10, kept conclusions, refused controls and, given the time
+    that all questions took together, the mean milliseconds and the questions a second.
+
+    questions(query_id, gold, conclusion) and results(query_id, id, rank); a conclusion is kept where the body of
+    bodies(id, body) holds it or its first 50 characters, an empty one wherever the body is known. refused(refused) is
+    a row a control question. Without questions or controls rates are 0.
+    """
+    asked = questions.select("query_id", "gold", F.coalesce("conclusion", F.lit("")).alias("conclusion"))
+    ranks = results.select("query_id", F.col("id").alias("gold"), "rank").groupBy("query_id", "gold").agg(F.min("rank").alias("rank"))
+    found = asked.join(ranks, ["query_id", "gold"], "left").join(bodies.select(F.col("id").alias("gold"), "body"), "gold", "left")
+    held = F.col("body").isNotNull() & F.contains(F.coalesce("body", F.lit("")), F.substring("conclusion", 1, 50))
+    rows = found.select(F.lit(True).alias("question"), "rank", held.alias("held"))
+    rows = rows.unionByName(refused.select(F.lit(False).alias("question"), "refused"), allowMissingColumns=True)
+    rate = lambda mine, c: F.round(F.coalesce(F.avg(F.when(mine, F.coalesce(c, F.lit(False)).cast("double"))), F.lit(0.0)), 6)
+    told = rows.agg(
+        F.count_if("question").alias("questions"), *[rate(F.col("question"), F.col("rank") <= k).alias(f"recall_{k}") for k in (1, 5, 10)], rate(F.col("question"), F.col("held")).alias("preservation"),
+        F.count_if(~F.col("question")).alias("controls"), rate(~F.col("question"), F.col("refused")).alias("control_refusal"))
+    time = F.lit(seconds).cast("double")
+    return told.withColumns({
+        "mean_query_ms": F.when(F.col("questions") > 0, time * 1000 / F.col("questions")).otherwise(time * 0),
+        "queries_per_sec": F.when(time > 0, F.col("questions") / time).otherwise(time * 0)})
+
+
 def valid_at(start: Column, end: Column, at: Column) -> Column:
     """Closed interval; a bound that is absent or isn't a date doesn't bind, nor does such a moment."""
     a, b, t = (x.try_cast("date") for x in (start, end, at))

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import context_tokens
 from ..session import forget, keep
 
+#: Small sides are counted first; up to so many rows they are broadcast.
+BROADCAST_ROWS = 50_000
+
 
 def dense_ids(ids: DataFrame, column: str = "id", parts: int | None = None) -> DataFrame:
     """column, idx: 0, 1, 2 ... in order of column (of any type that has an order), without a global window.
@@ -200,12 +203,59 @@ def overlap(incidence: DataFrame, a, c) -> DataFrame:
     return marked.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_a"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_c"), F.coalesce(F.sum(F.col("a") * F.col("c")), F.lit(0)).alias("n_both"))
 
 
-def cooccurrence(incidence: DataFrame, least: int, group: str = "article", item: str = "concept") -> DataFrame:
-    """Pairs a < b of items that share at least `least` groups."""
-    x = incidence.select(group, F.col(item).alias("a")).distinct()
-    y = x.withColumnRenamed("a", "b")
-    pairs = x.join(y, group).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where(F.col("shared") >= least)
+def cooccurrence(incidence: DataFrame, least: int, group: str = "article", item: str = "concept", width: int = 1024) -> DataFrame:
+    """Pairs a < b of items that share at least `least` groups; nulls take no part, repeated rows count once.
+
+    Groups of at most `width` rows are joined with themselves. A larger one is dealt by hash into blocks of about that
+    many items, and each pair of blocks is a tile of its own: however large a group is, no task need hold more of it
+    than one tile, and every pair stands in exactly one.
+    """
+    rows = incidence.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null")
+    large = keep(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > width).select("g", F.ceil(F.col("n") / width).alias("parts")))
+    n = large.count()
+    side = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    small = rows.join(side, "g", "left_anti") if n else rows
+    once = small.distinct()
+    pairs = once.select("g", F.col("i").alias("a")).join(once.select("g", F.col("i").alias("b")), "g").where("a < b").select("a", "b")
+    if n:
+        dealt = rows.join(side, "g").withColumn("block", F.pmod(F.xxhash64("i"), F.col("parts")))
+        blocks = keep(dealt.groupBy("g", "parts", "block").agg(F.collect_set("i").alias("xs")))
+        left = blocks.select("g", "xs", F.col("block").alias("l"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("r"))
+        right = blocks.select("g", F.col("xs").alias("ys"), F.col("block").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("l"))
+        tiles = left.join(right, ["g", "l", "r"]).select("l", "r", "ys", F.explode("xs").alias("x")).select("l", "r", "x", F.explode("ys").alias("y"))
+        pairs = pairs.union(tiles.where("l < r or x < y").select(F.least("x", "y"), F.greatest("x", "y")))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+
+
+def shared_refs(pairs: DataFrame, refs: DataFrame, most: int = 4096) -> DataFrame:
+    """pairs(a, b, ...) with shared_refs: how many different references of refs(node, ref) both nodes have, 0 if none.
+
+    References of a node with at most `most` of them are one sorted array, and a pair costs one intersection. Pairs
+    with a larger node are joined reference by reference instead, so no array grows with a node.
+    """
+    names = pairs.columns
+    rows = refs.select("node", "ref").where("node is not null and ref is not null")
+    hubs = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("node"))
+    n = hubs.count()
+    side = F.broadcast(hubs) if n <= BROADCAST_ROWS else hubs
+    sets = (rows.join(side, "node", "left_anti") if n else rows).groupBy("node").agg(F.collect_set("ref").alias("refs"))
+
+    def with_sets(p: DataFrame) -> DataFrame:
+        for end in "ab":
+            p = p.join(sets.select(F.col("node").alias(end), F.col("refs").alias(f"_{end}")), end, "left")
+        return p.withColumn("shared_refs", F.coalesce(F.size(F.array_intersect("_a", "_b")), F.lit(0)).cast("long")).drop("_a", "_b")
+
+    if not n:
+        return with_sets(pairs).select(*names, "shared_refs")
+    for end in "ab":
+        pairs = pairs.join(side.select(F.col("node").alias(end), F.lit(True).alias(f"_h{end}")), end, "left")
+    pairs = keep(pairs.withColumn("_hub", F.col("_ha").isNotNull() | F.col("_hb").isNotNull()).drop("_ha", "_hb"))
+    asked = pairs.where("_hub").select("a", "b").distinct()
+    each = rows.distinct()
+    both = asked.join(each.select(F.col("node").alias("a"), "ref"), "a").join(each.select(F.col("node").alias("b"), "ref"), ["b", "ref"])
+    counted = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_refs"))
+    far = pairs.where("_hub").join(counted, ["a", "b"], "left").withColumn("shared_refs", F.coalesce("shared_refs", F.lit(0)).cast("long"))
+    return with_sets(pairs.where("not _hub")).select(*names, "shared_refs").union(far.select(*names, "shared_refs"))
 
 
 def derived_edges(pairs: DataFrame, floor: float = 0.15) -> DataFrame:
@@ -220,6 +270,27 @@ def derived_edges(pairs: DataFrame, floor: float = 0.15) -> DataFrame:
     return pairs.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).where(F.col("score") >= floor)
 
 
+def edge_records(scored: DataFrame, corpus_hash: str, version: str = "1.0.0") -> DataFrame:
+    """Derived edges as they are stored, best first and ties by id: derived_edges' rows with ids, parts and derivation.
+
+    Rows without a canonical edge are inferred. The order is that of one range sort over all edges.
+    """
+    def part(value: Column, name: str) -> Column:
+        return F.round(value.cast("double"), 4).alias(name)
+
+    known = lambda c: F.coalesce(F.col(c), F.lit(0))
+    parts = F.struct(
+        part(known("canonical"), "canonical"), part(F.when(known("similarity") >= 0.75, known("similarity")).otherwise(0.0), "similarity"),
+        part(F.least(F.lit(1.0), known("shared_refs") / 5.0), "proximity"),
+        part(F.when(known("shared_chunks") >= 2, F.least(F.lit(1.0), known("shared_chunks") / 10.0)).otherwise(0.0), "cooccurrence"))
+    rows = scored.select(
+        F.concat_ws("_", F.lit("d_edge"), "a", "b", F.lit(version)).alias("edge_id"), F.col("a").alias("source_id"), F.col("b").alias("target_id"),
+        (known("canonical") > 0).alias("canonical_edge_exists"), parts.alias("component_scores"), F.col("score").alias("final_score"),
+        F.lit(corpus_hash).alias("corpus_hash"), F.lit(version).alias("algorithm_version"),
+        F.struct(F.when(known("canonical") > 0, "extracted").otherwise("inferred").alias("mode"), F.round("score", 4).alias("confidence")).alias("derivation"))
+    return rows.orderBy(F.desc("final_score"), "edge_id")
+
+
 def _least_along(edges: DataFrame) -> DataFrame:
     """node, label: the least node that reaches it along edges(u, v), itself included; kept. A round a step of the way."""
     labels = keep(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("label", F.col("node")))

@@ -30,19 +30,24 @@ def document_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, key, score for queries(query_id, query). A repeated query term counts each time.
 
-    One pass over the texts keeps the queries' terms only (a broadcast of the query batch, which the caller sizes);
-    statistics are global and tiny, so no posting of another term is ever shuffled.
+    Texts are read once: a row a document with its length and those of its words that the batch asks for is kept, and
+    statistics, document frequencies and scores come from these rows. The batch's different words come to the driver.
     """
-    terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    tokens = docs.select(key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = terms.select("term").distinct()
-    hits = tokens.select(key, "dl", F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term", "left_semi")
-    hits = hits.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(F.broadcast(stats))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    terms = keep(queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
+    wanted = sorted(r["term"] for r in terms.select("term").distinct().collect())
+    tokens = docs.select(key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    found = keep(tokens.select(key, F.size("_t").alias("dl"), F.filter("_t", lambda w: w.isin(wanted)).alias("terms")))
+    corpus = found.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    hits = found.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = found.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _scored(hits, df, terms, corpus, key)
+
+
+def _scored(hits: DataFrame, df: DataFrame, terms: DataFrame, corpus, key: str) -> DataFrame:
+    """Scores of hits(key, term, tf, dl), df(term, df) and terms(query_id, term, times); corpus: n and avgdl."""
+    idf = F.log((F.lit(corpus["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(corpus["avgdl"] or 1.0)))
+    scored = hits.join(df.join(terms, "term"), "term")
     return scored.groupBy("query_id", key).agg(F.sum(F.col("times") * idf * weight).alias("score"))
 
 
@@ -96,7 +101,5 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, eligible: D
     hits = spark.read.parquet(f"{path}/postings").where(chosen).select("term", key, "tf", "dl")
     df = spark.read.parquet(f"{path}/terms").where(chosen).select("term", "df")
     batch = spark.createDataFrame([(r["query_id"], r["term"], r["times"]) for r in asked], "query_id int, term string, times long")
-    idf = F.log((F.lit(corpus["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(corpus["avgdl"] or 1.0)))
-    scored = hits.join(df.join(batch, "term"), "term").groupBy("query_id", key).agg(F.sum(F.col("times") * idf * weight).alias("score"))
+    scored = _scored(hits, df, batch, corpus, key)
     return scored if eligible is None else scored.join(eligible.select(key).distinct(), key, "left_semi")

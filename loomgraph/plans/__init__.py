@@ -1,3 +1,3 @@
 """Queries by name."""
 
-from . import catalogue, intake, objects, structure  # noqa: F401  (all register their queries in the catalogue)
+from . import catalogue, evaluation, intake, objects, structure  # noqa: F401  (all register their queries in the catalogue)

@@ -349,10 +349,8 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of parts with what links them: brand and type, shared suppliers, shared orders."""
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
     orders = graph.cooccurrence(line.select(F.col("l_orderkey").alias("article"), F.col("l_partkey").alias("concept")), 1).withColumnRenamed("shared", "shared_chunks")
-    suppliers = line.select("l_partkey", "l_suppkey").distinct()
-    both = orders.join(suppliers.select(F.col("l_partkey").alias("a"), "l_suppkey"), "a").join(suppliers.select(F.col("l_partkey").alias("b"), "l_suppkey"), ["b", "l_suppkey"])
-    refs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_refs"))
-    named = orders.join(refs, ["a", "b"], "left").join(part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("ba"), F.col("p_type").alias("ta")), "a").join(part.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("bb"), F.col("p_type").alias("tb")), "b")
+    found = graph.shared_refs(orders, line.select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("ref")))
+    named = found.join(part.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("ba"), F.col("p_type").alias("ta")), "a").join(part.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("bb"), F.col("p_type").alias("tb")), "b")
     return named.withColumn("canonical", (F.col("ba") == F.col("bb")).cast("int")).withColumn("similarity", F.when(F.col("ta") == F.col("tb"), 0.8).otherwise(0.1))
 
 
