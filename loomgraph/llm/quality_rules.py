@@ -99,15 +99,25 @@ def trusted_rows(docs: DataFrame, ids: DataFrame, bits: int = ID_BITS) -> DataFr
     def slot(name: str) -> Column:
         return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits))
 
-    marks = some.select(slot("doc_id").alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
-    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_slot) div 8 + 1 as int), 1)")), 16, 10).cast("long")
-    maybe = docs.withColumn("_slot", slot("doc_id")).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(marks), "_bucket")
-    maybe = maybe.where(F.getbit(byte, (F.bitmap_bit_position("_slot") % 8).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Names of its own, also beside a caller's columns of these names.
+    n_slot, n_bucket, n_bits = (unused(name, docs.columns) for name in ("_slot", "_bucket", "_bits"))
+    marks = some.select(slot("doc_id").alias(n_slot)).groupBy(F.bitmap_bucket_number(n_slot).alias(n_bucket))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position(n_slot)).alias(n_bits))
+    byte = F.conv(F.hex(F.expr(f"substring({n_bits}, cast(bitmap_bit_position({n_slot}) div 8 + 1 as int), 1)")), 16, 10).cast("long")
+    maybe = docs.withColumn(n_slot, slot("doc_id")).withColumn(n_bucket, F.bitmap_bucket_number(n_slot)).join(F.broadcast(marks), n_bucket)
+    maybe = maybe.where(F.getbit(byte, (F.bitmap_bit_position(n_slot) % 8).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
     # An inner join with distinct ids: Spark would move a semi join below the filter by bits.
     return maybe.join(some.distinct().hint("shuffle_hash"), "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many further underscores as keep it apart from columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, size: int = FEATURES) -> list[float]:
     """log(trusted / corpus) by feature; size numbers, whatever the corpus.
 

@@ -138,6 +138,12 @@ def test_quality_trusts_every_labelled_row(spark):
         assert got == Counter([*range(0, 60_000, 3), 3])
 
 
+def test_quality_trusted_rows_beside_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 7, "b"), (2, "c", "y", 8, "d")], "doc_id long, text string, _bits string, _SLOT int, _bucket string")
+    got = quality_rules.trusted_rows(docs, spark.createDataFrame([(1,), (None,)], "doc_id long"))
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a", "x", 7, "b")]
+
+
 def test_quality_keeps_labelled_clean_and_drops_most_junk(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
