@@ -23,8 +23,13 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return doc_lengths(docs, docs.columns[0], text).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("n_tokens"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
-def document_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return postings(docs, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df, cf. A row is a document: its words and its different words are told apart before anything is shuffled,
+    so the shuffle carries a term of a task once."""
+    words = docs.select(tokenize(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    both = words.select(F.explode(F.array(F.struct(F.col("_t").alias("ts"), F.lit(0).alias("d")), F.struct(F.array_distinct("_t").alias("ts"), F.lit(1).alias("d")))).alias("_b"))
+    rows = both.select("_b.d", F.explode("_b.ts").alias("term"))
+    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("cf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
