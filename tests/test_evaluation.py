@@ -51,6 +51,23 @@ def test_shared_refs_with_hubs(spark, most):
     assert sorted((r.a, r.b, r.name, r.shared_refs) for r in found.collect()) == sorted((a, b, n, len(sets[a] & sets[b])) for a, b, n in pairs)
 
 
+
+def test_cooccurrence_pairs_classes_and_not_their_members(spark, monkeypatch):
+    """Items of the same large groups are paired once as a class; those that also stand in small groups are added up."""
+    rows = [(g, i) for g in range(6) for i in range(200)] + [(7, i) for i in range(0, 30)] + [(6, i) for i in range(150, 260)]
+    seen = []
+    plain = graph._group_pairs
+    monkeypatch.setattr(graph, "_group_pairs", lambda r, w: (seen.append(r.select("i").distinct().count()), plain(r, w))[1])
+    frame = spark.createDataFrame(rows, "article long, concept long")
+    got = sorted((r.a, r.b, r.shared) for r in graph.cooccurrence(frame, 6, width=64).collect())
+    groups = {}
+    for g, i in rows:
+        groups.setdefault(i, set()).add(g)
+    expected = [(a, b, len(groups[a] & groups[b])) for a in groups for b in groups if a < b and len(groups[a] & groups[b]) >= 6]
+    assert got == sorted(expected)
+    assert seen == [4]
+
+
 def test_edge_records_are_in_order(spark):
     pairs = spark.createDataFrame([("a", "b", 1, 0.9, 2, 4), ("a", "c", 0, 0.5, 9, None), ("b", "c", 1, 0.9, 2, 4)], "a string, b string, canonical int, similarity double, shared_refs long, shared_chunks long")
     rows = graph.edge_records(graph.derived_edges(pairs), "h").collect()
