@@ -51,6 +51,15 @@ def epistemic_key() -> Column:
     return F.struct(*[rank(n).alias(n) for n in RANKS], F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)).alias("confidence"), F.coalesce(F.col("last_verified").cast("string"), F.lit("")).alias("last_verified"))
 
 
+def contradictions(rows: DataFrame, keys: list[str], key: str = "id") -> DataFrame:
+    """u, v: the least of each group of rows that contradict each other, by keys, with every other one of it.
+
+    These say as much about clusters as all pairs of a group do, and there are no more of them than rows.
+    """
+    first = rows.groupBy(*keys).agg(F.min(key).alias("u"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return rows.select(*keys, F.col(key).alias("v")).join(first, keys).where("u < v").select("u", "v")
+
+
 def resolve_conflicts(candidates: DataFrame, contradictions: DataFrame) -> DataFrame:
     """candidates(id, ...) with suppressed_by: in each cluster of contradicting candidates one object wins."""
     inside = contradictions.join(candidates.select(F.col("id").alias("u")), "u", "left_semi").join(candidates.select(F.col("id").alias("v")), "v", "left_semi")
