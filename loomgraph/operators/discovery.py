@@ -72,22 +72,37 @@ def scan(*found: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found).orderBy("candidate_id")
 
 
+def _inner(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Different edges(u, v) between known nodes, without loops; kept."""
+    ids = nodes.select(F.col("id").alias("u")).hint("merge")
+    e = edges.select("u", "v").where("u <> v").distinct().join(ids, "u", "left_semi").join(ids.withColumnRenamed("u", "v").hint("merge"), "v", "left_semi")
+    return keep(e.select("u", "v"))
+
+
+def _degrees(rows: DataFrame, e: DataFrame) -> DataFrame:
+    """rows(id, ...) with in_degree, out_degree and total_degree over e(u, v); each end is counted as one row."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("o")), F.struct(F.col("v").alias("id"), F.lit(0).alias("o")))).alias("_e"))
+    counts = ends.groupBy("_e.id").agg(F.sum(1 - F.col("_e.o")).alias("in_degree"), F.sum("_e.o").alias("out_degree"))
+    return rows.join(counts.hint("merge"), "id", "left").fillna(0, ["in_degree", "out_degree"]).withColumn("total_degree", F.col("in_degree") + F.col("out_degree"))
+
+
+def node_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, scope and the degrees of node_metrics, without looking for components."""
+    return _degrees(nodes.select("id", "scope"), _inner(nodes, edges)).withColumnRenamed("id", "node_id")
+
+
 def node_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, scope, in_degree, out_degree, total_degree, component_id, community_id of nodes(id, scope).
 
     Edges to unknown nodes and loops don't count. Components, and those inside a scope, are numbered by least member.
     """
-    ids = nodes.select(F.col("id").alias("u"))
-    e = edges.select("u", "v").where("u <> v").distinct().join(ids, "u", "left_semi").join(ids.withColumnRenamed("u", "v"), "v", "left_semi")
-    e = keep(e.select("u", "v"))
-    out = e.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
-    into = e.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
+    e = _inner(nodes, edges)
     scope = nodes.select(F.col("id").alias("u"), F.col("scope").alias("su"))
-    own = e.join(scope, "u").join(scope.select(F.col("u").alias("v"), F.col("su").alias("sv")), "v").where("su = sv")
+    own = e.join(scope.hint("merge"), "u").join(scope.select(F.col("u").alias("v"), F.col("su").alias("sv")).hint("merge"), "v").where("su = sv")
 
     def least(edge_rows: DataFrame, name: str) -> DataFrame:
         found = graph.components(edge_rows.select("u", "v")).withColumnsRenamed({"node": "id", "component": name})
-        return nodes.select("id", "scope").join(found, "id", "left").withColumn(name, F.coalesce(name, "id"))
+        return nodes.select("id", "scope").join(found.hint("merge"), "id", "left").withColumn(name, F.coalesce(name, "id"))
 
     whole = keep(least(e, "root"))
     numbers = graph.dense_ids(whole.select(F.col("root").alias("id")).distinct()).select(F.col("id").alias("root"), (F.col("idx") + 1).alias("n"))
@@ -95,8 +110,9 @@ def node_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     firsts = graph.dense_ids(local.select(F.struct("scope", F.col("local").alias("m")).alias("id")).distinct())
     starts = firsts.groupBy(F.col("id.scope").alias("scope")).agg(F.min("idx").alias("first"))
     firsts = firsts.select(F.col("id.scope").alias("scope"), F.col("id.m").alias("local"), "idx").join(starts, "scope").select("scope", "local", (F.col("idx") - F.col("first") + 1).alias("c"))
-    rows = whole.join(numbers, "root").join(local.select("id", "local"), "id").join(firsts, ["scope", "local"]).join(into, "id", "left").join(out, "id", "left").fillna(0, ["in_degree", "out_degree"])
-    return rows.select(F.col("id").alias("node_id"), "scope", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("total_degree"),
+    rows = whole.join(numbers.hint("merge"), "root").join(local.select("id", "local").hint("merge"), "id").join(firsts, ["scope", "local"])
+    rows = _degrees(rows, e)
+    return rows.select(F.col("id").alias("node_id"), "scope", "in_degree", "out_degree", "total_degree",
                        rules.component_id(F.col("n")).alias("component_id"), rules.community_id(F.col("scope"), F.col("c")).alias("community_id"))
 
 
