@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules
-from ..session import keep
+from ..session import keep, parts_of
 from . import graph
 
 #: Relations and types that settle an incident or put a lesson to work.
@@ -17,6 +17,9 @@ RESOLVING_TYPES = ("Lesson", "Component", "Procedure")
 IMPLEMENTING = ("SATISFIES", "INTRODUCED_IN", "IMPLEMENTS", "APPLIES")
 #: Characters at the end of a path by which references to it are looked for.
 ANCHOR = 12
+#: Up to so many different ends of paths (with their widths) are looked for in references by themselves.
+MOST_ENDS = 1000
+REFERENCES_A_TASK = 25_000
 BRIDGE_STATUSES = ("pending", "reviewed", "approved", "rejected")
 
 
@@ -150,16 +153,28 @@ def _mentions(objects: DataFrame, wanted: DataFrame) -> DataFrame:
 def _contained(refs: DataFrame, files: DataFrame) -> DataFrame:
     """id, node_id of refs(id, r) whose text contains the path of files(node_id, term).
 
-    Paths are joined on their last ANCHOR characters with all windows of that width in a reference, so only pairs that
-    share a path's end are compared; shorter paths are joined whole.
+    Paths are joined on their last ANCHOR characters with the windows of that width in a reference, so only pairs that
+    share a path's end are compared; shorter paths are joined whole. Where paths have few different last two
+    characters, only windows that end like a path are made. References are dealt out before that, a task however
+    large a file is; no side is broadcast.
     """
     keyed = files.where("length(term) > 0").withColumn("_key", F.expr(f"right(term, {ANCHOR})"))
-    widths = [r[0] for r in keyed.select(F.length("_key")).distinct().collect()]  # at most ANCHOR of them
-    if not widths:
+    ends = keyed.select(F.length("_key").alias("w"), F.expr("right(_key, 2)").alias("end")).distinct().limit(MOST_ENDS + 1).collect()
+    if not ends:
         return refs.join(files, F.lit(False)).select("id", "node_id")
-    windows = F.flatten(F.array(*[F.expr(f"if(length(r) < {w}, array(), transform(sequence(1, length(r) - {w} + 1), i -> substr(r, i, {w})))") for w in widths]))
-    each = refs.where("r is not null").withColumn("_key", F.explode(F.array_distinct(windows)))
-    return each.join(keyed, "_key").where(F.contains("r", "term")).select("id", "node_id").distinct()
+    widths = sorted({r["w"] for r in ends}) if len(ends) <= MOST_ENDS else list(range(1, ANCHOR + 1))
+
+    def windows(w: int) -> Column:
+        every = F.expr(f"if(length(r) < {w}, array(), sequence({w}, length(r)))")  # where a window may end
+        if len(ends) <= MOST_ENDS:
+            mine = [F.lit(r["end"]) for r in ends if r["w"] == w]
+            every = F.filter(every, lambda i: F.substr("r", i - (min(w, 2) - 1), F.lit(min(w, 2))).isin(*mine))
+        return F.transform(every, lambda i: F.substr("r", i - (w - 1), F.lit(w)))
+
+    rows = refs.where("r is not null")
+    rows = rows.repartition(parts_of(rows.count(), REFERENCES_A_TASK))
+    each = rows.withColumn("_key", F.explode(F.array_distinct(F.flatten(F.array(*map(windows, widths))))))
+    return each.hint("merge").join(keyed, "_key").where(F.contains("r", "term")).select("id", "node_id").distinct()
 
 
 def code_bridges(objects: DataFrame, nodes: DataFrame) -> DataFrame:

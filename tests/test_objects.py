@@ -48,6 +48,19 @@ def test_rename_keeps_labels(spark):
     assert {tuple(r) for r in edges.collect()} == {("N", "X", "B"), ("B", "X", "N")}
 
 
+def test_references_make_few_windows(spark, monkeypatch):
+    """Only windows that end like a path are joined; the same pairs are found where ends are too many for that."""
+    refs = spark.createDataFrame([("o1", "repo/src/p_17.py#3"), ("o2", "x/src/p_1.py and p_2"), ("o3", "é"), ("o4", None), ("o5", "a")], "id string, r string")
+    paths = ["src/p_17.py", "src/p_1.py", "a/very/long/path/src/p_17.py", "p_2", "é", "a", ""]
+    files = spark.createDataFrame([(f"f{i}", p) for i, p in enumerate(paths)], "node_id string, term string")
+    expected = {(i, f"f{j}") for i, r in [tuple(x) for x in refs.collect()] if r for j, p in enumerate(paths) if p and p in r}
+    for most in (1000, 2):
+        monkeypatch.setattr(discovery, "MOST_ENDS", most)
+        found = discovery._contained(refs, files)
+        assert {(r.id, r.node_id) for r in found.collect()} == expected
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bridges_of_paths_and_dotted_names(spark):
     nodes = spark.createDataFrame([("f1", "FILE", "util.py", "pkg/util.py"), ("s1", "CLASS", "pkg.util.Loader", "pkg/util.py"), ("s2", "FUNCTION", "run", "pkg/util.py")], "node_id string, kind string, name string, path string")
     objects = spark.createDataFrame([("o1", "uses pkg/util.py and pkg.util.Loader to run", []), ("o2", "pkg.util.Loaders", ["repo/pkg/util.py"])], "id string, body string, source_refs array<string>")
