@@ -202,8 +202,8 @@ def taxonomy_rounds(taxonomy: DataFrame) -> DataFrame:
     steps = taxonomy.where("parent_id is not null").select(F.col("taxonomy_id").alias("u"), F.col("parent_id").alias("v")).distinct()
     found = step = keep(graph.cycles(steps).select(F.col("u").alias("id"), F.col("u").alias("entry")).distinct())
     while step.head(1):
-        more = steps.join(step.select(F.col("id").alias("v"), "entry"), "v").select(F.col("u").alias("id"), "entry")
-        step = keep(more.join(found.select("id"), "id", "left_anti"))
+        more = steps.join(step.select(F.col("id").alias("v"), "entry").hint("merge"), "v").select(F.col("u").alias("id"), "entry")
+        step = keep(more.join(found.select("id").hint("merge"), "id", "left_anti"))
         found = found.union(step)
     return found
 
@@ -233,7 +233,7 @@ def registry_rules(registries: dict[str, DataFrame]) -> DataFrame:
             rows = given[registry]
             value = F.explode(field) if rows.schema[field].dataType.typeName() == "array" else F.col(field)
             used = rows.select(F.col(key).alias("_k"), value.alias("_v")).where("_v is not null")
-            add(used.join(given[target].select(F.col(column).alias("_v")).distinct(), "_v", "left_anti"), code, registry, _named(pattern, F.col("_k")))
+            add(used.join(given[target].select(F.col(column).alias("_v")).distinct().hint("merge"), "_v", "left_anti"), code, registry, _named(pattern, F.col("_k")))
     if "source_registry" in given:
         sources = given["source_registry"]
         add(sources.where("coalesce(size(source_taxonomy), 0) < 1"), "E084", "source_registry", _named("source_types.{}.source_taxonomy", F.col("name")))
@@ -250,7 +250,7 @@ def registry_rules(registries: dict[str, DataFrame]) -> DataFrame:
     if "taxonomy_registry" in given:
         nodes = given["taxonomy_registry"]
         parents = nodes.select(F.col("taxonomy_id").alias("parent_id"), F.col("scope").alias("_scope"))
-        add(nodes.join(parents, "parent_id").where("scope <> _scope"), "E018", "taxonomy_registry", _named("taxonomy.{}.parent_id", F.col("taxonomy_id")))
+        add(nodes.join(parents.hint("merge"), "parent_id").where("scope <> _scope"), "E018", "taxonomy_registry", _named("taxonomy.{}.parent_id", F.col("taxonomy_id")))
         add(taxonomy_rounds(nodes), "E024", "taxonomy_registry", _named("taxonomy.{}", F.col("entry")))
     if "facet_registry" in given:
         facets = given["facet_registry"]
