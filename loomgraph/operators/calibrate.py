@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import keep
 
 ABSTAIN = 0.65
 
@@ -59,3 +63,24 @@ def fit_offsets(dev: DataFrame, classes: list[str], steps: int = 21, bound: floa
             if found > best + 1e-12:
                 best, offsets = found, offsets | {c: g}
     return offsets
+
+
+def percentile(rows: DataFrame, column: str, share: float) -> DataFrame:
+    """One row with the exact, interpolated percentile, as F.percentile defines it; null where no value is known.
+
+    Values are counted, dealt into ranges, and the ranges' totals (a row each) say which of them hold the two places
+    that matter; only these are put in order. No task holds all values.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = keep(counts.repartitionByRange("v").withColumn("_range", F.spark_partition_id()))
+    totals = sorted((r["_range"], r["n"]) for r in counts.groupBy("_range").agg(F.sum("n").alias("n")).collect())
+    place = share * (sum(n for _, n in totals) - 1)
+    low, high, before, wanted = math.floor(place), math.ceil(place), 0, []
+    for at, n in totals:
+        wanted += [(at, before, k) for k in sorted({low, high}) if before <= k < before + n]
+        before += n
+    upto = F.sum("n").over(Window.partitionBy("_range").orderBy("v"))
+    near = counts.where(F.col("_range").isin([at for at, _, _ in wanted])).withColumn("_upto", upto)
+    value = {k: F.min(F.when((F.col("_range") == at) & (F.col("_upto") > k - first), F.col("v"))) for at, first, k in wanted}
+    a, b = (value.get(k, F.lit(None).cast("double")) for k in (low, high))
+    return near.agg(a.alias("a"), b.alias("b")).select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((high - place) * F.col("a") + (place - low) * F.col("b")).alias("percentile"))
