@@ -39,13 +39,19 @@ def schema_rules(objects: DataFrame) -> DataFrame:
     return _union([_finding(objects, F.col("load_error").isNotNull(), "E000", "frontmatter"), _finding(unknown, F.lit(True), "E000", F.col("name"))])
 
 
+def _small(registry: DataFrame) -> DataFrame:
+    """A registry to join objects with, counted first: up to graph.BROADCAST_ROWS rows are broadcast, so that objects stay
+    where they are; one value that most of them have is no task of its own."""
+    return F.broadcast(registry) if registry.count() <= graph.BROADCAST_ROWS else registry
+
+
 def structural_rules(objects: DataFrame, types: DataFrame, taxonomy: DataFrame) -> DataFrame:
     rows = objects.where("load_error is null").withColumn("_parts", F.split("id", "-"))
     fits = F.col("id").rlike(ID_PATTERN)
     prefix = F.when(F.col("scope") == "personal", "PERS").when(F.col("scope") == "engineering", "ENG").otherwise("")
-    typed = rows.join(types.select(F.col("name").alias("object_type"), "code", "tag_strategy", "engineering_only"), "object_type")
+    typed = rows.join(_small(types.select(F.col("name").alias("object_type"), "code", "tag_strategy", "engineering_only")), "object_type")
     tag = F.get("_parts", 2)
-    placed = rows.join(taxonomy.select(F.col("id").alias("taxonomy_id"), F.col("name").alias("_leaf"), F.col("scope").alias("_scope")), "taxonomy_id", "left")
+    placed = rows.join(_small(taxonomy.select(F.col("id").alias("taxonomy_id"), F.col("name").alias("_leaf"), F.col("scope").alias("_scope"))), "taxonomy_id", "left")
     named = F.coalesce(F.col("taxonomy_id"), F.lit("")) != ""
     return _union([
         _finding(rows, ~F.coalesce(fits, F.lit(False)), "E005", "id"),
