@@ -151,15 +151,21 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total_source_files"), F.count_if(out == "").alias("eligible_files"), F.count_if(out == "excluded").alias("excluded_files"), F.count_if(~out.isin("", "excluded")).alias("quarantined_files"))
 
 
+#: Shares of the links of one name.
+SALTS = 16
+
+
 def link_proposals(found: DataFrame) -> DataFrame:
     """source_file, raw_link, target: wiki links of objects with the object that they name by id or by file, if one does.
 
-    Of several objects with one name the first id counts.
+    Of several objects with one name the first id counts. Links are dealt by name and file into SALTS shares, each of
+    which gets the names, so that a link that every file has is no task of its own.
     """
-    links = found.select(F.col("path").alias("source_file"), F.explode("wikilinks").alias("raw_link")).withColumn("_key", F.lower("raw_link"))
+    links = found.select(F.col("path").alias("source_file"), F.explode("wikilinks").alias("raw_link")).withColumns({"_key": F.lower("raw_link"), "_salt": F.pmod(F.xxhash64("source_file"), F.lit(SALTS))})
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
     names = found.select(F.explode(F.array_distinct(F.array(F.lower("id"), F.lower(stem)))).alias("_key"), "id").groupBy("_key").agg(F.min("id").alias("target"))
-    return links.join(names, "_key", "left").drop("_key")
+    names = names.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return links.join(names, ["_key", "_salt"], "left").drop("_key", "_salt")
 
 
 def facet_proposals(found: DataFrame, facets: DataFrame) -> DataFrame:

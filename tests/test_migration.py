@@ -1,6 +1,7 @@
 """Migration against plain rules, twice over the same files, and with changed and colliding ones."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import migration
 from loomgraph.operators.store import Conflict
@@ -68,3 +69,11 @@ def test_execution_is_safe_to_repeat(spark, registries, tmp_path):
     row = made(first).where("source = 'a.md'").first()
     back = readers.parse_objects(spark.createDataFrame([(row.target, row.content)], "path string, text string")).first()
     assert (back.id, back.title, back.raw_body, back.source_refs, back.load_error) == ("ENG-ART-A-0001", 'Q "x": y', "one", ["a.md"], None)
+
+
+def test_a_link_that_all_files_have_is_many_shares(spark):
+    found = spark.range(400).select(F.format_string("n/n_%d.md", "id").alias("path"), F.format_string("ID-%d", "id").alias("id"), F.array(F.lit("Lost"), F.lit("n_7")).alias("wikilinks"))
+    shares = migration.link_proposals(found)
+    got = shares.collect()
+    assert {(r.raw_link, r.target) for r in got} == {("Lost", None), ("n_7", "ID-7")} and len(got) == 800
+    assert "_salt" in shares._jdf.queryExecution().optimizedPlan().toString()
