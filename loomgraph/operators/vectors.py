@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,25 +37,77 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(checked)
 
 
+#: Words that a worker keeps with their places; beyond that it begins anew, so memory doesn't grow with the corpus.
+KNOWN_WORDS = 400_000
+#: Words of a text that are added up at a time.
+WORDS_AT_ONCE = 8192
+
+
 @lru_cache(maxsize=200_000)
-def _places(piece: str, dimension: int) -> tuple[tuple[int, float], tuple[int, float]]:
+def _piece(piece: str, dimension: int) -> tuple[int, float]:
     h = hashlib.sha256(piece.encode()).digest()
-    first = int.from_bytes(h[:4], "big") % dimension, 1.0 - 2.0 * (h[4] % 2)
-    return first, (int.from_bytes(h[5:9], "big") % dimension, 1.0 - 2.0 * (h[9] % 2))
+    return int.from_bytes(h[:4], "big") % dimension, 0.4 * (1.0 - 2.0 * (h[4] % 2))
+
+
+def _word(word: str, dimension: int) -> tuple[tuple[int, float], tuple[int, float]]:
+    h = hashlib.sha256(word.encode()).digest()
+    first = int.from_bytes(h[:4], "big") % dimension, 1.5 * (1.0 - 2.0 * (h[4] % 2))
+    return first, (int.from_bytes(h[5:9], "big") % dimension, 0.8 * (1.0 - 2.0 * (h[9] % 2)))
+
+
+class _Places:
+    """What each word adds to a vector: places and amounts, one word's after another's in two arrays."""
+
+    def __init__(self, dimension: int):
+        self.dimension, self.weights = dimension, np.zeros(0)
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.starts, self.at, self.amount = array("q", [0]), array("q"), array("d")
+
+    def learn(self, word: str) -> int:
+        added = [*_word(word, self.dimension), *(_piece(word[i : i + n], self.dimension) for n in (3, 4) for i in range(len(word) - n + 1))]
+        at, amount = zip(*added)
+        self.at.extend(at)
+        self.amount.extend(amount)
+        self.starts.append(len(self.at))
+        self.rows[word] = len(self.rows)
+        return self.rows[word]
+
+    def weight(self, n: int) -> np.ndarray:
+        if n > len(self.weights):
+            self.weights = np.array([1.0 / math.log2(pos + 3.0) for pos in range(max(n, 2 * len(self.weights)))])
+        return self.weights
+
+    def add(self, vector: np.ndarray, words: list[str], first: int) -> None:
+        """Add words that stand at `first` and after it, one after another, so that sums are those of single steps."""
+        if len(self.rows) > KNOWN_WORDS:
+            self.clear()
+        known = self.rows.get
+        rows = np.array([known(w, -1) for w in words], np.int64)
+        for i in np.flatnonzero(rows < 0).tolist():
+            row = known(words[i])
+            rows[i] = self.learn(words[i]) if row is None else row
+        starts = np.frombuffer(self.starts, np.int64)
+        begin, size = starts[rows], starts[rows + 1] - starts[rows]
+        ends = np.cumsum(size)
+        entry = np.repeat(begin - (ends - size), size) + np.arange(ends[-1])
+        weight = np.repeat(self.weight(first + len(words))[first : first + len(words)], size)
+        np.add.at(vector, np.frombuffer(self.at, np.int64)[entry], np.frombuffer(self.amount)[entry] * weight)
+
+
+@lru_cache(maxsize=8)
+def _places(dimension: int) -> _Places:
+    return _Places(dimension)
 
 
 def hash_embedding(text: str, dimension: int = DIMENSION) -> np.ndarray:
     """Signed hashes of words and of their 3- and 4-grams, weighted down with position, to unit length."""
-    vector = np.zeros(dimension)
+    vector, places = np.zeros(dimension), _places(dimension)
     words = re.findall(r"[a-z0-9_]+", (text or "").lower())
-    for pos, word in enumerate(words):
-        weight = 1.0 / math.log2(pos + 3.0)
-        for (at, sign), scale in zip(_places(word, dimension), (1.5, 0.8)):
-            vector[at] += sign * scale * weight
-        for n in (3, 4):
-            for i in range(len(word) - n + 1):
-                at, sign = _places(word[i : i + n], dimension)[0]
-                vector[at] += sign * 0.4 * weight
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        places.add(vector, words[at : at + WORDS_AT_ONCE], at)
     size = np.linalg.norm(vector)
     return vector / size if size else np.full(dimension, 1 / math.sqrt(dimension))
 
