@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from loomgraph.operators import vectors
+from loomgraph.operators import graph, vectors
 
 
 def plain_embedding(text, dimension):
@@ -36,3 +36,11 @@ def test_embedding_adds_each_word_from_what_is_known_of_it(monkeypatch):
         text = " ".join("".join(rng.choices("abc_9", k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 60)))
         assert (vectors.hash_embedding(text, 64) == plain_embedding(text, 64)).all()
     assert len(vectors._places(64).rows) <= 30 + 7
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "parts_of", lambda rows, each=100: max(1, -(-rows // each)))
+    rows = [(g, i) for g in range(40) for i in range(5)]
+    found = graph.cooccurrence(spark.createDataFrame(rows, "article long, concept long"), 2)
+    assert found.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, found.collect())) == [(a, b, 40) for a in range(5) for b in range(a + 1, 5)]
