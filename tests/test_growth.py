@@ -44,3 +44,22 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     found = graph.cooccurrence(spark.createDataFrame(rows, "article long, concept long"), 2)
     assert found.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, found.collect())) == [(a, b, 40) for a in range(5) for b in range(a + 1, 5)]
+
+
+def test_cycles_in_few_rounds(spark, monkeypatch):
+    kept = []
+    keep = graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df: kept.append(1) or keep(df))
+    rng = random.Random(3)
+    ring = [(i, (i + 1) % 48) for i in range(48)]
+    loose = [(100 + rng.randrange(12), 100 + rng.randrange(12)) for _ in range(16)]
+    edges = set(ring) | set(loose) | {(47, 100), (7, 111)}
+    reach = {u: set() for e in edges for u in e}
+    while True:
+        more = {u: reach[u].union(*({v} | reach[v] for x, v in edges if x == u)) for u in reach}
+        if more == reach:
+            break
+        reach = more
+    found = graph.cycles(spark.createDataFrame(list(edges), "u long, v long")).collect()
+    assert sorted(map(tuple, found)) == sorted((u, v) for u, v in edges if u in reach[v] or u == v)
+    assert len(kept) < 150  # with a round a step of the ring, two passes are twice 2 x 48
