@@ -63,3 +63,13 @@ def test_cycles_in_few_rounds(spark, monkeypatch):
     found = graph.cycles(spark.createDataFrame(list(edges), "u long, v long")).collect()
     assert sorted(map(tuple, found)) == sorted((u, v) for u, v in edges if u in reach[v] or u == v)
     assert len(kept) < 150  # with a round a step of the ring, two passes are twice 2 x 48
+
+
+def test_traversals_deal_edges_by_their_number(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(graph, "parts_of", lambda rows, each=0: asked.append(rows) or 3)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "u long, v long")
+    roots = spark.createDataFrame([(1,)], "root long")
+    assert sorted((r.node, r.depth) for r in graph.bfs(edges, roots, 3).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert sorted((r.node, r.depth) for r in graph.blast_radius(edges, roots, "down", 3).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert asked == [5, 5]
