@@ -73,3 +73,22 @@ def test_traversals_deal_edges_by_their_number(spark, monkeypatch):
     assert sorted((r.node, r.depth) for r in graph.bfs(edges, roots, 3).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert sorted((r.node, r.depth) for r in graph.blast_radius(edges, roots, "down", 3).collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert asked == [5, 5]
+
+
+def test_references_are_compared_where_pairs_are_made(spark):
+    rng = random.Random(5)
+    incidence = [(g, i) for g in range(12) for i in rng.choices(range(9), k=5)]
+    refs = [(i, rng.randrange(6)) for i in range(8) for _ in range(5)]
+    kinds = {i: None if i == 3 else i % 2 for i in range(9) if i != 7}
+    groups = {g: {i for x, i in incidence if x == g} for g in range(12)}
+    of = {i: {r for x, r in refs if x == i} for i in range(9)}
+    expected = []
+    for a in kinds:
+        for b in kinds:
+            shared = sum({a, b} <= items for items in groups.values())
+            if a < b and shared:
+                expected.append((a, b, shared, len(of[a] & of[b]), None if 3 in (a, b) else kinds[a] == kinds[b]))
+    tables = (spark.createDataFrame(incidence, "article long, concept long"), spark.createDataFrame(refs, "node long, ref long"), spark.createDataFrame(list(kinds.items()), "node long, kind int"))
+    for limits in ({}, {"width": 2}, {"most": 2}):
+        found = graph.pairs_with_refs(*tables, **limits)
+        assert sorted(map(tuple, found.collect())) == sorted(expected)
