@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokenize
-from ..session import forget, keep
+from ..session import forget, keep, parts_of
 
 K1, B = 1.5, 0.75
 
@@ -72,6 +72,7 @@ def normalized(scores: DataFrame, score: str = "score", group: str = "query_id")
 
 #: Parts that terms are dealt into by hash; a batch reads only the parts of its terms.
 TERM_PARTS = 64
+TOKENS_A_TASK = 500_000
 
 
 def object_text(title: Column, aliases: Column, keywords: Column, body: Column) -> Column:
@@ -81,11 +82,17 @@ def object_text(title: Column, aliases: Column, keywords: Column, body: Column)
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Postings(part, term, key, tf, dl) sorted by term in folders by part, term counts, and the corpus counts."""
+    """Postings(part, term, key, tf, dl) sorted by term in folders by part, term counts, and the corpus counts.
+
+    Words move once, to where they are counted, sorted and written.
+    """
     tokens = keep(docs.select(key, tokenize(F.coalesce(F.col(text), F.lit(""))).alias("_t")).withColumn("dl", F.size("_t").cast("long")))
-    rows = tokens.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
-    rows.repartitionByRange("part", "term", key).sortWithinPartitions("part", "term", key).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    # A part's documents are dealt into slices, so that no task's share grows with a common term.
+    slices = parts_of(tokens.agg(F.sum("dl")).first()[0] or 0, TERM_PARTS * TOKENS_A_TASK)
+    rows = tokens.select(key, "dl", F.explode("_t").alias("term")).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int"))
+    rows = rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices))).repartition(TERM_PARTS * slices, "part", "_slice")
+    rows = rows.groupBy("part", "_slice", key, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select(key, "dl", "term", "tf", "part")
+    rows.sortWithinPartitions("part", "term", key).write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     postings_ = tokens.sparkSession.read.parquet(f"{path}/postings")
     postings_.groupBy("part", "term").agg(F.count(F.lit(1)).alias("df")).repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/terms")
     tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("tokens")).write.mode("overwrite").parquet(f"{path}/corpus")

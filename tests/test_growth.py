@@ -4,10 +4,11 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
-from loomgraph.operators import graph, vectors
+from loomgraph.operators import graph, lexical, vectors
 
 
 def plain_embedding(text, dimension):
@@ -92,3 +93,13 @@ def test_references_are_compared_where_pairs_are_made(spark):
     for limits in ({}, {"width": 2}, {"most": 2}):
         found = graph.pairs_with_refs(*tables, **limits)
         assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_index_counts_words_in_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "TOKENS_A_TASK", 1)
+    monkeypatch.setattr(lexical, "TERM_PARTS", 2)
+    texts = {i: " ".join(random.Random(i).choices("ab cd ef".split(), k=i)) for i in range(12)}
+    lexical.write_index(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), str(tmp_path))
+    found = spark.read.parquet(f"{tmp_path}/postings").select("doc_id", "term", "tf", "dl").collect()
+    assert sorted(map(tuple, found)) == sorted((i, w, n, i) for i, text in texts.items() for w, n in Counter(text.split()).items())
+    assert {r.term: r.df for r in spark.read.parquet(f"{tmp_path}/terms").collect()} == Counter(w for text in texts.values() for w in set(text.split()))
