@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -25,6 +26,8 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import keep, small_batches
@@ -35,29 +38,41 @@ END_ID = 0
 BUCKETS = 256
 #: Words whose tokens a worker remembers, and the longest of them.
 CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Marks that are one token string however many follow a word (an apostrophe may begin one of its own), and how many such
+#: endings are remembered; letters whose lower case and bytes are known.
+MARKS, ENDINGS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'"), 10_000
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict = {}
 
 
 class _Words(dict):
-    """Token bytes by word. White space only ends tokens here, so a text's ids are those of its words in turn."""
+    """Token bytes by word. White space only ends tokens here, so a text's ids are those of its words in turn.
+
+    Once half of CACHE_WORDS are known they become the older ones and those before them go, so that words in use stay.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ",.;:!?"}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        told = {c.encode().decode("latin-1"): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+        self.moved = [(c, d) for c, d in told.items() if c != d]
+        self.marks: dict = {}
+        self.older: dict = {}
         self[""] = b""
 
-    def learn(self, words: set) -> None:
-        if len(self) > CACHE_WORDS:
+    def learn(self, words: list) -> None:
+        if len(self) > CACHE_WORDS // 2:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
-        fresh = [w for w in words if len(w) <= CACHE_CHARS and not self._plain(w)]
+        fresh = [w for w in words if w not in self.older and len(w) <= CACHE_CHARS and not self._plain(w)]
         for at in range(0, len(fresh), 512):  # encoding words one by one costs most of its time around the calls
             some = fresh[at : at + 512]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -68,37 +83,58 @@ class _Words(dict):
             self.update((w, ids[low:high]) for w, low, high in zip(some, cuts, cuts[1:]))
 
     def _plain(self, word: str) -> bool:
-        """ASCII letters are one token string of the tokenizer, and a mark after them is another: no need to split those."""
-        stem, mark = (word[:-1], self.marks.get(word[-1])) if word[-1:] in self.marks else (word, b"")
-        if not (stem.isascii() and stem.isalpha()):
+        """Latin letters are one token string of the tokenizer, and the marks after them are another: no need to split those."""
+        stem = word.rstrip(MARKS)
+        if not (stem.isalpha() or not stem if stem.isascii() else LETTERS.fullmatch(stem)):
             return False
-        ids = self.get(stem)
+        low, end = stem.lower(), word[len(stem) :]
+        ids = self.get(low) or self.older.get(low)
         if ids is None:
-            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(stem.lower())]).tobytes()
-        self[word] = ids + mark
+            ids = self._ids(low)
+        if end:
+            marks = self.marks.get(end)
+            if marks is None:
+                marks = self._ids(end)
+                if len(self.marks) < ENDINGS:
+                    self.marks[end] = marks
+            ids += marks
+        self[word] = ids
         return True
 
-    def __missing__(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
+    def _ids(self, string: str) -> bytes:
+        if not string.isascii():
+            string = string.encode().decode("latin-1")
+            for c, d in self.moved:
+                string = string.replace(c, d)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(string)]).tobytes()
 
-def _spaced(text: str) -> str:
-    for c in "\t\n\v\f\r":
-        text = text.replace(c, " ")
-    return text
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
 
 def token_bytes(texts: list[str], path: str, end_id: int = END_ID) -> Iterator[bytes]:
-    """The ids of each text as little-endian 32-bit numbers, the end token included."""
+    """The ids of each text as little-endian 32-bit numbers, the end token included.
+
+    Some hundred texts at a time are split and their different words numbered; each of these is looked up once.
+    """
     known = _tokenizers.get(path) or _tokenizers.setdefault(path, _Words(path))
     end = end_id.to_bytes(4, "little")
-    for at in range(0, len(texts), 256):
-        split = [_spaced(t).split(" ") for t in texts[at : at + 256]]
-        found = [list(map(known.get, words)) for words in split]
-        gaps = [None in ids for ids in found]
-        known.learn({w for words, ids, gap in zip(split, found, gaps) if gap for w, x in zip(words, ids) if x is None})
-        for words, ids, gap in zip(split, found, gaps):
-            yield b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if gap else ids) + end
+    for at in range(0, len(texts), 512):
+        split = pc.ascii_split_whitespace(pa.array(texts[at : at + 512], pa.large_string()))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        ids = list(map(known.get, words))
+        known.learn([w for w, x in zip(words, ids) if x is None])
+        ids = pa.array([known[w] if x is None else x for w, x in zip(words, ids)], pa.large_binary()).take(coded.indices)
+        _, places, data = ids.buffers()
+        cuts = np.frombuffer(places, np.int64)[split.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        for low, high in zip(cuts, cuts[1:]):
+            yield b"".join((data[low:high], end))
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -124,6 +124,32 @@ def path():
     return tokenizers.path("word_bpe_49k.json")
 
 
+def test_plain_and_known_words_are_not_encoded_again(path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.model, self.calls = inner, inner.model, 0
+
+        def encode(self, *args, **more):
+            self.calls += 1
+            return self.inner.encode(*args, **more)
+
+    true = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 8)
+    known = packing._tokenizers[path] = packing._Words(path)
+    known.tokenizer = counting = Counting(known.tokenizer)
+    texts = ["Ñandú,&&& ÀÍÿ*** Straße. abc<|", "it's 4x", "ab ac ad ae", "", "\tit's\x0bab ag \n"]
+    calls = []
+    try:
+        for text in texts:
+            assert [np.frombuffer(x, "<u4").tolist() for x in packing.token_bytes([text], path)] == [true.encode(text, add_special_tokens=False).ids + [0]]
+            calls.append(counting.calls)
+    finally:
+        del packing._tokenizers[path]
+    assert calls == [0, 1, 1, 1, 1] and known.older
+
+
 def test_tokens_equal_the_tokenizer(docs, path):
     from tokenizers import Tokenizer
 
