@@ -47,6 +47,23 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [(a, b, 40) for a in range(5) for b in range(a + 1, 5)]
 
 
+def test_a_tile_is_not_exploded_at_once(spark):
+    """Pairs of a tile are made an item at a time: both sides exploded in one generated stage pile up a whole tile on the heap."""
+    rows = [(g, i) for g in range(3) for i in range(90)] + [(g, i) for g in (3, 4) for i in range(40, 130)]
+    frame = spark.createDataFrame(rows, "article long, concept long")
+    of = {i: {g for g, j in rows if j == i} for i in range(130)}
+    for more in ([], [(9, 5)], [(9, 5), (9, 60), (9, 200), (8, 60), (8, 61)]):
+        held = {i: of.get(i, set()) | {g for g, j in more if j == i} for i in [*of, 200]}
+        found = graph.cooccurrence(frame.union(spark.createDataFrame(more, frame.schema)), 3, width=32)
+        expected = [(a, b, len(held[a] & held[b])) for a in held for b in held if a < b and len(held[a] & held[b]) >= 3]
+        assert sorted(map(tuple, found.collect())) == sorted(expected)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        one, other = (set(re.findall(rf"\*\((\d+)\) Generate explode\({side}#", plan)) for side in ("xs", "ys"))
+        assert one and other and not one & other
+        if len(more) < 2:  # no pair stands in a small group: the rows aren't read again once their sets are kept
+            assert "ExistingRDD" not in plan and "LocalTableScan" not in plan
+
+
 def test_cycles_in_few_rounds(spark, monkeypatch):
     kept = []
     keep = graph.keep
